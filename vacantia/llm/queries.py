@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from vacantia.llm import exact_dedup
+from vacantia.llm import exact_dedup, quality_rules, url_filter
 from vacantia.llm.exact_dedup import op3_exact_dedup
+from vacantia.llm.mixing import op9_source_mixing
 from vacantia.llm.packing import op6_best_fit_packing
+from vacantia.llm.pii import op8_personal_data
 from vacantia.llm.quality_classifier import op10_quality_classifier
+from vacantia.llm.quality_rules import op5_quality_rules
+from vacantia.llm.url_filter import op2_url_filter
 
 
 def queries() -> dict:
     return {
+        "op2_url_filter": op2_url_filter,
         "op3_exact_dedup": op3_exact_dedup,
+        "op5_quality_rules": op5_quality_rules,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op8_personal_data": op8_personal_data,
+        "op9_source_mixing": op9_source_mixing,
         "op10_quality_classifier": op10_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_url_filter": url_filter.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE, "op5_quality_rules": quality_rules.ORACLE}
