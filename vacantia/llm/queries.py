@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from vacantia.llm import exact_dedup, quality_rules, url_filter
 from vacantia.llm.exact_dedup import op3_exact_dedup
+from vacantia.llm.jaccard_join import op1_ngram_jaccard_join
 from vacantia.llm.mixing import op9_source_mixing
 from vacantia.llm.packing import op6_best_fit_packing
 from vacantia.llm.pii import op8_personal_data
@@ -14,6 +15,7 @@ from vacantia.llm.url_filter import op2_url_filter
 
 def queries() -> dict:
     return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_url_filter": op2_url_filter,
         "op3_exact_dedup": op3_exact_dedup,
         "op5_quality_rules": op5_quality_rules,
