@@ -1,16 +1,56 @@
-"""The corpus pipeline: stages that each call one operator and are written and read again between."""
+"""The corpus pipeline: stages that each call one operator and are written and read again between.
+
+Stage functions take (spark, docs, sf_dir) and return a DataFrame; all but the last return the
+columns of ``documents``. ``ORACLE_SQL`` is None: components, raking and packing are iterative, so
+``tests/llm`` holds ``run`` against a brute-force version instead.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from vacantia.llm import exact_dedup, jaccard_join, mixing, packing, quality_rules
+from vacantia.llm.common import materialize
+
+
+def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality_rules.keep_good(docs)
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts stays."""
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays."""
+    return jaccard_join.keep_one_of_each(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample whose tokens have the target shares of source, language and topic."""
+    return mixing.keep_mixed(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the sampled documents, packed into sequences."""
+    import public_tokenizers
+
+    return packing.pack(packing.tokenize_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("quality_rules", quality_rules_stage),
+    ("exact_dedup", exact_dedup_stage),
+    ("ngram_jaccard_join", jaccard_stage),
+    ("source_mixing", mixing_stage),
+    ("best_fit_packing", packing_stage),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vacantia.llm.common import materialize
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -105,9 +105,9 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     )
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that the rules keep, with its columns only."""
-    base = materialize(base_counts(docs, docs.columns[0], text_col, host_col), "line-counts")
+    base = materialize(base_counts(docs, id_col, text_col, host_col), "line-counts")
     bad = base.filter(base_failed()).select("host", "print").unionByName(depleted(base)).distinct()
     host, mark = fresh("host", docs.columns), fresh("print", docs.columns)
     keyed = docs.withColumn(host, F.coalesce(host_col, F.lit(""))).withColumn(mark, F.md5(text_or_empty(text_col)))

@@ -10,6 +10,8 @@ from vacantia.llm.packing import op6_best_fit_packing
 from vacantia.llm.pii import op8_personal_data
 from vacantia.llm.quality_classifier import op10_quality_classifier
 from vacantia.llm.quality_rules import op5_quality_rules
+from vacantia.llm.repeats import op4_suffix_repeats
+from vacantia.llm.token_counts import op7_edit_aware_token_counts
 from vacantia.llm.url_filter import op2_url_filter
 
 
@@ -18,8 +20,10 @@ def queries() -> dict:
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
         "op2_url_filter": op2_url_filter,
         "op3_exact_dedup": op3_exact_dedup,
+        "op4_suffix_repeats": op4_suffix_repeats,
         "op5_quality_rules": op5_quality_rules,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_edit_aware_token_counts": op7_edit_aware_token_counts,
         "op8_personal_data": op8_personal_data,
         "op9_source_mixing": op9_source_mixing,
         "op10_quality_classifier": op10_quality_classifier,
