@@ -44,23 +44,28 @@ def signatures(grams: list[list[str]]) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("long")
-def _simhash(grams: pd.Series) -> pd.Series:
-    return pd.Series(signatures([list(g) for g in grams]).view(np.int64))
+def three_grams(tokens: list[str]) -> list[str]:
+    if len(tokens) < 3:
+        return [" ".join(tokens)] if len(tokens) else []
+    return list(map(" ".join, zip(tokens, tokens[1:], tokens[2:], strict=False)))
+
+
+def _simhash(tokens: pd.Series) -> pd.Series:
+    return pd.Series(signatures([three_grams(list(t)) for t in tokens]).view(np.int64))
 
 
-@F.pandas_udf("long")
 def _fnv1a(words: pd.Series) -> pd.Series:
     return pd.Series(fnv1a([w.encode() for w in words]).view(np.int64))
 
 
-def simhash(shingles: Column) -> Column:
-    return _simhash(shingles)
+def simhash(tokens: Column) -> Column:
+    """Signature of a text's tokens (see ``text.tokenize``), over the same shingles as ``text.shingles``."""
+    return F.pandas_udf(_simhash, "long")(tokens)
 
 
 def fnv1a64(c: Column) -> Column:
     """FNV-1a of a string's UTF-8 bytes; null counts as empty."""
-    return _fnv1a(F.coalesce(c, F.lit("")))
+    return F.pandas_udf(_fnv1a, "long")(F.coalesce(c, F.lit("")))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -117,16 +117,27 @@ def tokenize(c: Column) -> Column:
 
 def title_tokens(c: Column) -> Column:
     """Tokens without stop words and single characters; all of them if none would remain."""
-    tokens = tokenize(c)
-    kept = F.filter(tokens, lambda t: ~t.isin(V.STOP_WORDS) & (F.length(t) > 1))
-    return F.when(F.size(kept) == 0, tokens).otherwise(kept)
+
+    def kept(tokens: Column) -> Column:
+        found = F.filter(tokens, lambda t: ~t.isin(V.STOP_WORDS) & (F.length(t) > 1))
+        return F.when(F.size(found) == 0, tokens).otherwise(found)
+
+    return _let(tokenize(c), kept)
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once; inside a lambda Spark would compute it for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def shingles(c: Column) -> Column:
     """Three-word grams in order, repetitions too; shorter texts are one gram, empty ones none."""
-    t = tokenize(c)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 2, F.lit(1))), lambda i: F.array_join(F.slice(t, i, F.lit(3)), " "))
-    return F.when(F.size(t) == 0, F.array().cast("array<string>")).otherwise(grams)
+
+    def grams(t: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - 2, F.lit(1))), lambda i: F.array_join(F.slice(t, i, F.lit(3)), " "))
+        return F.when(F.size(t) == 0, F.array().cast("array<string>")).otherwise(found)
+
+    return _let(tokenize(c), grams)
 
 
 def block_key(company: Column, title: Column, country: Column) -> Column:

@@ -32,7 +32,7 @@ def normalize(opps: DataFrame, version: int = 1) -> DataFrame:
             "location_country": F.col("_l.country"),
             "location_city": F.col("_l.city"),
             "remote_geo_scope": X.join_scope(F.col("_l.geo_scope")),
-            "simhash": simhash(X.shingles(body)),
+            "simhash": simhash(X.tokenize(body)),
             "block_key": X.block_key(F.col("company_id"), F.col("title_raw"), F.col("_l.country")),
             "normalization_version": F.lit(version),
         })
@@ -136,6 +136,6 @@ def candidates_from(documents: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     return documents.select(
         "id", "company_id", none.alias("ats_type"), none.alias("ats_job_id"), none.alias("apply_url"), none.alias("geo_scope"), "title", "first_seen_at",
-        F.sha2(F.coalesce("body", F.lit("")), 256).alias("content_hash"), simhash(X.shingles(body)).alias("simhash"), F.length(F.coalesce("body", F.lit(""))).alias("text_len"),
+        F.sha2(F.coalesce("body", F.lit("")), 256).alias("content_hash"), simhash(X.tokenize(body)).alias("simhash"), F.length(F.coalesce("body", F.lit(""))).alias("text_len"),
         X.block_key(F.col("company_id"), F.col("title"), F.col("country")).alias("block_key"),
     )

@@ -66,10 +66,10 @@ def health_report(sources: DataFrame, daily: DataFrame, today: Column) -> DataFr
 
 def runs_of_degraded(evaluations: DataFrame) -> DataFrame:
     """``consecutive`` degraded evaluations up to each one; healthy resets, unknown changes nothing."""
-    w = Window.partitionBy("source_id").orderBy("at", "evaluation_id")
+    w = Window.partitionBy("source_id").orderBy("polled_at", "evaluation_id")
     resets = F.sum((F.col("status") == "healthy").cast("int")).over(w)
     known = evaluations.withColumn("run", resets)
-    count = F.sum((F.col("status") == "degraded").cast("int")).over(Window.partitionBy("source_id", "run").orderBy("at", "evaluation_id"))
+    count = F.sum((F.col("status") == "degraded").cast("int")).over(Window.partitionBy("source_id", "run").orderBy("polled_at", "evaluation_id"))
     return known.withColumn("consecutive", count).drop("run")
 
 

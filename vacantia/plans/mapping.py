@@ -67,7 +67,7 @@ VIEWS = {
             "source_row_id": "l_orderkey * 10 + l_linenumber",
             "opportunity_id": "l_orderkey",
             "source_id": "l_suppkey",
-            "source_job_id": "concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING))",
+            "source_job_id": "concat(CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING), '-', CAST(l_partkey AS STRING))",
             "apply_url": "CASE WHEN l_linenumber % 3 <> 0 THEN concat('https://jobs.example/', CAST(l_partkey AS STRING)) END",
             "created_at": "CAST(l_shipdate AS TIMESTAMP)",
             "content_hash": "CAST(l_partkey AS STRING)",
@@ -78,7 +78,7 @@ VIEWS = {
         {
             "source_id": "user_id",
             "evaluation_id": "event_id",
-            "at": "ts",
+            "polled_at": "ts",
             "day": "CAST(ts AS DATE)",
             "postings": "10 + event_id % 30",
             "usable": "CASE WHEN event_type = 'error' THEN 1 ELSE 10 + event_id % 30 END",

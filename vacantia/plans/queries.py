@@ -52,7 +52,7 @@ def _s(name: str) -> str:
 
 _FEED = """SELECT o.id, o.company_id, c.display_name AS company_name, o.role_family, o.work_mode, {seen}, coalesce(n.k, 0) AS source_count, n.apply_url
 FROM opportunity o JOIN company c ON c.id = o.company_id
-LEFT JOIN (SELECT opportunity_id, count(*) AS k, arg_min(apply_url, (created_at, source_row_id)) FILTER (WHERE apply_url IS NOT NULL) AS apply_url FROM opportunity_source GROUP BY 1) n ON n.opportunity_id = o.id
+LEFT JOIN (SELECT opportunity_id, count(*) AS k, arg_min(apply_url, (created_at, source_row_id, apply_url)) FILTER (WHERE apply_url IS NOT NULL) AS apply_url FROM opportunity_source GROUP BY 1) n ON n.opportunity_id = o.id
 WHERE o.pipeline_state = 'ready' AND o.closed_at IS NULL AND o.merged_into IS NULL {more}
 ORDER BY o.first_seen_at DESC, o.id DESC LIMIT {n}"""
 _BASE = ctes("opportunity", "company", "opportunity_source")
@@ -106,7 +106,7 @@ def open_similar_roles(spark, d):
   coalesce(m.median_days, 0) AS median_days, coalesce(s.open_similar, 0) AS open_similar,
   CASE WHEN salary_min_minor IS NULL AND salary_max_minor IS NULL THEN NULL ELSE coalesce(salary_min_minor, 0) END AS salary_min, salary_max_minor AS salary_max
 FROM opportunity o JOIN company c ON c.id = o.company_id
-LEFT JOIN (SELECT opportunity_id, count(*) AS k, arg_min(apply_url, (created_at, source_row_id)) FILTER (WHERE apply_url IS NOT NULL) AS apply_url FROM opportunity_source GROUP BY 1) n ON n.opportunity_id = o.id
+LEFT JOIN (SELECT opportunity_id, count(*) AS k, arg_min(apply_url, (created_at, source_row_id, apply_url)) FILTER (WHERE apply_url IS NOT NULL) AS apply_url FROM opportunity_source GROUP BY 1) n ON n.opportunity_id = o.id
 LEFT JOIN ({_MEDIAN}) m ON m.company_id = o.company_id LEFT JOIN ({_SIMILAR}) s ON s.company_id = o.company_id AND s.role_family = o.role_family
 WHERE o.merged_into IS NULL""")
 def opportunity_detail(spark, d):
@@ -246,8 +246,8 @@ def health_verdict(spark, d):
     return _report(spark, d).withColumn("v", v).select("source_id", "v.status", code.alias("reasons"))
 
 
-@query(f"""{ctes('poll')}, g AS (SELECT *, sum(CASE WHEN status = 'healthy' THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY at, evaluation_id) AS run FROM poll)
-SELECT source_id, evaluation_id, status, CAST(sum(CASE WHEN status = 'degraded' THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, run ORDER BY at, evaluation_id) AS BIGINT) AS consecutive FROM g""")
+@query(f"""{ctes('poll')}, g AS (SELECT *, sum(CASE WHEN status = 'healthy' THEN 1 ELSE 0 END) OVER (PARTITION BY source_id ORDER BY polled_at, evaluation_id) AS run FROM poll)
+SELECT source_id, evaluation_id, status, CAST(sum(CASE WHEN status = 'degraded' THEN 1 ELSE 0 END) OVER (PARTITION BY source_id, run ORDER BY polled_at, evaluation_id) AS BIGINT) AS consecutive FROM g""")
 def consecutive_degraded(spark, d):
     return stats.runs_of_degraded(view(spark, d, "poll")).select("source_id", "evaluation_id", "status", "consecutive")
 
@@ -420,7 +420,7 @@ sig AS (SELECT t.id, coalesce({_SIGNED.format('h')}, 0) AS simhash FROM t LEFT J
 
 @query(f"WITH {_simhash_sql('SELECT doc_id AS id, text AS body FROM documents')} SELECT id AS doc_id, simhash FROM sig")
 def simhash64(spark, d):
-    return table(spark, d, "documents").select("doc_id", simhash(X.shingles(F.col("text"))).alias("simhash"))
+    return table(spark, d, "documents").select("doc_id", simhash(X.tokenize(F.col("text"))).alias("simhash"))
 
 
 _STOPS = ", ".join(f"'{w}'" for w in V.STOP_WORDS)
@@ -479,7 +479,7 @@ def dedupe_eval(spark, d):
     return stats.precision_recall(judged)
 
 
-@query("SELECT doc_id, sha256(CAST(coalesce(source, '') AS BLOB) || '\\x00'::BLOB || CAST(coalesce(text, '') AS BLOB) || '\\x00'::BLOB || CAST(coalesce(lang, '') AS BLOB) || '\\x00'::BLOB) AS content_hash FROM documents")
+@query("SELECT doc_id, sha256(encode(coalesce(source, '')) || '\\x00'::BLOB || encode(coalesce(text, '')) || '\\x00'::BLOB || encode(coalesce(lang, '')) || '\\x00'::BLOB) AS content_hash FROM documents")
 def content_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", X.content_hash(F.col("source"), F.col("text"), F.col("lang")).alias("content_hash"))
 
@@ -544,7 +544,7 @@ def _audit(spark, d):
 
 
 @query("""WITH RECURSIVE e AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k,
-  unhex(lpad(hex(strlen(role)), 16, '0')) || CAST(role AS BLOB) || unhex(lpad(hex(1), 16, '0')) || CAST('s' AS BLOB) || unhex(lpad(hex(strlen(coalesce(text, ''))), 16, '0')) || CAST(coalesce(text, '') AS BLOB) AS framed FROM conversations),
+  unhex(lpad(hex(strlen(role)), 16, '0')) || encode(role) || unhex(lpad(hex(1), 16, '0')) || encode('s') || unhex(lpad(hex(strlen(coalesce(text, ''))), 16, '0')) || encode(coalesce(text, '')) AS framed FROM conversations),
 c AS (SELECT conv_id, k, turn, '' AS prev_hash, sha256(framed) AS entry_hash FROM e WHERE k = 1
   UNION ALL SELECT e.conv_id, e.k, e.turn, c.entry_hash, sha256(unhex(c.entry_hash) || e.framed) FROM c JOIN e ON e.conv_id = c.conv_id AND e.k = c.k + 1)
 SELECT conv_id AS chain_id, turn AS id, prev_hash, entry_hash FROM c""")
