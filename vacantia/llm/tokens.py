@@ -76,7 +76,7 @@ class WordEncoder:
 
     def learn(self, words: set[str]) -> None:
         """Encode the words that are new."""
-        new = words.difference(self.known.keys())
+        new = words.difference(self.known)  # a dict itself: its keys() would be iterated
         if len(self.known) + len(new) > WORDS_KEPT:
             self.known.clear()
             new = words
