@@ -28,7 +28,7 @@ from vacantia.llm.common import SPACE, fresh, materialize, text_or_empty, tune
 PREFIX_CHARS = 24
 
 
-def _neighbours(text_at: int, drop_text: bool):
+def _neighbours(text_at: int, drop_text: bool, added: list[str]):
     """Compare each row of a sorted partition with the one before; add digest, length and row number."""
     blank = re.compile(SPACE)
 
@@ -50,7 +50,7 @@ def _neighbours(text_at: int, drop_text: bool):
             names = [c for i, c in enumerate(batch.schema.names) if not (drop_text and i == text_at)]
             yield pa.RecordBatch.from_arrays(
                 [*kept, pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(rows, pa.int64())],
-                [*names, "digest", "size", "row"],
+                [*names, *added],
             )
 
     return run
@@ -72,7 +72,7 @@ def mark_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ordered = keyed.repartitionByRange(*key).sortWithinPartitions(*key).select(*docs.columns)
     out = T.StructType([f for f in docs.schema.fields if with_text or f.name != text_col])
     out = out.add(n["digest"], "string").add(n["size"], "long").add(n["row"], "long")
-    rows = materialize(ordered.mapInArrow(_neighbours(docs.columns.index(text_col), not with_text), out), "content-sort")
+    rows = materialize(ordered.mapInArrow(_neighbours(docs.columns.index(text_col), not with_text, [n["digest"], n["size"], n["row"]]), out), "content-sort")
     best = F.struct(-F.col(n["size"]), F.col(id_col).isNull(), F.col(id_col), F.col(n["row"]))
     groups = rows.groupBy(F.col(n["digest"]).alias("g_digest")).agg(F.count(F.lit(1)).alias("g_size"), F.min(best).alias("g_best"))
     joined = rows.join(groups, rows[n["digest"]] == groups["g_digest"])
