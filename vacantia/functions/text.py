@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import html
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -186,14 +188,10 @@ def json_map(c: Column) -> Column:
     return F.coalesce(F.from_json(c, "map<string,string>"), F.create_map().cast("map<string,string>"))
 
 
-def html_unescape(c: Column) -> Column:
-    """HTML entities have no built-in; only texts with an ampersand cross to Python, in Arrow batches."""
-    import html
-
-    import pandas as pd
+def _unescape(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
 
-    @F.pandas_udf("string")
-    def unescape(texts: pd.Series) -> pd.Series:
-        return texts.map(html.unescape, na_action="ignore")
 
-    return F.when(c.contains("&"), unescape(c)).otherwise(c)
+def html_unescape(c: Column) -> Column:
+    """HTML entities have no built-in; only texts with an ampersand cross to Python, in Arrow batches."""
+    return F.when(c.contains("&"), F.pandas_udf(_unescape, "string")(c)).otherwise(c)
