@@ -1,8 +1,8 @@
 """Quality scores from compressed sizes.
 
 Two zstandard dictionaries, one of good and one of bad labelled text, compress every block of a text.
-The difference of the two sizes over their sum, with its square, is calibrated to a probability by
-logistic regression.
+The difference of the two sizes over their sum, with the smaller size for each byte (text that repeats
+itself shrinks under any dictionary), is calibrated to a probability by logistic regression.
 
 The dictionaries hold the head of at most ``SAMPLE`` labelled texts a class, chosen by a hash of the
 identifier, so the model is of bounded size on any corpus; half of the sampled texts make the
@@ -29,7 +29,6 @@ HEAD_BYTES = 800
 BLOCK = 1200
 LEVEL = 3
 THRESHOLD = 0.3
-MOST_BLOCKS = 20
 
 
 def held_out(id_col: str = "doc_id"):
@@ -49,31 +48,38 @@ class Dictionaries:
             held.precompute_compress(level=LEVEL)
             self.both.append(z.ZstdCompressor(dict_data=held, compression_params=params))
 
-    def difference(self, text: str, most: int | None = None) -> float:
-        """Above 0 if the bad text compresses it better, over all blocks of the text."""
-        raw, sums = text.encode(), []
+    def sizes(self, text: str) -> tuple[int, int, int]:
+        """Bytes of the text, and of all its blocks compressed with the good and with the bad dictionary."""
+        raw = text.encode()
         blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-        for c in self.both:
-            sums.append(sum(len(c.compress(b)) for b in blocks))
-        total = sum(sums)
-        return (sums[1] - sums[0]) / total if total else 0.0
+        return len(raw), *(sum(len(c.compress(b)) for b in blocks) for c in self.both)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
-    """Newton's method with a small ridge."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 100, ridge: float = 0.01) -> np.ndarray:
+    """Newton's method; a step that doesn't lower the loss is halved, so separable classes converge too."""
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float(np.logaddexp(0, z).sum() - y @ z + ridge / 2 * w @ w)
+
     w = np.zeros(x.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(x.shape[1])
-        step = np.linalg.solve(h, x.T @ (y - p) - 1e-3 * w)
-        w += step
-        if np.abs(step).max() < 1e-9:
+        h = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
+        step = np.linalg.solve(h, x.T @ (y - p) - ridge * w)
+        while loss(w + step) > loss(w) and np.abs(step).max() > 1e-9:
+            step /= 2
+        w = w + step
+        if np.abs(step).max() < 1e-8:
             break
     return w
 
 
-def features(d: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones_like(d), 20 * d, np.clip(20 * d, -3, 3) ** 2])
+def features(sizes: list[tuple[int, int, int]]) -> np.ndarray:
+    n, good, bad = np.array(sizes, float).reshape(-1, 3).T
+    d = 20 * (bad - good) / (bad + good)
+    shrunk = np.log(np.minimum(good, bad) / n)
+    return np.column_stack([np.ones_like(d), d, np.clip(d, -3, 3) ** 2, shrunk, shrunk**2])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
@@ -97,9 +103,9 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     room = min(sum(map(len, bodies[q])) for q in (0, 1))
     raw = {q: b"\n".join(bodies[q])[:room] for q in (0, 1)}
     both = Dictionaries(raw[1], raw[0])
-    d = np.array([both.difference(t) for t in tell["text"]])
+    x = features([both.sizes(t) for t in tell["text"]])
     y = tell["quality"].to_numpy(float)
-    w = fit_logistic(features(d), y)
+    w = fit_logistic(x, y)
     # the sample holds the classes in other shares than the labels do
     ratio = {q: counts.get(q, 0) / max(1, int((y == q).sum())) for q in (0, 1)}
     w[0] += np.log(ratio[1] / ratio[0])
@@ -119,9 +125,9 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             out = np.full(len(batch), m["share"])
             if both:
                 has = batch["text"].fillna("").to_numpy() != ""
-                d = np.array([both.difference(t) for t in batch["text"][has]])
-                if len(d):
-                    out[has] = 1 / (1 + np.exp(-np.clip(features(d) @ np.array(m["weights"]), -30, 30)))
+                if has.any():
+                    x = features([both.sizes(t) for t in batch["text"][has]])
+                    out[has] = 1 / (1 + np.exp(-np.clip(x @ np.array(m["weights"]), -30, 30)))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": out})
 
     return chosen.mapInPandas(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, score double")
