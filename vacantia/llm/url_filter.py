@@ -7,7 +7,7 @@ spread. A host is blocked when the lower posterior bound of its bad rate is abov
 
 Only DataFrame functions are used. Every level is an aggregate that Spark combines before the shuffle,
 and the three strengths are the only values that reach the driver. A null url, or one with no
-``://``, has empty host and path; hosts without labels get their domain's rate.
+``://``, has empty host and path and no reputation; hosts without labels get their domain's rate.
 """
 
 from __future__ import annotations
@@ -91,7 +91,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES) -> DataFrame:
     """
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labelled = parts.select("page_id", "host").join(outcomes, "page_id", "left").select("host", "bad")
-    known = reputation(labelled).filter(F.col("bad_bound") > LIMIT).select("host", F.lit(True).alias("bad_host"))
+    known = reputation(labelled).filter((F.col("host") != "") & (F.col("bad_bound") > LIMIT)).select("host", F.lit(True).alias("bad_host"))
     found = parts.join(known, "host", "left").withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     by_rule = F.coalesce(*[F.when(F.col("rule") == r, v) for r, v in rules])
     return found.select("page_id", "host", "path", "rule", F.coalesce(by_rule, F.when(F.col("bad_host"), "block"), F.lit("allow")).alias("verdict"))
@@ -153,6 +153,6 @@ r AS (
   FROM p LEFT JOIN rep USING (host)
 )
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-  WHEN bound > {LIMIT} THEN 'block' ELSE 'allow' END AS verdict
+  WHEN host <> '' AND bound > {LIMIT} THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """
