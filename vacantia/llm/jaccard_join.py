@@ -10,11 +10,14 @@ prefix has ``free + 1 + sum(min(x, k - 1))`` tokens, where ``free`` of its token
 The number of groups goes by size band, which both documents of a link share, so combinations grow
 with the prefix and not with its square.
 
-Candidates are verified on whole sets. Documents with equal sets are one node throughout. Links are
-found as far as they connect: an index entry compares its members with one of them first, and only
-entries whose members are then still apart compare further ones, at last all pairs across classes.
-So every class is whole, and a group of near copies costs in proportion to its size. Sizes decide
-before sets are read.
+Documents with equal sets are one node throughout. An index entry carries the node's parity sketch: a
+bit for each slot that holds an odd number of its tokens. Two sketches differ in at most as many bits
+as their sets differ in tokens, so unlike members of an entry are told apart without reading sets, and
+none that link are lost. A first round compares every member with the first earlier one that its
+sketch admits; a second one takes what is left, all admitted pairs of different classes so far. Only
+these are verified, on whole sets. Links are thus found as far as they connect, every class is whole,
+and a group of near copies costs rows in proportion to its size. Entries with more than ``BLOCK``
+members are compared block by block.
 
 Null texts count as empty; documents without words have no shingles and no links. Repeated rows
 link with each other if they have words. Rows with a null identifier take part, and a class of such
@@ -28,6 +31,7 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,8 +48,7 @@ PERCENT = 90
 BOUNDS = (2, 33, 1025)
 #: Bands of smaller documents index single tokens only; their prefixes are one or two tokens long.
 SMALL_BAND = 4
-ALL_PAIRS = 4
-LEADERS = 8
+BLOCK = 2048
 NO_ID = (1 << 63) - 1
 
 
@@ -70,6 +73,27 @@ def groups_of(band: int, percent: int) -> tuple[int, int]:
     return max(1, free // 6), max(1, free // 5)
 
 
+def sketch(tokens: np.ndarray, percent: int = PERCENT) -> bytes:
+    """The parity sketch, with a bit for each token that a document of the largest band may have."""
+    bits = max(64, 2 << bands(len(tokens), percent)[-1])
+    odd = np.bincount(((tokens >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def fold(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, the longer ones folded to the width of the shortest."""
+    width = min(map(len, sketches))
+    rows = [x if len(x) == width else np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, width)).tobytes() for x in sketches]
+    return np.frombuffer(b"".join(rows), np.uint64).reshape(len(rows), -1)
+
+
+def admitted(words: np.ndarray, n: np.ndarray, at: int, others: slice, percent: int) -> np.ndarray:
+    """Which of the others the node at ``at`` may link with: sets of sizes a and b that link differ in at most (a + b) (100 - p) / (100 + p) tokens."""
+    differ = np.bitwise_count(words[others] ^ words[at]).sum(axis=1, dtype=np.int64)
+    both = n[others] + n[at]
+    return (np.maximum(differ, np.abs(n[others] - n[at])) * (100 + percent)) <= both * (100 - percent)
+
+
 def signatures(tokens: np.ndarray, level: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Index entries of one document; ``level`` is the class of each token."""
     n = len(tokens)
@@ -137,8 +161,8 @@ def _index(docs: DataFrame, known, size: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "sig long, node binary, n long").distinct()
 
 
-def _sets(docs: DataFrame, wanted, size: int) -> DataFrame:
-    """``node`` and ``tokens`` of the documents whose node the filter ``wanted`` has."""
+def _sets(docs: DataFrame, wanted, size: int, percent: int) -> DataFrame:
+    """``node``, ``tokens`` and ``sketch`` of the documents whose node the filter ``wanted`` has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, parts = wanted.value
@@ -147,12 +171,12 @@ def _sets(docs: DataFrame, wanted, size: int) -> DataFrame:
             sets = [s for s in shingles(batch, 1, size) if len(s)]
             nodes = [node_of(s) for s in sets]
             keep = has(np.array([int.from_bytes(x[:8], "big") for x in nodes], np.uint64)) > 0
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, k in zip(nodes, keep, strict=True) if k], pa.binary()), pa.array([s.tobytes() for s, k in zip(sets, keep, strict=True) if k], pa.binary())], ["node", "tokens"]
-            )
+            found = [(x, s) for x, s, k in zip(nodes, sets, keep.tolist(), strict=True) if k]
+            columns = ([x for x, _ in found], [s.tobytes() for _, s in found], [sketch(s, percent) for _, s in found])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in columns], ["node", "tokens", "sketch"])
 
-    found = docs.mapInArrow(run, "node binary, tokens binary")
-    return found.groupBy("node").agg(F.first("tokens").alias("tokens"))
+    found = docs.mapInArrow(run, "node binary, tokens binary, sketch binary")
+    return found.groupBy("node").agg(F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -173,17 +197,63 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
-def _sized(percent: int):
-    return (100 * F.col("n_a") >= percent * F.col("n_b")) & (100 * F.col("n_b") >= percent * F.col("n_a"))
+def _blocks(index: DataFrame) -> DataFrame:
+    """The index with ``p`` and ``q``: a large entry's members meet in every pair of blocks of theirs."""
+    n = F.ceil(F.col("members") / BLOCK).cast("int")
+    small = index.filter(F.col("members") <= BLOCK).withColumns({"p": F.lit(0), "q": F.lit(0)})
+    own = F.pmod(F.xxhash64("node"), n).cast("int")
+    large = index.filter(F.col("members") > BLOCK).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+    large = large.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other")}).drop("own", "other")
+    return small.unionByName(large)
+
 
+def _candidates(index: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of members that their sketches admit.
 
-def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of the two sides' nodes with equal ``sig``, fitting sizes and, if they have them, unlike roots."""
-    sides = [d.select("sig", F.col("node").alias(f"node_{s}"), F.col("n").alias(f"n_{s}"), *([F.col("root").alias(f"root_{s}")] if "root" in d.columns else [])) for d, s in ((left, "a"), (right, "b"))]
-    found = sides[0].join(sides[1], "sig").filter(F.col("node_a") != F.col("node_b")).filter(_sized(percent))
-    if "root_a" in found.columns and "root_b" in found.columns:
-        found = found.filter(F.col("root_a") != F.col("root_b"))
-    return found.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    Without a column ``root`` each member with the first admitted one before it, with it all admitted
+    pairs of different roots; ``sigs``, a node's sorted entries, lets only the first entry that two
+    nodes share report them.
+    """
+    rooted = "root" in index.columns
+
+    def pairs(group: pd.DataFrame) -> tuple[list, list]:
+        node, n, words = group["node"].tolist(), group["n"].to_numpy(), fold(group["sketch"].tolist())
+        if rooted:
+            root, sigs, own = group["root"].to_numpy(), group["sigs"].tolist(), group["sig"].iloc[0]
+        left, right = [], []
+        for y in range(1, len(node)):
+            ok = admitted(words, n, y, slice(0, y), percent)
+            if rooted:
+                ok &= root[:y] != root[y]
+                found = [x for x in np.flatnonzero(ok).tolist() if np.intersect1d(sigs[x], sigs[y], True)[0] == own]
+            else:
+                first = int(ok.argmax())
+                found = [first] if ok[first] else []
+            left.extend(node[x] for x in found)
+            right.extend([node[y]] * len(found))
+        return left, right
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            key = held[["sig", "p", "q"]].to_numpy()
+            cut = (np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()  # the last group may go on
+            left, right = [], []
+            for i, j in zip([0, *cut[:-1]], cut, strict=False):
+                got = pairs(held.iloc[i:j])
+                left += got[0]
+                right += got[1]
+            held = held.iloc[cut[-1] :] if cut else held
+            yield pd.DataFrame({"a": left, "b": right})
+        if held is not None:
+            left, right = pairs(held)
+            yield pd.DataFrame({"a": left, "b": right})
+
+    key = ["sig", "p", "q"]
+    dealt = _blocks(index).repartition(*key).sortWithinPartitions(*key, "node")
+    chosen = dealt.select(*key, "node", "n", "sketch", *(["root", "sigs"] if rooted else []))
+    return chosen.mapInPandas(run, "a binary, b binary").distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
@@ -195,7 +265,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     levels = classes(docs, lambda batch: np.concatenate([np.zeros(0, np.uint64), *shingles(batch, 1, size)]), BOUNDS)
     known = spark.sparkContext.broadcast((levels.bits, levels.parts))
     index = materialize(_index(docs, known, size, percent), "index")
-    shared = index.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), F.min("node").alias("leader")).filter("members > 1")
+    # of the entries that hold the same members one is enough; near copies share most of theirs
+    held = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"held_{k}") for k in (1, 2)]
+    shared = index.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), *held).filter("members > 1")
+    shared = shared.groupBy("members", "held_1", "held_2").agg(F.min("sig").alias("sig")).select("sig", "members")
     index = materialize(index.join(shared, "sig"), "shared-index")
 
     def first_long(batch: pa.RecordBatch) -> np.ndarray:
@@ -203,24 +276,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     members = classes(index.select("node").distinct(), first_long, (1,))
     wanted = spark.sparkContext.broadcast((members.bits, members.parts))
-    sets = materialize(_sets(docs, wanted, size), "sets")
-
-    few, many = index.filter(F.col("members") <= ALL_PAIRS), index.filter(F.col("members") > ALL_PAIRS)
-    lead = many.filter(F.col("node") == F.col("leader"))
-    links = materialize(_verified(_pairs(few, few, percent).unionByName(_pairs(lead, many, percent)).distinct(), sets, percent), "links")
+    sets = materialize(_sets(docs, wanted, size, percent), "sets")
+    index = index.join(sets.select("node", "sketch"), "node")
+    pairs = materialize(_candidates(index, percent), "pairs")
+    links = materialize(_verified(pairs, sets, percent), "links")
+    roots = materialize(connected(links), "roots")
+    placed = index.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
+    placed = materialize(placed.join(mixed, "sig", "left_semi"), "mixed-index")
+    sigs = placed.groupBy("node").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
+    rest = materialize(_candidates(placed.join(sigs, "node"), percent), "pairs")
+    links = materialize(links.unionByName(_verified(rest, sets, percent)), "links")
     roots = materialize(connected(links), "roots")
-    open_index = many
-    for last in (False, True):
-        # entries whose members are in different classes so far
-        placed = open_index.select("sig", "node", "n", "members").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = placed.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
-        open_index = materialize(placed.join(mixed, "sig", "left_semi"), "open-index")
-        if open_index.isEmpty():
-            break
-        lead = open_index if last else open_index.filter(F.pmod(F.xxhash64("node", "sig"), F.col("members")) < LEADERS)
-        more = _verified(_pairs(lead, open_index, percent), sets, percent)
-        links = materialize(links.unionByName(more), "links")
-        roots = materialize(connected(links), "roots")
 
     ids = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least"))
     linked = ids.join(roots, "node")
