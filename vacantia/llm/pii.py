@@ -131,12 +131,16 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     fixed = F.filter(F.collect_list(one), lambda x: x["kind"] < 4)
     each = [F.count_if(F.col("kind") == i).alias(f"n_{k}") for i, k in enumerate(KINDS[:4])]
     found = spans.groupBy("print").agg(*each, _listed(fixed).alias("fixed"), _listed(F.collect_list(one)).alias("spans"))
-    return keyed.drop("text").join(found, "print", "left").select(
+    columns = [
         "doc_id",
         *[F.coalesce(f"n_{k}", F.lit(0)).alias(f"n_{k}") for k in KINDS[:4]],
         F.sha2(F.coalesce("fixed", F.lit("")), 256).alias("base_sha256"),
         F.coalesce("spans", F.lit("")).alias("spans"),
-    )
+    ]
+    # texts that were not searched have no key; they bypass the join, where all of them would meet in one task
+    searched = keyed.filter("print IS NOT NULL").select("doc_id", "print").join(found, "print", "left")
+    others = keyed.filter("print IS NULL").select("doc_id", *[F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema.fields])
+    return searched.select(columns).unionByName(others.select(columns))
 
 
 def op8_personal_data(spark, sf_dir: str) -> DataFrame:
