@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from vacantia.llm.common import materialize
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every edge hangs a node on the root of its component: each ``u`` has one ``v``, and no ``v`` is a ``u``."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("hangs"), F.lit(0).alias("holds"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    ends = ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds"))
+    return ends.filter("hangs > 1 OR hangs > 0 AND holds > 0").isEmpty()
 
 
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -20,12 +24,9 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     neighbours are combined before the shuffle, and its rows are dealt by AQE's skew join.
     """
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    before = None
     for _ in range(most_rounds):
-        mark = _mark(now)
-        if mark == before or mark[0] == 0:
+        if _stars(now):
             break
-        before = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

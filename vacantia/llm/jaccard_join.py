@@ -256,6 +256,16 @@ def _candidates(index: DataFrame, percent: int) -> DataFrame:
     return chosen.mapInPandas(run, "a binary, b binary").distinct()
 
 
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after further ``links``: these connect whole classes, so only the roots take part in the rounds."""
+    for end in ("a", "b"):
+        of_end = roots.select(F.col("node").alias(end), "root")
+        links = links.join(of_end, end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    tops = materialize(connected(links), "roots").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    known = roots.unionByName(tops.select(F.col("root").alias("node"), "root")).distinct()
+    return materialize(known.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``component_id`` of every row of ``docs``."""
     spark = docs.sparkSession
@@ -286,8 +296,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = materialize(placed.join(mixed, "sig", "left_semi"), "mixed-index")
     sigs = placed.groupBy("node").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
     rest = materialize(_candidates(placed.join(sigs, "node"), percent), "pairs")
-    links = materialize(links.unionByName(_verified(rest, sets, percent)), "links")
-    roots = materialize(connected(links), "roots")
+    roots = _merged(roots, materialize(_verified(rest, sets, percent), "links"))
 
     ids = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("least"))
     linked = ids.join(roots, "node")
