@@ -273,6 +273,26 @@ def test_bootstrap_finds_what_patterns_miss(spark):
     assert got[0].startswith("email:") and "id:" not in got[101]
 
 
+def spans_of(spark, texts):
+    rows = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [[t[int(a) : int(b)] for k, a, b in (x.split(":") for x in r["spans"].split(",") if x) if k == "id"] for t, r in zip(texts, sorted(rows), strict=True)]
+
+
+def test_bootstrap_reaches_other_shapes(spark):
+    """An address without a dot, a number without a country code; clean words in other contexts stay."""
+    texts = [f"some text mail: user{i}@host{i}.org and more" for i in range(40)] + [f"please call +44 20 7946 {1000 + i} today" for i in range(30)]
+    more = {"write to mail: user77@intranet now": ["user77@intranet"], "please call 020 7946 0958 again": ["020 7946 0958"], "see page 77@intranet or so": [], "in 2024 we had 5000 visitors": [], "chapter 1234 of the book": []}
+    assert spans_of(spark, texts + list(more))[70:] == list(more.values())
+
+
+def test_bootstrap_promoted_values_raise_contexts(spark):
+    """'login' introduces no match of a fixed pattern, only values that 'mail:' has promoted."""
+    texts = [f"mail: user{i}@host{i}.org x{i}y" for i in range(99)] + [f"mail: staff{i}@intranet" for i in range(12)]
+    texts += [f"the login staff{i}@intranet" for i in range(12)] + ["the login guest@intranet", "the page guest@printer"]
+    got = spans_of(spark, texts)
+    assert got[-2:] == [["guest@intranet"], []] and got[99] == ["staff0@intranet"]
+
+
 def test_raking():
     rng = np.random.default_rng(1)
     totals = rng.integers(1, 1000, (4, 3, 2)).astype(float)

@@ -1,10 +1,13 @@
 r"""Personal data: fixed patterns, then bootstrapped contextual extraction.
 
 Matches of the fixed patterns seed the extraction. Every identifier-like word (one with a digit or
-an ``@``) is an instance with a lexical context: the word before it and its own shape. Contexts and
-instance values form a bipartite graph, which Spark scores in ``ROUNDS`` rounds: a context by how
-much of what it introduces is trusted, a value by the best context that it occurs in. Values in a
-context of at least ``LEAST_SCORE`` that enough different seeds support become spans of kind ``id``.
+an ``@``) or run of numbers is an instance; it is a seed where it overlaps a match. Its lexical
+contexts are the word before it, the word after it and both, each with a coarse class of the value
+(``a@a``, ``@``, ``9`` or ``a9``) and not its shape. Contexts and instance values form a bipartite
+graph, which Spark scores in ``ROUNDS`` rounds: a context by how much of what it introduces is
+trusted, a value by the best context that it occurs in. A context counts from ``LEAST_SEEDS`` trusted
+values on, be they seeds or promoted in an earlier round. Other values in a context of at least
+``LEAST_SCORE`` become spans of kind ``id``.
 
 Only DataFrame functions are used. Spark's regular expressions give matches but no places, so a
 text's matches are paired with the gaps between them (``split`` on the same pattern) and a running
@@ -41,7 +44,14 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 KINDS = ("email", "ip", "card", "phone", "id")
 _BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]?[0-9])"
-_IDENTIFIER = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+_OUTER = r"\"')\]>}!.,;:#*$%&|"
+#: A run of numbers, or a word with a digit or ``@``.
+_IDENTIFIER = (
+    r"(?<![^\x20\x09-\x0D])(?:[(+]*+[0-9][0-9().-]*+(?:\x20[(]?+[0-9][0-9().-]*+)++[\"'\]>},;:!?]*+(?![^\x20\x09-\x0D])"
+    r"|[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+)"
+)
+#: Places are joined by parts of a text of this many characters, so that long texts don't pair everything with everything.
+_PART = 1000
 
 
 def luhn(digits: Column) -> Column:
@@ -66,10 +76,10 @@ def valid(kind: str, match: Column) -> Column:
 
 
 def placed(texts: DataFrame, pattern: str) -> DataFrame:
-    """Matches with their places: ``print``, ``gap`` (the text since the last match), ``match``, ``start``, ``end``."""
+    """Matches with their places: ``print``, ``gap`` (the text since the last match), ``match``, ``next`` (80 characters of the text up to the next one), ``start``, ``end``."""
     gaps = F.split("text", pattern, -1)
-    both = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("match"))
-    rows = texts.select("print", F.posexplode(both).alias("k", "m")).select("print", "k", "m.gap", "m.match").filter("match IS NOT NULL")
+    both = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("match"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next"))
+    rows = texts.select("print", F.posexplode(both).alias("k", "m")).select("print", "k", "m.gap", "m.match", F.substring("m.next", 1, 80).alias("next")).filter("match IS NOT NULL")
     w = Window.partitionBy("print").orderBy("k")
     end = F.sum(F.length("gap") + F.length("match")).over(w)
     return rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("match"))
@@ -85,35 +95,54 @@ def base_spans(texts: DataFrame) -> DataFrame:
 
 
 def instances(texts: DataFrame) -> DataFrame:
-    """Identifier-like words without outer punctuation: place, value and context."""
+    """Identifier-like words and runs of numbers without outer punctuation: place, hash of the value, and contexts."""
     words = placed(texts.filter(F.col("text").rlike("[0-9@]")), _IDENTIFIER)
     lead = F.length(F.regexp_extract("match", r"^[\"'(\[<{!.,;:#*$%&|]*+", 0))
-    core = F.regexp_extract("match", r"^[\"'(\[<{!.,;:#*$%&|]*+(.*?)[\"')\]>}!.,;:#*$%&|]*$", 1)
-    before = F.regexp_replace(F.lower(F.regexp_extract(F.substring(F.col("gap"), -80, 80), r"([^\x20\x09-\x0D]*)[\x20\x09-\x0D]*$", 1)), "[0-9]+", "9")
-    shape = F.regexp_replace(F.regexp_replace(F.substring(core, 1, 80), r"[0-9]+", "9"), r"\p{L}+", "a")
+    core = F.regexp_extract("match", rf"^[\"'(\[<{{!.,;:#*$%&|]*+(.*?)[{_OUTER}]*$", 1)
+    before = F.lower(F.regexp_extract(F.substring(F.col("gap"), -80, 80), r"([^\x20\x09-\x0D]*)[\x20\x09-\x0D]*$", 1))
+    after = F.regexp_replace(F.lower(F.regexp_extract("next", r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]*)", 1)), rf"[{_OUTER}]+$", "")
+    has_at, has_letter = F.col("value").contains("@"), F.col("value").rlike(r"\p{L}")
+    coarse = F.when(F.col("value").rlike("^[^@]++@[^@]++$"), "a@a").when(has_at, "@").when(has_letter, "a9").otherwise("9")
     rows = words.withColumn("value", core).withColumn("start", F.col("start") + lead).withColumn("end", F.col("start") + F.length(core))
-    return rows.filter((F.length("value") >= 4) & (before != "")).select("print", "start", "end", "value", F.concat_ws(" ", before, shape).alias("context"))
+    rows = rows.filter(F.length("value") >= 4).select("print", "start", "end", F.md5("value").alias("value"), coarse.alias("class"), before.alias("before"), after.alias("after"))
+    first = F.when(F.col("before") != "", F.concat_ws(" ", "before", "class", F.lit("")))
+    last = F.when(F.col("after") != "", F.concat_ws(" ", F.lit(""), "class", "after"))
+    around = F.when((F.col("before") != "") & (F.col("after") != ""), F.concat_ws(" ", "before", "class", "after"))
+    return rows.select("print", "start", "end", "value", F.array_compact(F.array(first, last, around)).alias("contexts"))
+
+
+def seeded(words: DataFrame, base: DataFrame) -> DataFrame:
+    """The instances with ``seed``: 1 where they overlap a match of the fixed patterns, else 0."""
+
+    def parts(start: str, end: str) -> Column:
+        return F.explode(F.sequence((F.col(start) / _PART).cast("long"), ((F.col(end) - 1) / _PART).cast("long"))).alias("part")
+
+    spans = base.select("print", F.col("start").alias("b_start"), F.col("end").alias("b_end"), parts("start", "end"))
+    hit = words.select("print", "start", "end", parts("start", "end")).join(spans, ["print", "part"])
+    hit = hit.filter((F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end"))).select("print", "start", F.lit(1.0).alias("s")).distinct()
+    return words.join(hit, ["print", "start"], "left").withColumn("seed", F.coalesce("s", F.lit(0.0))).drop("s")
+
+
+def _believed(trust: DataFrame) -> DataFrame:
+    """``context`` and ``belief`` of the contexts that enough trusted values support."""
+    found = trust.groupBy("context").agg((F.sum("score") / (F.count(F.lit(1)) + DOUBT)).alias("belief"), F.count_if(F.col("score") > 0).alias("support"))
+    return found.filter((F.col("support") >= LEAST_SEEDS) & (F.col("belief") >= LEAST_SCORE)).select("context", "belief")
 
 
 def bootstrap(words: DataFrame, base: DataFrame) -> DataFrame:
     """Spans of values that trusted contexts introduce and the fixed patterns miss."""
-    seeds = base.select("print", "start", F.lit(1.0).alias("seed")).distinct()
-    known = words.join(seeds, ["print", "start"], "left")
-    edges = materialize(known.groupBy("context", "value").agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce("seed", F.lit(0.0))).alias("seed")), "pii-edges")
-    # only contexts that introduce enough different seeds can ever be trusted
-    usable = edges.groupBy("context").agg(F.sum("seed").alias("seeds"), F.count(F.lit(1)).alias("values")).filter(F.col("seeds") >= LEAST_SEEDS)
-    graph = materialize(edges.join(usable.filter(F.col("seeds") < F.col("values")), "context"), "pii-graph")
-    trust = graph.select("context", "value", "seed", F.col("seed").alias("score"))
+    known = materialize(seeded(words, base), "pii-known").select("print", "start", "end", "value", "seed", F.explode("contexts").alias("context"))
+    edges = materialize(known.groupBy("context", "value").agg(F.max("seed").alias("seed")), "pii-edges")
+    # a value is sure wherever it occurs; contexts of few values can never be trusted, those of sure values only add nothing
+    sure = edges.groupBy("value").agg(F.max("seed").alias("seed"))
+    edges = edges.drop("seed").join(sure, "value")
+    usable = edges.groupBy("context").agg(F.sum("seed").alias("seeds"), F.count(F.lit(1)).alias("values")).filter((F.col("values") >= LEAST_SEEDS) & (F.col("seeds") < F.col("values")))
+    trust = materialize(edges.join(usable.select("context"), "context").select("context", "value", "seed", F.col("seed").alias("score")), "pii-graph")
     for _ in range(ROUNDS):
-        contexts = trust.groupBy("context").agg((F.sum("score") / (F.count(F.lit(1)) + DOUBT)).alias("belief"))
-        values = trust.join(contexts, "context").groupBy("value").agg(F.max("belief").alias("best"), F.max("seed").alias("sure"))
-        scores = values.select("value", F.when(F.col("sure") == 1, 1.0).otherwise(F.when(F.col("best") >= LEAST_SCORE, F.col("best")).otherwise(0.0)).alias("score"))
-        trust = materialize(trust.drop("score").join(scores, "value"), "pii-trust")
-    chosen = trust.groupBy("context").agg((F.sum("score") / (F.count(F.lit(1)) + DOUBT)).alias("belief")).filter(F.col("belief") >= LEAST_SCORE)
-    new = known.filter("seed IS NULL").join(chosen, "context").select("print", F.lit(4).alias("kind"), "start", "end")
-    inside = base.select("print", F.col("start").alias("b_start"), F.col("end").alias("b_end"))
-    overlap = new.join(inside, "print").filter((F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end"))).select("print", "start", "end")
-    return new.join(overlap, ["print", "start", "end"], "left_anti")
+        best = trust.join(_believed(trust), "context").groupBy("value").agg(F.max("belief").alias("best"))
+        score = F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("best", F.lit(0.0)))
+        trust = materialize(trust.join(best, "value", "left").select("context", "value", "seed", score.alias("score")), "pii-trust")
+    return known.filter("seed = 0").join(_believed(trust), "context").select("print", F.lit(4).alias("kind"), "start", "end")
 
 
 def _listed(spans: Column) -> Column:
