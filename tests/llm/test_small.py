@@ -229,6 +229,17 @@ def test_depleted_documents_go(spark):
     assert not kept[100][0] and not kept[101][0]
 
 
+def test_depleted_documents_go_from_large_hosts(spark):
+    """1,100 templated documents are below 5 % of 24,100; the clean ones stay, also those with a line in common."""
+    rng = random.Random(6)
+    template = "\n".join(words(rng, 12) for _ in range(6))
+    rows = [(i, f"{template}\n{words(rng, 8)}", "h") for i in range(1100)]
+    rows += [(10_000 + i, f"{words(rng, 60)}\n" + "\n".join(["read more"] * (i < 1100)), "h") for i in range(23_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = {r["doc_id"] for r in quality_rules.judge(frame).filter("kept").select("doc_id").collect()}
+    assert kept == {r[0] for r in rows if r[0] >= 10_000}
+
+
 def test_urls(spark):
     cases = [("http://a.example.net/en/1", "a.example.net", "/en/1", "example.net/en/", "allow"), ("HTTP://Example.NET?x", "example.net", "", None, "allow"), ("https://x.org/fr/", "x.org", "/fr/", "org/fr/", "allow"), ("https://example.com/de/a#b", "example.com", "/de/a", "example.com/de/", "block"), (None, "", "", None, "allow"), ("nonsense", "", "", None, "allow"), ("http://b.net/", "b.net", "/", "net/", "block")]
     pages = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)] + [(100 + i, "http://bad.site.com/p") for i in range(40)] + [(200 + i, f"http://fine{i % 9}.org/p") for i in range(90)], "page_id long, url string")

@@ -2,9 +2,12 @@
 
 A line is normalised (lower case, white space runs as one space) and hashed. For each host (column
 ``source``) Spark counts in how many distinct documents a line occurs; documents with the same text
-count once, so a group of copies does not turn its own lines into boilerplate. Lines in more than
-``LEAST_DOCS`` documents and more than ``MOST_SHARE`` % of the host's are removed, and a document
-that loses more than ``MOST_LOST`` % of its words with them is rejected as depleted.
+count once, so a group of copies does not turn its own lines into boilerplate. A line is removed if
+it is in more than ``LEAST_DOCS`` documents and more than ``MOST_SHARE`` % of the host's, or, however
+large the host is, in more than ``MOST_DOCS`` documents and takes ``LINE_WORDS`` words in each. A
+document that loses more than ``MOST_LOST`` % of its words so is rejected as depleted. ``ORACLE``
+knows the share only: it gives the same verdicts for hosts of up to 100 / ``MOST_SHARE`` *
+``MOST_DOCS`` (20,000) distinct texts.
 
 The verdict depends on host and text only, so it is worked out once for each distinct pair; joins
 back to the rows are on that pair. Null texts count as empty and fail the base rules; a null source
@@ -29,6 +32,8 @@ LEAST_WORDS = 50
 MOST_REPEATED = 50
 LEAST_DOCS = 20
 MOST_SHARE = 5
+MOST_DOCS = 1000
+LINE_WORDS = 5
 MOST_LOST = 70
 SYMBOLS = "#*$%&|<>"
 
@@ -85,9 +90,10 @@ def depleted(base: DataFrame) -> DataFrame:
     """``host`` and ``print`` of the texts that lose too many words with the host's frequent lines."""
     once = base.groupBy("host", "print").agg(F.first("lines").alias("lines"), F.first("line_words").alias("line_words"), F.first("n_words").alias("n_words"))
     lines = once.select("host", "print", "n_words", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("host", "print", "n_words", "l.*")
-    often = lines.groupBy("host", "lines").agg(F.count(F.lit(1)).alias("n_docs")).filter(F.col("n_docs") > LEAST_DOCS)
+    often = lines.groupBy("host", "lines").agg(F.count(F.lit(1)).alias("n_docs"), F.min("line_words").alias("words")).filter(F.col("n_docs") > LEAST_DOCS)
     hosts = once.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    common = often.join(hosts, "host").filter(100 * F.col("n_docs") > MOST_SHARE * F.col("host_docs")).select("host", "lines")
+    anywhere = (F.col("n_docs") > MOST_DOCS) & (F.col("words") >= LINE_WORDS)
+    common = often.join(hosts, "host").filter((100 * F.col("n_docs") > MOST_SHARE * F.col("host_docs")) | anywhere).select("host", "lines")
     lost = lines.join(common, ["host", "lines"]).groupBy("host", "print").agg(F.sum("line_words").alias("lost"), F.first("n_words").alias("n_words"))
     return lost.filter(100 * F.col("lost") > MOST_LOST * F.col("n_words")).select("host", "print")
 
