@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from vacantia.llm import exact_dedup, jaccard_join, mixing, packing, quality_rules
 from vacantia.llm.common import materialize
 
+#: Near copies share at least this share in % of their shingles of so many words.
+NEAR_SIZE, NEAR_PERCENT = 5, 80
+
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -25,7 +28,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies stays."""
-    return jaccard_join.keep_one_of_each(docs)
+    return jaccard_join.keep_one_of_each(docs, size=NEAR_SIZE, percent=NEAR_PERCENT)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,22 @@
+"""The whole pipeline with near copies as the stage takes them: five words, 0.8."""
+
+from tests.llm import test_pipeline
+
+
+def five_word_components(rows):
+    sets = {}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        sets[i] = frozenset(zip(*(w[j:] for j in range(5)), strict=False)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return [(i, len(sets[i]), root[i]) for i in sets]
+
+
+def test_pipeline_with_five_words(spark, monkeypatch):
+    monkeypatch.setattr(test_pipeline, "brute_components", five_word_components)
+    test_pipeline.test_pipeline(spark)

@@ -109,6 +109,33 @@ def test_jaccard_combinations(spark, monkeypatch, bounds, block):
     assert as_key(got) == as_key(brute_components(rows))
 
 
+def test_pipeline_stage_drops_five_word_near_copies(spark):
+    """Two edits in 100 words: 86 of 106 shingles of five words, yet 92 of 104 of three. The stage against brute force."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    base = [f"word{i}" for i in range(100)]
+    near = [*base[:30], "edit1", *base[31:70], "edit2", *base[71:]]
+    rows = [(1, " ".join(base), "en", "s", 1), (2, " ".join(near), "en", "s", 1)]
+    for k in range(10, 80, 10):
+        own = words(rng, rng.choice([40, 100, 250])).split()
+        for i in range(k, k + 7):
+            copy = list(own)
+            for _ in range(rng.randrange(1 + len(own) // 20)):
+                copy[rng.randrange(len(copy))] = f"edit{rng.randrange(50)}"
+            rows.append((i, " ".join(copy), "en", "s", 1))
+    sets = {i: set(zip(*(t.split()[j:] for j in range(5)), strict=False)) for i, t, *_ in rows}
+    assert 100 * len(sets[1] & sets[2]) >= 80 * len(sets[1] | sets[2])
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    got = corpus_pipeline.jaccard_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "").collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(i for i in root if root[i] == i)
+
+
 def test_components(spark):
     edges = [(f"{i:03}", f"{i + 1:03}") for i in range(40)] + [("900", f"{i}") for i in range(901, 930)]
     got = {r["node"]: r["root"] for r in connected(spark.createDataFrame(edges, "a string, b string")).collect()}

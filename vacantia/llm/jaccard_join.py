@@ -308,12 +308,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return found.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` whose identifier is the smallest of their class, with its columns only.
 
     Rows without words or without an identifier stay.
     """
-    found = jaccard_components(docs, id_col, text_col)
+    found = jaccard_components(docs, id_col, text_col, size, percent)
     gone = found.filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("gone_id")).distinct()
     return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
 
