@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,15 +17,29 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of one Arrow batch. Texts can be long, so batches stay far below Spark's default of 10,000 rows.
-ARROW_ROWS = 500
+#: Python code works on parts of an Arrow batch that hold about so many bytes of text. Spark itself
+#: bounds a batch by ``spark.sql.execution.arrow.maxBytesPerBatch``.
+PART_BYTES = 2 << 20
 
 
-def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for long texts, unless the session has its own small value."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+def _cuts(sizes: np.ndarray) -> list[tuple[int, int]]:
+    part = (np.cumsum(sizes) - sizes) // PART_BYTES
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(sizes)]
+    return [(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
+
+
+def small_frames(batches: Iterable[pd.DataFrame], text_col: str) -> Iterator[pd.DataFrame]:
+    """The same rows in parts of a bounded amount of text, one row at least."""
+    for batch in batches:
+        for a, b in _cuts(batch[text_col].str.len().fillna(0).to_numpy()):
+            yield batch.iloc[a:b].reset_index(drop=True)
+
+
+def small_batches(batches: Iterable[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
+    """The same for record batches; ``text_at`` is the place of the text column."""
+    for batch in batches:
+        for a, b in _cuts(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False)):
+            yield batch.slice(a, b - a)
 
 
 def scratch(spark: SparkSession) -> str:
@@ -57,6 +75,14 @@ def fresh(name: str, taken: Iterable[str]) -> str:
     return name
 
 
+def latest(name: str, columns: Iterable[str]) -> str:
+    """The name that ``fresh`` gave a column when it was added: the one with underscores in front if there are such."""
+    low = {c.lower() for c in columns}
+    while f"_{name}".lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col), F.lit(""))
 

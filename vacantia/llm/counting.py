@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vacantia.llm.common import parallelism, tune
+from vacantia.llm.common import parallelism
 
 SLOTS = 1 << 26
 FLUSH = 2_000_000
@@ -51,7 +51,6 @@ def _blocks(hashes: list[np.ndarray], parts: int) -> pa.RecordBatch:
 def classes(rows: DataFrame, hashes_of: Callable[[pa.RecordBatch], np.ndarray], bounds: tuple[int, ...]) -> Classes:
     """The class of a hash is the number of ``bounds`` (three at most) that its occurrences reach."""
     spark = rows.sparkSession
-    tune(spark)
     parts = 2 * parallelism(spark)
     per = SLOTS // parts // 4 * 4
 

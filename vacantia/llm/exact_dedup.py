@@ -1,94 +1,169 @@
-"""Exact deduplication by content sort.
+r"""Exact deduplication by content sort.
 
-Sampled splitters (``repartitionByRange``) deal the rows out by a bounded sort key of the normalised
-text: its first characters, then a 64-bit hash, then the identifier. Spark sorts every partition
-externally, which puts equal texts beside each other, and one pass over a partition compares each
-text in full with its neighbour's. The key ends with the identifier so that a group with a third of
-all rows spreads over many partitions; the runs of one group meet again by the SHA-256 of the text,
-as one small row for each partition and group.
+Sampled splitters (``repartitionByRange``) deal the rows out by the normalised text. A splitter holds
+a bounded part of it, its first ``PREFIX_CHARS`` characters and a 64-bit hash, and then what decides
+which row stays: length and identifier. So splitters are small whatever the texts, and a group with a
+third of all rows spreads over many partitions. Spark sorts each partition externally by the same key
+with the whole normalised text in it, which puts equal texts beside each other, the one that stays
+first. One pass compares every text in full with its neighbour's and turns each run of equal texts
+into its decision.
+
+Only the first and the last run of a partition (with any others that share its hash) can go on in
+another one. Of these, two small rows a partition, Spark stitches those with equal SHA-256; no other
+row is grouped or joined.
 
 Null texts count as empty. Among rows with equal text, length and identifier (repeated rows) exactly
-one stays. Null identifiers sort after all others.
+one stays. Null identifiers sort after all others. An empty table gives an empty result. Columns of
+the input may have any names: those that are added get underscores in front where they clash.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacantia.llm.common import SPACE, fresh, materialize, text_or_empty, tune
-
-PREFIX_CHARS = 24
+from vacantia.llm.common import PART_BYTES, fresh, materialize, small_batches, text_or_empty
+
+PREFIX_CHARS = 64
+#: The white space that the comparison leaves out.
+BLANKS = " \t\n\v\f\r"
+_DELETE = dict.fromkeys(map(ord, BLANKS))
+
+
+def normalised(text: Column) -> Column:
+    return F.translate(text, BLANKS, "")
+
+
+class Run:
+    """Neighbouring rows with equal text, as far as they have been read."""
+
+    def __init__(self, norm: str, key: int, size: int, best: object):
+        self.norm, self.key, self.size, self.best = norm, key, size, best
+        self.digest = hashlib.sha256(norm.encode()).hexdigest()
+        self.rows: list[pa.RecordBatch] = []
+        self.n = 0
+
+
+def _runs(batches: Iterator[pa.RecordBatch], text_at: int, id_at: int, heads_only: bool) -> Iterator[Run]:
+    """Each run of a sorted partition, when it is over. The last column is the hash of the sort key."""
+    run = None
+    for batch in small_batches(batches, text_at):
+        begin, keys = 0, batch.column(batch.num_columns - 1)
+        texts = batch.column(text_at).to_pylist()
+        rest = batch if heads_only else batch.drop_columns([batch.schema.names[text_at]])
+        for i, text in enumerate(texts):
+            norm = (text or "").translate(_DELETE)
+            if run is None or norm != run.norm:
+                if run is not None:
+                    if begin < i and not heads_only:
+                        run.rows.append(rest.slice(begin, i - begin))
+                    yield run
+                begin = i
+                run = Run(norm, keys[i].as_py(), len(text or ""), batch.column(id_at)[i].as_py())
+                if heads_only:
+                    run.rows.append(rest.slice(i, 1))
+            run.n += 1
+        if not heads_only and begin < len(texts):
+            run.rows.append(rest.slice(begin))
+    if run is not None:
+        yield run
+
+
+def _decide(text_at: int, id_at: int, heads_only: bool, names: list[str]) -> Callable:
+    """The pass over a sorted partition. Added columns: digest, rows in the run, length and identifier of its first row, whether the row is that one, and for runs at a border the partition (else null).
+
+    With ``heads_only`` the first rows of the runs, with all columns; else all rows without the text.
+    A run's rows are held, without their texts, until it ends: no more of them than a partition has.
+    """
+    kinds = (pa.string(), pa.int64(), pa.int64(), None, pa.bool_(), pa.int32())
 
+    def decided(run: Run, border: int | None) -> Iterator[pa.RecordBatch]:
+        head = True
+        for part in run.rows:
+            m = part.num_rows
+            id_type = part.schema.field(id_at - (not heads_only and text_at < id_at)).type
+            added = ([run.digest] * m, [run.n] * m, [run.size] * m, [run.best] * m, [head, *[False] * (m - 1)], [border] * m)
+            arrays = [*part.columns[:-1], *(pa.array(v, k or id_type) for v, k in zip(added, kinds, strict=True))]
+            head = False
+            yield pa.RecordBatch.from_arrays(arrays, [*part.schema.names[:-1], *names])
 
-def _neighbours(text_at: int, drop_text: bool, added: list[str]):
-    """Compare each row of a sorted partition with the one before; add digest, length and row number."""
-    blank = re.compile(SPACE)
+    def together(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return iter(pa.Table.from_batches(held).combine_chunks().to_batches())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 40
-        before, digest = None, ""
-        for batch in batches:
-            digests, sizes, rows = [], [], []
-            for text in batch.column(text_at).to_pylist():
-                text = text or ""
-                norm = blank.sub("", text)
-                if norm != before:
-                    before, digest = norm, hashlib.sha256(norm.encode()).hexdigest()
-                digests.append(digest)
-                sizes.append(len(text))
-                rows.append(row)
-                row += 1
-            kept = [c for i, c in enumerate(batch.columns) if not (drop_text and i == text_at)]
-            names = [c for i, c in enumerate(batch.schema.names) if not (drop_text and i == text_at)]
-            yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(rows, pa.int64())],
-                [*names, *added],
-            )
+        here, held, n_held, n_bytes = TaskContext.get().partitionId(), [], 0, 0
+        open_runs: list[Run] = []  # those of the present key, one but for colliding hashes
+        border = here  # the first key's runs may begin in an earlier partition
+        for found in _runs(batches, text_at, id_at, heads_only):
+            if open_runs and open_runs[0].key != found.key:
+                for done in open_runs:
+                    held += decided(done, border)
+                    n_held, n_bytes = n_held + done.n, n_bytes + (len(done.norm) if heads_only else 0)
+                open_runs, border = [], None
+                if n_held >= 2000 or n_bytes >= PART_BYTES:
+                    yield from together(held)
+                    held, n_held, n_bytes = [], 0, 0
+            open_runs.append(found)
+        for done in open_runs:
+            held += decided(done, here)
+        if held:
+            yield from together(held)
 
     return run
 
 
-def mark_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """All rows of ``docs`` with the decision on each.
+def _sorted_runs(docs: DataFrame, id_col: str, text_col: str, heads_only: bool) -> tuple[DataFrame, dict[str, str]]:
+    """The materialised rows of ``_decide`` and the names of its columns."""
+    n = {k: fresh(k, docs.columns) for k in ("prefix", "hash", "minus", "no_id", "norm", "digest", "in_run", "size", "best", "head", "border", "text_sha256", "group_size", "keep_id", "kept", "n", "first")}
+    norm = normalised(text_or_empty(text_col))
+    keyed = docs.withColumns({n["prefix"]: F.substring(norm, 1, PREFIX_CHARS), n["hash"]: F.xxhash64(norm), n["minus"]: -F.length(text_or_empty(text_col)), n["no_id"]: F.col(id_col).isNull()})
+    rest = [F.col(n["minus"]), F.col(n["no_id"]), F.col(id_col)]
+    dealt = keyed.repartitionByRange(F.col(n["prefix"]), F.col(n["hash"]), *rest)
+    ordered = dealt.sortWithinPartitions(F.col(n["prefix"]), F.col(n["hash"]), norm, *rest).select(*[F.col(c) for c in docs.columns], F.col(n["hash"]))
+    added = [n[k] for k in ("digest", "in_run", "size", "best", "head", "border")]
+    out = T.StructType([f for f in docs.schema.fields if heads_only or f.name != text_col])
+    out = out.add(added[0], "string").add(added[1], "long").add(added[2], "long").add(added[3], docs.schema[id_col].dataType).add(added[4], "boolean").add(added[5], "integer")
+    return materialize(ordered.mapInArrow(_decide(docs.columns.index(text_col), docs.columns.index(id_col), heads_only, added), out), "content-sort"), n
+
+
+def _stitched(rows: DataFrame, n: dict[str, str], id_col: str) -> DataFrame:
+    """For the runs at borders: digest, rows in the whole group, and its first run. At most two rows a partition come in."""
+    runs = rows.filter(F.col(n["border"]).isNotNull() & F.col(n["head"]))
+    best = F.min(F.struct(-F.col(n["size"]), F.col(n["best"]).isNull(), F.col(n["best"]), F.col(n["border"]))).alias(n["first"])
+    return runs.groupBy(F.col(n["digest"]).alias(n["norm"])).agg(F.sum(n["in_run"]).alias(n["n"]), best)
+
+
+def mark_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """All rows of ``docs`` without their text and with the decision on each.
 
     Added columns: ``text_sha256``, ``group_size``, ``keep_id`` and ``kept``. Of a group the row with
-    the longest original text stays, then the smallest identifier. A column of ``docs`` with one of
-    these names makes the added one start with an underscore. ``with_text`` carries the text along.
+    the longest original text stays, then the smallest identifier.
     """
-    tune(docs.sparkSession)
-    taken = docs.columns
-    n = {k: fresh(k, taken) for k in ("prefix", "hash", "digest", "size", "row", "text_sha256", "group_size", "keep_id", "kept")}
-    norm = F.regexp_replace(text_or_empty(text_col), f"{SPACE}+", "")
-    keyed = docs.withColumn(n["prefix"], F.substring(norm, 1, PREFIX_CHARS)).withColumn(n["hash"], F.xxhash64(norm))
-    key = [F.col(n["prefix"]), F.col(n["hash"]), F.col(id_col)]
-    ordered = keyed.repartitionByRange(*key).sortWithinPartitions(*key).select(*docs.columns)
-    out = T.StructType([f for f in docs.schema.fields if with_text or f.name != text_col])
-    out = out.add(n["digest"], "string").add(n["size"], "long").add(n["row"], "long")
-    rows = materialize(ordered.mapInArrow(_neighbours(docs.columns.index(text_col), not with_text, [n["digest"], n["size"], n["row"]]), out), "content-sort")
-    best = F.struct(-F.col(n["size"]), F.col(id_col).isNull(), F.col(id_col), F.col(n["row"]))
-    groups = rows.groupBy(F.col(n["digest"]).alias("g_digest")).agg(F.count(F.lit(1)).alias("g_size"), F.min(best).alias("g_best"))
-    joined = rows.join(groups, rows[n["digest"]] == groups["g_digest"])
-    return joined.select(
-        *[rows[c] for c in rows.columns if c not in (n["digest"], n["size"], n["row"])],
-        rows[n["digest"]].alias(n["text_sha256"]),
-        F.col("g_size").alias(n["group_size"]),
-        F.col(f"g_best.{id_col}").alias(n["keep_id"]),
-        (rows[n["row"]] == F.col(f"g_best.{n['row']}")).alias(n["kept"]),
-    )
+    rows, n = _sorted_runs(docs, id_col, text_col, False)
+    others = [F.col(c) for c in docs.columns if c != text_col]
+    digest = F.col(n["digest"]).alias(n["text_sha256"])
+    inside = rows.filter(F.col(n["border"]).isNull()).select(*others, digest, F.col(n["in_run"]).alias(n["group_size"]), F.col(n["best"]).alias(n["keep_id"]), F.col(n["head"]).alias(n["kept"]))
+    groups = _stitched(rows, n, id_col)
+    first = F.col(n["first"])
+    at_border = rows.filter(F.col(n["border"]).isNotNull()).join(F.broadcast(groups), F.col(n["digest"]) == F.col(n["norm"]))
+    stays = F.col(n["head"]) & (first[n["border"]] == F.col(n["border"]))
+    return inside.unionByName(at_border.select(*others, digest, F.col(n["n"]).alias(n["group_size"]), first[n["best"]].alias(n["keep_id"]), stays.alias(n["kept"])))
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with its columns only."""
-    marked = mark_exact_copies(docs, id_col, text_col, with_text=True)
-    return marked.filter(F.col(marked.columns[-1])).select(*docs.columns)
+    heads, n = _sorted_runs(docs, id_col, text_col, True)
+    columns = [F.col(c) for c in docs.columns]
+    groups = _stitched(heads, n, id_col)
+    at_border = heads.filter(F.col(n["border"]).isNotNull()).join(F.broadcast(groups), F.col(n["digest"]) == F.col(n["norm"]))
+    stays = at_border.filter(F.col(n["first"])[n["border"]] == F.col(n["border"]))
+    return heads.filter(F.col(n["border"]).isNull()).select(*columns).unionByName(stays.select(*columns))
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -7,7 +7,9 @@ ones that fit the expanded gap more tightly. A shard leaves at most about one bi
 number of shards, not of documents, bounds what distribution costs.
 
 Null texts count as empty: one piece that holds the end id alone. Every row of the input is packed,
-repeated rows and rows without an identifier too.
+repeated rows and rows without an identifier too. Pieces of equal length are taken in the order of
+their row numbers. An empty table gives an empty result. Only the identifier and the text are read,
+so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacantia.llm.common import materialize, tune
+from vacantia.llm.common import materialize, small_batches
 
 CAPACITY = 2048
 SHARD_PIECES = 50_000
@@ -34,7 +36,6 @@ PIECES = "piece int, start long, length long, ids_crc32 long, row long"
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece of each text's ids and the end id; only longer ones are cut."""
-    tune(docs.sparkSession)
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -42,7 +43,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, i
 
         words = encoder(tokenizer)
         row = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             out = [[], [], [], [], [], []]
             for doc, ids in zip(batch.column(0).to_pylist(), words.encode_all([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 ids = memoryview(ids + END)

@@ -9,7 +9,8 @@ them formed anew, from the counts at hand.
 
 Trees travel with their texts as two array columns, so edits need no join and no shuffle. Null texts
 count as empty. Positions count code points and are clipped to the text; edits apply one after the
-other; null or empty lists of edits change nothing. Repeated rows are counted one by one.
+other; null or empty lists of edits change nothing. Repeated rows are counted one by one. An empty
+table gives an empty result. Added columns get underscores in front where the input has their names.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacantia.llm.common import text_or_empty, tune
+from vacantia.llm.common import fresh, latest, small_frames, text_or_empty
 
 SEGMENT = 256
 _CUT = re.compile(rf"(?s).{{{SEGMENT}}}[^\x20\x09-\x0D]*[\x20\x09-\x0D]*|.+")
@@ -91,11 +92,11 @@ def _counter(tokenizer: str):
 
 def build_trees(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
     """``docs`` with ``segment_chars`` and ``tree``."""
-    tune(docs.sparkSession)
+    added = [fresh(c, docs.columns) for c in ("segment_chars", "tree")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = _counter(tokenizer)
-        for batch in batches:
+        for batch in small_frames(batches, text_col):
             parts = [cut(t or "") for t in batch[text_col]]
             flat = count([s for p in parts for s in p])
             sizes, trees, at = [], [], 0
@@ -103,23 +104,30 @@ def build_trees(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Data
                 sizes.append([len(s) for s in p])
                 trees.append(tree_of(flat[at : at + len(p)]))
                 at += len(p)
-            yield batch.assign(segment_chars=sizes, tree=trees)
+            yield batch.assign(**dict(zip(added, (sizes, trees), strict=True)))
 
-    schema = T.StructType(docs.schema.fields + T._parse_datatype_string("segment_chars array<int>, tree array<int>").fields)
-    return docs.mapInPandas(run, schema)
+    kinds = [T.StructField(c, T.ArrayType(T.IntegerType())) for c in added]
+    return docs.mapInPandas(run, T.StructType(docs.schema.fields + kinds))
 
 
 def apply_edits(trees: DataFrame, tokenizer: str, text_col: str = "text", edits_col: str = "edits", with_text: bool = True) -> DataFrame:
     """``trees`` with its edits applied: text, segments and tree are those after them.
 
     Adds ``n_tokens`` before the edits, ``n_tokens_after``, ``n_edits`` and ``n_reencoded`` segments.
+    Without ``with_text`` the text, its tree and the edits go, and the number of segments before the
+    edits is added as ``n_segments``.
     """
+    segments_col, tree_col = (latest(c, trees.columns) for c in ("segment_chars", "tree"))
+    new_names = [fresh(c, trees.columns) for c in ("n_tokens", "n_tokens_after", "n_edits", "n_reencoded", "n_segments")]
+    gone = () if with_text else (text_col, segments_col, tree_col, edits_col)
+    kept = [f for f in trees.schema.fields if f.name not in gone]
+    names = [f.name for f in kept] + new_names[: 4 if with_text else 5]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = _counter(tokenizer)
-        for batch in batches:
+        for batch in small_frames(batches, text_col):
             out = []
-            for text, sizes, tree, edits in zip(batch[text_col], batch["segment_chars"], batch["tree"], batch[edits_col], strict=True):
+            for text, sizes, tree, edits in zip(batch[text_col], batch[segments_col], batch[tree_col], batch[edits_col], strict=True):
                 segments, at = [], 0
                 for n in sizes:
                     segments.append(text[at : at + n])
@@ -129,22 +137,11 @@ def apply_edits(trees: DataFrame, tokenizer: str, text_col: str = "text", edits_
                 for e in edits if edits is not None else ():
                     doc.edit(int(e["pos"]), int(e["n_delete"]), e["inserted"] or "")
                     done += 1
-                out.append(("".join(doc.segments), [len(s) for s in doc.segments], doc.tree, before, doc.total, done, doc.encoded))
-            new = pd.DataFrame(out, columns=[text_col, "segment_chars", "tree", "n_tokens", "n_tokens_after", "n_edits", "n_reencoded"], index=batch.index)
+                out.append(("".join(doc.segments), [len(s) for s in doc.segments], doc.tree, before, doc.total, done, doc.encoded, len(sizes)))
+            new = pd.DataFrame(out, columns=[text_col, segments_col, tree_col, *new_names], index=batch.index)
             yield batch.assign(**{c: new[c] for c in new})[names]
 
-    schema = T.StructType(trees.schema.fields + T._parse_datatype_string("n_tokens long, n_tokens_after long, n_edits long, n_reencoded long").fields)
-    if not with_text:
-        schema = T.StructType([f for f in schema.fields if f.name not in (text_col, "segment_chars", "tree", edits_col)] + [T.StructField("n_segments", T.LongType())])
-    names = [f.name for f in schema.fields]
-    if not with_text:
-        inner = run
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:  # noqa: F811
-            for batch in inner(b.assign(n_segments=[len(s) for s in b["segment_chars"]]) for b in batches):
-                yield batch
-
-    return trees.mapInPandas(run, schema)
+    return trees.mapInPandas(run, T.StructType(kept + [T.StructField(c, T.LongType()) for c in names[len(kept) :]]))
 
 
 def revision(text: Column) -> Column:
