@@ -1,17 +1,17 @@
 """Quality rules: base counts of every text, and line frequency across the documents of a host.
 
 A line is normalised (lower case, white space runs as one space) and hashed. For each host (column
-``source``) Spark counts in how many distinct documents a line occurs; documents with the same text
-count once, so a group of copies does not turn its own lines into boilerplate. A line is removed if
-it is in more than ``LEAST_DOCS`` documents and more than ``MOST_SHARE`` % of the host's, or, however
-large the host is, in more than ``MOST_DOCS`` documents and takes ``LINE_WORDS`` words in each. A
-document that loses more than ``MOST_LOST`` % of its words so is rejected as depleted. ``ORACLE``
-knows the share only: it gives the same verdicts for hosts of up to 100 / ``MOST_SHARE`` *
-``MOST_DOCS`` (20,000) distinct texts.
+``source``) Spark counts in how many distinct documents a line occurs. Documents with the same text
+count once, so a group of copies does not turn its own lines into boilerplate; ``copies=True`` counts
+each of them. A line is removed if it is in more than ``LEAST_DOCS`` documents and more than
+``MOST_SHARE`` % of the host's, or, however large the host is, in more than ``MOST_DOCS`` documents and
+takes ``LINE_WORDS`` words in each. A document that loses more than ``MOST_LOST`` % of its words so is
+rejected as depleted; the others go on without these lines (``keep_good``).
 
 The verdict depends on host and text only, so it is worked out once for each distinct pair; joins
 back to the rows are on that pair. Null texts count as empty and fail the base rules; a null source
-is the host ''. Repeated rows get equal verdicts.
+is the host ''. Repeated rows get equal verdicts. An empty table gives an empty result. Columns of the
+input may have any names; ``keep_good`` returns just these.
 """
 
 from __future__ import annotations
@@ -20,12 +20,13 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacantia.llm.common import fresh, materialize, text_or_empty, tune
+from vacantia.llm.common import fresh, materialize, small_frames, text_or_empty
 from vacantia.llm.tokens import split_words
 
 LEAST_WORDS = 50
@@ -54,6 +55,10 @@ def repeated_words(words: list[str]) -> int:
     return covered
 
 
+def line_hash(inside: list[str]) -> int:
+    return xxhash.xxh64_intdigest(" ".join(inside).lower()) - (1 << 63)
+
+
 def count_text(text: str) -> tuple:
     """The five base counts, then hash and words of each distinct normalised line."""
     words = split_words(text)
@@ -64,7 +69,7 @@ def count_text(text: str) -> tuple:
         if inside:
             dup += line in seen
             seen.add(line)
-            h = xxhash.xxh64_intdigest(" ".join(inside).lower()) - (1 << 63)
+            h = line_hash(inside)
             lines[h] = lines.get(h, 0) + len(inside)
     symbols = sum(map(text.count, SYMBOLS))
     return len(words), sum(map(len, words)), symbols, dup, repeated_words(words), list(lines), list(lines.values())
@@ -72,53 +77,75 @@ def count_text(text: str) -> tuple:
 
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """Row by row: ``doc_id``, ``host``, ``print`` (of the text), the base counts and the lines."""
-    tune(docs.sparkSession)
     text = text_or_empty(text_col)
     chosen = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(host_col, F.lit("")).alias("host"), F.md5(text).alias("print"), text.alias("text"))
     names = [*(c.split()[0] for c in COUNTS.split(", ")), "lines", "line_words"]
     out = T.StructType([chosen.schema[c] for c in ("doc_id", "host", "print")] + T._parse_datatype_string(f"{COUNTS}, lines array<long>, line_words array<int>").fields)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in small_frames(batches, "text"):
             counts = pd.DataFrame([count_text(t) for t in batch["text"]], columns=names)
             yield pd.concat([batch[["doc_id", "host", "print"]], counts], axis=1)
 
     return chosen.mapInPandas(run, out)
 
 
-def depleted(base: DataFrame) -> DataFrame:
-    """``host`` and ``print`` of the texts that lose too many words with the host's frequent lines."""
-    once = base.groupBy("host", "print").agg(F.first("lines").alias("lines"), F.first("line_words").alias("line_words"), F.first("n_words").alias("n_words"))
-    lines = once.select("host", "print", "n_words", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("host", "print", "n_words", "l.*")
-    often = lines.groupBy("host", "lines").agg(F.count(F.lit(1)).alias("n_docs"), F.min("line_words").alias("words")).filter(F.col("n_docs") > LEAST_DOCS)
-    hosts = once.groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+def line_cuts(base: DataFrame, copies: bool = False) -> DataFrame:
+    """``host``, ``print``, ``n_words``, ``lost`` words and the hashes ``cut`` of the frequent lines, for every text that has such."""
+    once = base.groupBy("host", "print").agg(F.first("lines").alias("lines"), F.first("line_words").alias("line_words"), F.first("n_words").alias("n_words"), F.count(F.lit(1)).alias("rows"))
+    once = once.withColumn("weight", F.col("rows") if copies else F.lit(1).cast("long"))
+    lines = once.select("host", "print", "n_words", "weight", F.explode(F.arrays_zip("lines", "line_words")).alias("l")).select("host", "print", "n_words", "weight", "l.*")
+    often = lines.groupBy("host", "lines").agg(F.sum("weight").alias("n_docs"), F.min("line_words").alias("words")).filter(F.col("n_docs") > LEAST_DOCS)
+    hosts = once.groupBy("host").agg(F.sum("weight").alias("host_docs"))
     anywhere = (F.col("n_docs") > MOST_DOCS) & (F.col("words") >= LINE_WORDS)
     common = often.join(hosts, "host").filter((100 * F.col("n_docs") > MOST_SHARE * F.col("host_docs")) | anywhere).select("host", "lines")
-    lost = lines.join(common, ["host", "lines"]).groupBy("host", "print").agg(F.sum("line_words").alias("lost"), F.first("n_words").alias("n_words"))
-    return lost.filter(100 * F.col("lost") > MOST_LOST * F.col("n_words")).select("host", "print")
+    return lines.join(common, ["host", "lines"]).groupBy("host", "print").agg(F.first("n_words").alias("n_words"), F.sum("line_words").alias("lost"), F.collect_list("lines").alias("cut"))
 
 
 def base_failed():
     return (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
 
 
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+def depleted():
+    return 100 * F.col("lost") > MOST_LOST * F.col("n_words")
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", copies: bool = False) -> DataFrame:
     """The base counts and verdicts of every row."""
     base = materialize(base_counts(docs, id_col, text_col, host_col), "line-counts")
-    gone = depleted(base).withColumn("depleted", F.lit(True))
+    gone = line_cuts(base, copies).filter(depleted()).select("host", "print", F.lit(True).alias("depleted"))
     return base.drop("lines", "line_words").join(gone, ["host", "print"], "left").select(
         "doc_id", *(c.split()[0] for c in COUNTS.split(", ")), base_failed().alias("base_failed"), (~base_failed() & F.col("depleted").isNull()).alias("kept")
     )
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with its columns only."""
+def without_lines(text: str, cut: set[int]) -> str:
+    """The text without the lines whose hashes are in ``cut``."""
+    return "\n".join([line for line in text.split("\n") if not (inside := split_words(line)) or line_hash(inside) not in cut])
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", copies: bool = False) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with its columns only and without the host's frequent lines in their texts."""
     base = materialize(base_counts(docs, id_col, text_col, host_col), "line-counts")
-    bad = base.filter(base_failed()).select("host", "print").unionByName(depleted(base)).distinct()
-    host, mark = fresh("host", docs.columns), fresh("print", docs.columns)
-    keyed = docs.withColumn(host, F.coalesce(host_col, F.lit(""))).withColumn(mark, F.md5(text_or_empty(text_col)))
-    bad = bad.select(F.col("host").alias("bad_host"), F.col("print").alias("bad_print"))
-    return keyed.join(bad, (keyed[host] == bad["bad_host"]) & (keyed[mark] == bad["bad_print"]), "left_anti").select(*docs.columns)
+    failed = base.filter(base_failed()).select("host", "print", F.lit(True).alias("bad"), F.lit(None).cast("array<long>").alias("cut"))
+    found = failed.unionByName(line_cuts(base, copies).select("host", "print", depleted().alias("bad"), "cut"))
+    found = found.groupBy("host", "print").agg(F.max("bad").alias("bad"), F.first("cut", ignorenulls=True).alias("cut"))
+    n = {c: fresh(c, docs.columns) for c in ("host", "print", "bad", "cut", "of_host", "of_print")}
+    keyed = docs.withColumns({n["host"]: F.coalesce(F.col(host_col), F.lit("")), n["print"]: F.md5(text_or_empty(text_col))})
+    found = found.select(F.col("host").alias(n["of_host"]), F.col("print").alias(n["of_print"]), F.col("bad").alias(n["bad"]), F.col("cut").alias(n["cut"]))
+    joined = keyed.join(found, (F.col(n["host"]) == F.col(n["of_host"])) & (F.col(n["print"]) == F.col(n["of_print"])), "left")
+    kept = joined.filter(~F.coalesce(F.col(n["bad"]), F.lit(False))).select(*[F.col(c) for c in docs.columns], F.col(n["cut"]))
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns, cuts = batch.columns[:-1], batch.column(batch.num_columns - 1)
+            if cuts.null_count < len(cuts):
+                texts = [t.as_py() if not c.is_valid else without_lines(t.as_py() or "", set(c.as_py())) for t, c in zip(columns[at], cuts, strict=True)]
+                columns[at] = pa.array(texts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return kept.mapInArrow(run, docs.schema)
 
 
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -139,7 +166,7 @@ WITH d AS (
 ), rep AS (
   SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM gc, (VALUES (0), (1), (2)) AS v(k) WHERE n > 1 GROUP BY doc_id
 ), li AS (
-  SELECT doc_id, host, p, unnest(string_split(t, chr(10))) AS line FROM b
+  SELECT doc_id, host, p, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS at FROM b
 ), lw AS (
   SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
          trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
@@ -148,10 +175,11 @@ WITH d AS (
 dl AS (
   SELECT doc_id, sum(n - 1) AS n_dup_lines FROM (SELECT doc_id, line, count(*) AS n FROM ld GROUP BY doc_id, line) GROUP BY doc_id
 ), ln AS (
-  SELECT host, norm, count(DISTINCT p) AS n_docs FROM ld GROUP BY host, norm
+  SELECT host, norm, count(DISTINCT p) AS n_docs, min(line_words) AS least FROM (SELECT host, p, norm, sum(words) AS line_words FROM (SELECT DISTINCT host, p, line, norm, words, at FROM ld) GROUP BY host, p, norm) GROUP BY host, norm
 ), hd AS (SELECT host, count(DISTINCT p) AS host_docs FROM b GROUP BY host),
 common AS (
-  SELECT host, norm FROM ln JOIN hd USING (host) WHERE n_docs > {LEAST_DOCS} AND 100 * n_docs > {MOST_SHARE} * host_docs
+  SELECT host, norm FROM ln JOIN hd USING (host)
+  WHERE n_docs > {LEAST_DOCS} AND (100 * n_docs > {MOST_SHARE} * host_docs OR n_docs > {MOST_DOCS} AND least >= {LINE_WORDS})
 ), lost AS (
   SELECT doc_id, sum(words) AS lost FROM ld JOIN common USING (host, norm) GROUP BY doc_id
 ), f AS (
