@@ -142,8 +142,7 @@ def test_components(spark):
     assert set(got.values()) == {"000", "900"} and len(got) == 41 + 30
 
 
-def test_exact_dedup(docs, empty):
-    rows = [(r[0], r[1] or "") for r in odd_docs()]
+def dedup_wanted(rows):
     groups = {}
     for i, t in rows:
         groups.setdefault(re.sub(r"[ \t-\r]", "", t), []).append((-len(t), i is None, i))
@@ -152,12 +151,35 @@ def test_exact_dedup(docs, empty):
         norm = re.sub(r"[ \t-\r]", "", t)
         best = min(groups[norm], key=lambda x: (x[0], x[1], x[2] or 0))
         want.append((i, best[2], len(groups[norm]), hashlib.sha256(norm.encode()).hexdigest()))
-    marked = exact_dedup.mark_exact_copies(docs)
-    got = [(r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in marked.collect()]
-    assert as_key(got) == as_key(want)
-    kept = exact_dedup.drop_exact_copies(docs)
-    assert kept.columns == docs.columns and kept.count() == len(groups)
-    assert exact_dedup.mark_exact_copies(empty).count() == 0
+    return want, groups
+
+
+@pytest.mark.parametrize("partitions", [4, 40])
+def test_exact_dedup(spark, docs, empty, partitions, monkeypatch):
+    """Also with one group over many partitions, and with all hashes colliding."""
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", partitions == 4)
+    many = [(i, "the same  text" if i % 2 else f"own text {i % 7}") for i in range(400)]
+    frames = [(docs, [(r[0], r[1] or "") for r in odd_docs()]), (spark.createDataFrame(many, "doc_id long, text string"), many)]
+    try:
+        for colliding in (False, True):
+            if colliding:
+                monkeypatch.setattr(exact_dedup, "PREFIX_CHARS", 0)
+                monkeypatch.setattr(exact_dedup.F, "xxhash64", lambda *_: exact_dedup.F.lit(1).cast("long"))
+            for frame, rows in frames:
+                want, groups = dedup_wanted(rows)
+                got = exact_dedup.mark_exact_copies(frame).collect()
+                assert as_key((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == as_key(want)
+                # the column "kept" of the odd rows clashes; the decision is the last column
+                assert sum(r[len(r) - 1] for r in got) == len(groups) and all(r["doc_id"] == r["keep_id"] for r in got if r[len(r) - 1])
+                kept = exact_dedup.drop_exact_copies(frame)
+                assert kept.columns == frame.columns and kept.count() == len(groups)
+        clash = frames[0][0].selectExpr("*", "1 AS g_size", "2 AS best", "3 AS border", "4 AS in_run", "5 AS n", "6 AS first", "7 AS norm")
+        assert exact_dedup.mark_exact_copies(clash).count() == len(odd_docs())
+        assert exact_dedup.mark_exact_copies(empty).count() == exact_dedup.drop_exact_copies(empty).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
 @pytest.mark.parametrize("large", [3, 8192])
@@ -238,13 +260,41 @@ def test_token_counts_follow_edits(docs, empty, spark):
     assert token_counts.build_trees(empty, WORD_BPE).count() == 0
 
 
+def base_wanted(i, text):
+    text = text or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    grams = Counter(zip(w, w[1:], w[2:], strict=False))
+    inside = {j + k for j, g in enumerate(zip(w, w[1:], w[2:], strict=False)) if grams[g] > 1 for k in range(3)}
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    failed = len(w) < 50 or 100 * len(inside) > 50 * len(w)
+    return (i, len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(inside), failed)
+
+
 def test_base_rules(docs, empty):
-    for r in quality_rules.judge(docs).collect():
-        assert r["n_words"] >= 0 and (not r["kept"] or not r["base_failed"])
+    got = quality_rules.judge(docs).collect()
+    want = [base_wanted(r[0], r[1]) for r in odd_docs()]
+    assert as_key(tuple(r)[:7] for r in got) == as_key(want) and all(r["kept"] != r["base_failed"] for r in got)
+    kept = quality_rules.keep_good(docs)
+    assert kept.columns == docs.columns
+    assert as_key(map(tuple, kept.collect())) == as_key(r for r, w in zip(odd_docs(), want, strict=True) if not w[6])
+    clash = docs.selectExpr("*", "1 AS host", "2 AS print", "3 AS bad", "4 AS cut", "5 AS of_host", "6 AS lines")
+    assert quality_rules.keep_good(clash).columns == clash.columns and quality_rules.judge(clash).count() == len(want)
     assert quality_rules.repeated_words("a b c a b c d".split()) == 6
     assert quality_rules.repeated_words("a a a a".split()) == 4
-    assert quality_rules.judge(empty).count() == 0
-    assert quality_rules.keep_good(docs).columns == docs.columns
+    assert quality_rules.judge(empty).count() == quality_rules.keep_good(empty).count() == 0
+
+
+def test_frequent_lines_are_removed(spark):
+    """The host's boilerplate goes from the texts that stay; a host with few documents keeps it."""
+    rng = random.Random(14)
+    line = "Sign up for   our letter and read more of this"
+    rows = [(i, f"{line}\n{words(rng, 60)}\n\n{line.upper()}\n{words(rng, 5)}", "h", 1) for i in range(40)] + [(50 + i, f"{line}\n{words(rng, 60)}", "small", 1) for i in range(5)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in quality_rules.keep_good(frame).collect()}
+    assert got == {i: "\n".join(x for x in t.split("\n") if h == "small" or x.lower() != line.lower()) for i, t, h, _ in rows}
+    # counted as documents, a group of copies makes its own lines frequent
+    copies = spark.createDataFrame([(i, rows[0][1], "h", 1) for i in range(40)], frame.schema)
+    assert quality_rules.keep_good(copies).count() == 40 and quality_rules.keep_good(copies, copies=True).count() == 0
 
 
 def test_depleted_documents_go(spark):
@@ -362,11 +412,10 @@ def test_mixing_meets_targets(spark):
     assert 0.5 < total / docs.selectExpr(r"sum(regexp_count(text, '[^\\x20\\x09-\\x0D]+'))").first()[0] < 0.7
 
 
-def test_classifier(spark, empty):
+def test_classifier_held_out(spark, empty):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = quality_classifier.train(docs, labels)
-    assert len(model["good"]) <= quality_classifier.SAMPLE * quality_classifier.HEAD_BYTES
     held = quality_classifier.score(docs, model).join(labels, "doc_id").filter(quality_classifier.held_out()).toPandas()
     good, bad = held["score"][held["quality"] == 1].to_numpy(), held["score"][held["quality"] == 0].to_numpy()
     assert ((held["score"] >= 0.3).astype(int) == held["quality"]).mean() > 0.92
@@ -374,3 +423,28 @@ def test_classifier(spark, empty):
     none = quality_classifier.train(docs, labels.filter("quality = 5"))
     assert none["weights"] is None and quality_classifier.score(spark.createDataFrame(odd_docs(), SCHEMA), none).filter("score BETWEEN 0 AND 1").count() == len(odd_docs())
     assert quality_classifier.score(empty, model).count() == 0
+
+
+def test_classifier_scores_every_row(spark):
+    """Every row's sizes and score worked out again from the model; odd rows score as their text does."""
+    import zstandard as z
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = quality_classifier.train(docs, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    assert model["good"] and model["bad"] and model["weights"]
+
+    def wanted(text):
+        raw, sizes = (text or "").encode(), []
+        for held in (model["good"], model["bad"]):
+            params = z.ZstdCompressionParameters.from_level(3, write_content_size=False, write_checksum=False, write_dict_id=False)
+            held = z.ZstdCompressionDict(held)
+            held.precompute_compress(level=3)
+            c = z.ZstdCompressor(dict_data=held, compression_params=params)
+            sizes.append(sum(len(c.compress(raw[i : i + 1200])) for i in range(0, len(raw), 1200)))
+        d = (sizes[1] - sizes[0]) / (sizes[1] + sizes[0]) if raw else 0.0
+        return 1 / (1 + np.exp(-(model["weights"][0] + 20 * model["weights"][1] * d)))
+
+    for frame in (docs, spark.createDataFrame(odd_docs(), SCHEMA)):
+        want = sorted((repr(r["doc_id"]), wanted(r["text"])) for r in frame.collect())
+        got = sorted((repr(r["doc_id"]), r["score"]) for r in quality_classifier.score(frame, model).collect())
+        assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], rtol=0, atol=1e-6)

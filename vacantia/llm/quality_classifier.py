@@ -1,16 +1,20 @@
 """Quality scores from compressed sizes.
 
-Two zstandard dictionaries, one of good and one of bad labelled text, compress every block of a text.
-The difference of the two sizes over their sum, with the smaller size for each byte (text that repeats
-itself shrinks under any dictionary), is calibrated to a probability by logistic regression.
-
-The dictionaries hold the head of at most ``SAMPLE`` labelled texts a class, chosen by a hash of the
-identifier, so the model is of bounded size on any corpus; half of the sampled texts make the
-dictionaries and the other half calibrates. Held-out rows (``crc32(doc_id) % 5 = 0``) take no part.
-Texts are scored whole.
-
-Null and empty texts, and all texts if a class has no labelled text, get the share of good labels.
-Rows with no identifier count as held out of nothing: their remainder is that of the empty string, 0.
+Two zstandard dictionaries, one trained on good and one on bad labelled text, compress every block of
+a text. The normalised difference of the two sizes, ``(bad - good) / (bad + good)``, is calibrated to
+a probability by logistic regression; nothing else enters the score.
+
+The model comes from at most ``SAMPLE`` labelled rows a class, chosen by a hash of the identifier, so
+it is of bounded size on any corpus. Half of them make the dictionaries, from at most ``BLOCKS``
+blocks a class that a hash chooses all over the whole texts; the other half calibrates with the sizes
+of their whole texts, which Spark computes, so three numbers a row reach the driver. Held-out rows
+(``crc32(doc_id) % 5 = 0``) take no part. Every row is scored on its whole text.
+
+Null and empty texts have the difference 0 and get the calibrated score of that. If a class has no
+usable labelled text, every row gets the share of good labels. A class with too little text to train
+on has the text itself as its dictionary. Repeated rows and ties get equal scores; of labelled rows
+with one identifier the largest text teaches. Rows without an identifier count as held out, as the
+checksum of the empty string is 0. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,11 +26,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import tune
+from vacantia.llm.common import small_frames
 
 SAMPLE = 1000
-HEAD_BYTES = 800
+BLOCKS = 2000
 BLOCK = 1200
+DICTIONARY = 110_000
 LEVEL = 3
 THRESHOLD = 0.3
 
@@ -35,8 +40,23 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def blocks_of(text: str | None) -> list[bytes]:
+    raw = (text or "").encode()
+    return [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
+
+
+def make_dictionary(blocks: list[bytes]) -> bytes:
+    """A trained dictionary; the text itself where there is too little to train on."""
+    import zstandard as z
+
+    try:
+        return z.train_dictionary(DICTIONARY, blocks).as_bytes()
+    except z.ZstdError:
+        return b"".join(blocks)
+
+
 class Dictionaries:
-    """Compressors that hold the good and the bad text."""
+    """Compressors that hold the good and the bad dictionary."""
 
     def __init__(self, good: bytes, bad: bytes):
         import zstandard as z
@@ -44,15 +64,19 @@ class Dictionaries:
         params = z.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
         self.both = []
         for raw in (good, bad):
-            held = z.ZstdCompressionDict(raw, dict_type=z.DICT_TYPE_RAWCONTENT)
+            held = z.ZstdCompressionDict(raw)
             held.precompute_compress(level=LEVEL)
             self.both.append(z.ZstdCompressor(dict_data=held, compression_params=params))
 
-    def sizes(self, text: str) -> tuple[int, int, int]:
-        """Bytes of the text, and of all its blocks compressed with the good and with the bad dictionary."""
-        raw = text.encode()
-        blocks = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-        return len(raw), *(sum(len(c.compress(b)) for b in blocks) for c in self.both)
+    def sizes(self, text: str | None) -> tuple[int, int]:
+        """Bytes of all blocks of the text, compressed with the good and with the bad dictionary."""
+        blocks = blocks_of(text)
+        return tuple(sum(len(c.compress(b)) for b in blocks) for c in self.both)
+
+
+def difference(good, bad) -> np.ndarray:
+    good, bad = np.asarray(good, float), np.asarray(bad, float)
+    return np.divide(bad - good, bad + good, out=np.zeros_like(good), where=bad + good > 0)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 100, ridge: float = 0.01) -> np.ndarray:
@@ -75,11 +99,23 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, steps: int = 100, ridge: float =
     return w
 
 
-def features(sizes: list[tuple[int, int, int]]) -> np.ndarray:
-    n, good, bad = np.array(sizes, float).reshape(-1, 3).T
-    d = 20 * (bad - good) / (bad + good)
-    shrunk = np.log(np.minimum(good, bad) / n)
-    return np.column_stack([np.ones_like(d), d, np.clip(d, -3, 3) ** 2, shrunk, shrunk**2])
+def calibrated(d: np.ndarray, weights: list[float]) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(weights[0] + weights[1] * 20 * d, -30, 30)))
+
+
+def _sizes(rows: DataFrame, keep: str, model: dict) -> DataFrame:
+    """The columns ``keep`` of ``rows`` with ``good`` and ``bad``, the compressed sizes of ``text``."""
+    names = [c.strip() for c in keep.split(",")]
+    dictionaries = model["good"], model["bad"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        both = Dictionaries(*dictionaries)
+        for batch in small_frames(batches, "text"):
+            sizes = [both.sizes(t) for t in batch["text"]]
+            yield batch[names].assign(good=[g for g, _ in sizes], bad=[b for _, b in sizes])
+
+    kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
+    return rows.select(*names, "text").mapInPandas(run, f"{kinds}, good long, bad long")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
@@ -87,50 +123,47 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     marks = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).filter(~held_out())
     marks = marks.groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     counts = {r["quality"]: r["count"] for r in marks.groupBy("quality").count().collect()}
-    order = F.xxhash64(F.col("doc_id"), F.lit(7))
-    chosen = [marks.filter(F.col("quality") == q).orderBy(order, "doc_id").limit(SAMPLE) for q in (0, 1)]
-    picked = chosen[0].unionByName(chosen[1])
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & (F.col("text") != "")).join(F.broadcast(picked), "doc_id")
-    rows = texts.select("doc_id", "quality", F.substring("text", 1, HEAD_BYTES * 2).alias("text")).orderBy(order, "text").limit(2 * SAMPLE).toPandas()
     share = (counts.get(1, 0) + 1) / (counts.get(0, 0) + counts.get(1, 0) + 2)
     model = {"share": share, "good": b"", "bad": b"", "weights": None}
-    # of each class every second text makes the dictionary
-    part = rows.groupby("quality").cumcount() % 2
-    make, tell = rows[part == 0], rows[part == 1]
-    bodies = {q: [t.encode()[:HEAD_BYTES] for t in make["text"][make["quality"] == q]] for q in (0, 1)}
-    if not bodies[0] or not bodies[1] or tell["quality"].nunique() < 2:
+    order = F.xxhash64(F.col("doc_id"), F.lit(7))
+    chosen = [marks.filter(F.col("quality") == q).orderBy(order, "doc_id").limit(SAMPLE) for q in (0, 1)]
+    picked = chosen[0].unionByName(chosen[1]).withColumn("make", F.pmod(F.xxhash64(F.col("doc_id"), F.lit(8)), F.lit(2)) == 0)
+    texts = docs.select("doc_id", "text").filter("text <> ''").join(F.broadcast(picked), "doc_id")
+    texts = texts.groupBy("doc_id", "quality", "make").agg(F.max("text").alias("text"))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in small_frames(batches, "text"):
+            found = [(q, i, k, b) for q, i, t in zip(batch["quality"], batch["doc_id"], batch["text"], strict=True) for k, b in enumerate(blocks_of(t))]
+            yield pd.DataFrame(found, columns=["quality", "doc_id", "k", "block"])
+
+    pieces = texts.filter("make").select("quality", "doc_id", "text").mapInPandas(cut, f"quality int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, k int, block binary")
+    spread = F.xxhash64("doc_id", "k", F.lit(9))
+    bodies = {q: [bytes(r["block"]) for r in pieces.filter(F.col("quality") == q).orderBy(spread, "doc_id", "k").limit(BLOCKS).collect()] for q in (0, 1)}
+    if not bodies[0] or not bodies[1]:
+        return model
+    made = model | {"good": make_dictionary(bodies[1]), "bad": make_dictionary(bodies[0])}
+    tell = _sizes(texts.filter("NOT make"), "quality", made).toPandas()
+    if tell["quality"].nunique() < 2:
         return model
-    room = min(sum(map(len, bodies[q])) for q in (0, 1))
-    raw = {q: b"\n".join(bodies[q])[:room] for q in (0, 1)}
-    both = Dictionaries(raw[1], raw[0])
-    x = features([both.sizes(t) for t in tell["text"]])
-    y = tell["quality"].to_numpy(float)
-    w = fit_logistic(x, y)
+    d, y = difference(tell["good"], tell["bad"]), tell["quality"].to_numpy(float)
+    w = fit_logistic(np.column_stack([np.ones_like(d), 20 * d]), y)
     # the sample holds the classes in other shares than the labels do
-    ratio = {q: counts.get(q, 0) / max(1, int((y == q).sum())) for q in (0, 1)}
+    ratio = {q: counts[q] / int((y == q).sum()) for q in (0, 1)}
     w[0] += np.log(ratio[1] / ratio[0])
-    return model | {"good": raw[1], "bad": raw[0], "weights": w.tolist()}
+    return made | {"weights": w.tolist()}
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """``doc_id`` and ``score`` for every row."""
-    tune(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    chosen = docs.select("doc_id", "text")
+    if not model["weights"]:
+        return docs.select("doc_id", F.lit(model["share"]).alias("score"))
+    weights = model["weights"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = sent.value
-        both = Dictionaries(m["good"], m["bad"]) if m["weights"] else None
-        for batch in batches:
-            out = np.full(len(batch), m["share"])
-            if both:
-                has = batch["text"].fillna("").to_numpy() != ""
-                if has.any():
-                    x = features([both.sizes(t) for t in batch["text"][has]])
-                    out[has] = 1 / (1 + np.exp(-np.clip(x @ np.array(m["weights"]), -30, 30)))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": out})
-
-    return chosen.mapInPandas(run, f"doc_id {chosen.schema['doc_id'].dataType.simpleString()}, score double")
+    @F.pandas_udf("double")
+    def chance(good: pd.Series, bad: pd.Series) -> pd.Series:
+        return pd.Series(calibrated(difference(good, bad), weights))
+
+    return _sizes(docs, "doc_id", model).select("doc_id", chance("good", "bad").alias("score"))
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
