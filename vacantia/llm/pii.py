@@ -1,13 +1,15 @@
 r"""Personal data: fixed patterns, then bootstrapped contextual extraction.
 
-Matches of the fixed patterns seed the extraction. Every identifier-like word (one with a digit or
-an ``@``) or run of numbers is an instance; it is a seed where it overlaps a match. Its lexical
-contexts are the word before it, the word after it and both, each with a coarse class of the value
-(``a@a``, ``@``, ``9`` or ``a9``) and not its shape. Contexts and instance values form a bipartite
-graph, which Spark scores in ``ROUNDS`` rounds: a context by how much of what it introduces is
-trusted, a value by the best context that it occurs in. A context counts from ``LEAST_SEEDS`` trusted
-values on, be they seeds or promoted in an earlier round. Other values in a context of at least
-``LEAST_SCORE`` become spans of kind ``id``.
+Matches of the fixed patterns seed the extraction, and so do words that are secrets by their form
+(``SECRET``: long hexadecimal numbers). Every identifier-like word (one with a digit or an ``@``) or
+run of numbers is an instance. Its lexical contexts are the word before it, the two words before it,
+the word after it, and the words on both sides, each with a slot of a coarse class (``a@a``, ``@``,
+``9`` or ``a9``). Contexts and instance values form a bipartite graph that Spark scores in rounds. A
+context's belief is the share of trusted values among those that it introduces, with ``DOUBT`` added
+to their number; it counts from ``LEAST_SEEDS`` trusted values on. A value is trusted if it is a seed
+or stands in a context with a belief of at least ``LEAST_SCORE``. Trust only grows, so the rounds end
+when one adds no context. What trusted contexts introduce and the fixed patterns miss becomes a span
+of kind ``id``; a secret without a trusted context does not.
 
 Only DataFrame functions are used. Spark's regular expressions give matches but no places, so a
 text's matches are paired with the gaps between them (``split`` on the same pattern) and a running
@@ -15,7 +17,8 @@ sum over lengths places them. That happens once for each distinct text with digi
 and hot contexts are aggregated before they are shuffled.
 
 The quantifiers are possessive, which Java runs without recursion: long digit runs don't overflow the
-stack. Null texts count as empty and have no spans; repeated rows have equal ones.
+stack. Null texts count as empty and have no spans; repeated rows have equal ones. An empty table
+gives an empty result. Only identifier and text are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -25,12 +28,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import materialize, text_or_empty
+from vacantia.llm.common import SPACE, materialize, text_or_empty
 
-ROUNDS = 3
 LEAST_SCORE = 0.8
 LEAST_SEEDS = 5
 DOUBT = 1.0
+#: Secrets by their form: at least 32 hexadecimal digits, letters and figures.
+SECRET = r"^(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,}+$"
 
 _LOCAL, _LABEL = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 #: The four patterns in an equal form that Java matches in linear time; ``\G`` lets a match begin where the last one ended.
@@ -99,50 +103,59 @@ def instances(texts: DataFrame) -> DataFrame:
     words = placed(texts.filter(F.col("text").rlike("[0-9@]")), _IDENTIFIER)
     lead = F.length(F.regexp_extract("match", r"^[\"'(\[<{!.,;:#*$%&|]*+", 0))
     core = F.regexp_extract("match", rf"^[\"'(\[<{{!.,;:#*$%&|]*+(.*?)[{_OUTER}]*$", 1)
-    before = F.lower(F.regexp_extract(F.substring(F.col("gap"), -80, 80), r"([^\x20\x09-\x0D]*)[\x20\x09-\x0D]*$", 1))
+    left = F.lower(F.substring(F.col("gap"), -80, 80))
+    before = F.regexp_extract(left, r"([^\x20\x09-\x0D]*)[\x20\x09-\x0D]*$", 1)
+    two_before = F.regexp_extract(left, r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)[\x20\x09-\x0D]*$", 1)
     after = F.regexp_replace(F.lower(F.regexp_extract("next", r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]*)", 1)), rf"[{_OUTER}]+$", "")
     has_at, has_letter = F.col("value").contains("@"), F.col("value").rlike(r"\p{L}")
     coarse = F.when(F.col("value").rlike("^[^@]++@[^@]++$"), "a@a").when(has_at, "@").when(has_letter, "a9").otherwise("9")
     rows = words.withColumn("value", core).withColumn("start", F.col("start") + lead).withColumn("end", F.col("start") + F.length(core))
-    rows = rows.filter(F.length("value") >= 4).select("print", "start", "end", F.md5("value").alias("value"), coarse.alias("class"), before.alias("before"), after.alias("after"))
-    first = F.when(F.col("before") != "", F.concat_ws(" ", "before", "class", F.lit("")))
-    last = F.when(F.col("after") != "", F.concat_ws(" ", F.lit(""), "class", "after"))
-    around = F.when((F.col("before") != "") & (F.col("after") != ""), F.concat_ws(" ", "before", "class", "after"))
-    return rows.select("print", "start", "end", "value", F.array_compact(F.array(first, last, around)).alias("contexts"))
+    rows = rows.filter(F.length("value") >= 4).select(
+        "print", "start", "end", F.md5("value").alias("value"), F.col("value").rlike(SECRET).cast("int").alias("secret"), coarse.alias("class"), before.alias("before"), two_before.alias("two_before"), after.alias("after")
+    )
+    # signs alone are no words: '=' or '|' may only stand beside one
+    is_word = {c: F.col(c).rlike(r"\p{L}") for c in ("before", "two_before", "after")}
+    first = F.when(is_word["before"], F.concat_ws(" ", "before", "class", F.lit("")))
+    second = F.when(is_word["two_before"], F.concat_ws(" ", F.regexp_replace("two_before", SPACE + "+", " "), "class", F.lit("")))
+    last = F.when(is_word["after"], F.concat_ws(" ", F.lit(""), "class", "after"))
+    around = F.when((F.col("before") != "") & (F.col("after") != "") & (is_word["before"] | is_word["after"]), F.concat_ws(" ", "before", "class", "after"))
+    return rows.select("print", "start", "end", "value", "secret", F.array_compact(F.array(first, second, last, around)).alias("contexts"))
 
 
 def seeded(words: DataFrame, base: DataFrame) -> DataFrame:
-    """The instances with ``seed``: 1 where they overlap a match of the fixed patterns, else 0."""
+    """The instances with ``found``: 1 where they overlap a match of the fixed patterns, else 0."""
 
     def parts(start: str, end: str) -> Column:
         return F.explode(F.sequence((F.col(start) / _PART).cast("long"), ((F.col(end) - 1) / _PART).cast("long"))).alias("part")
 
     spans = base.select("print", F.col("start").alias("b_start"), F.col("end").alias("b_end"), parts("start", "end"))
     hit = words.select("print", "start", "end", parts("start", "end")).join(spans, ["print", "part"])
-    hit = hit.filter((F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end"))).select("print", "start", F.lit(1.0).alias("s")).distinct()
-    return words.join(hit, ["print", "start"], "left").withColumn("seed", F.coalesce("s", F.lit(0.0))).drop("s")
+    hit = hit.filter((F.col("start") < F.col("b_end")) & (F.col("b_start") < F.col("end"))).select("print", "start", F.lit(1).alias("f")).distinct()
+    return words.join(hit, ["print", "start"], "left").withColumn("found", F.coalesce("f", F.lit(0))).drop("f")
 
 
-def _believed(trust: DataFrame) -> DataFrame:
-    """``context`` and ``belief`` of the contexts that enough trusted values support."""
-    found = trust.groupBy("context").agg((F.sum("score") / (F.count(F.lit(1)) + DOUBT)).alias("belief"), F.count_if(F.col("score") > 0).alias("support"))
-    return found.filter((F.col("support") >= LEAST_SEEDS) & (F.col("belief") >= LEAST_SCORE)).select("context", "belief")
+def believed(graph: DataFrame) -> DataFrame:
+    """The contexts that enough trusted values support; ``graph``: context, value, trusted (0 or 1)."""
+    found = graph.groupBy("context").agg(F.sum("trusted").alias("support"), F.count(F.lit(1)).alias("values"))
+    return found.filter((F.col("support") >= LEAST_SEEDS) & (F.col("support") / (F.col("values") + DOUBT) >= LEAST_SCORE)).select("context")
 
 
 def bootstrap(words: DataFrame, base: DataFrame) -> DataFrame:
     """Spans of values that trusted contexts introduce and the fixed patterns miss."""
-    known = materialize(seeded(words, base), "pii-known").select("print", "start", "end", "value", "seed", F.explode("contexts").alias("context"))
-    edges = materialize(known.groupBy("context", "value").agg(F.max("seed").alias("seed")), "pii-edges")
-    # a value is sure wherever it occurs; contexts of few values can never be trusted, those of sure values only add nothing
-    sure = edges.groupBy("value").agg(F.max("seed").alias("seed"))
-    edges = edges.drop("seed").join(sure, "value")
-    usable = edges.groupBy("context").agg(F.sum("seed").alias("seeds"), F.count(F.lit(1)).alias("values")).filter((F.col("values") >= LEAST_SEEDS) & (F.col("seeds") < F.col("values")))
-    trust = materialize(edges.join(usable.select("context"), "context").select("context", "value", "seed", F.col("seed").alias("score")), "pii-graph")
-    for _ in range(ROUNDS):
-        best = trust.join(_believed(trust), "context").groupBy("value").agg(F.max("belief").alias("best"))
-        score = F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("best", F.lit(0.0)))
-        trust = materialize(trust.join(best, "value", "left").select("context", "value", "seed", score.alias("score")), "pii-trust")
-    return known.filter("seed = 0").join(_believed(trust), "context").select("print", F.lit(4).alias("kind"), "start", "end")
+    known = materialize(seeded(words, base), "pii-known").select("print", "start", "end", "value", "secret", "found", F.explode("contexts").alias("context"))
+    edges = materialize(known.groupBy("context", "value").agg(F.max(F.greatest("found", "secret")).alias("seed")), "pii-edges")
+    # a value is a seed wherever it occurs; contexts of too few values can never be trusted
+    seeds = edges.groupBy("value").agg(F.max("seed").alias("trusted"))
+    usable = edges.groupBy("context").agg(F.count(F.lit(1)).alias("values")).filter(F.col("values") >= LEAST_SEEDS).select("context")
+    graph = materialize(edges.select("context", "value").join(usable, "context").join(seeds, "value"), "pii-graph")
+    contexts, n = materialize(believed(graph), "pii-contexts"), 0
+    while (now := contexts.count()) > n:
+        n = now
+        promoted = graph.filter("trusted = 0").join(contexts, "context", "left_semi").select("value", F.lit(1).alias("p")).distinct()
+        trusted = F.greatest("trusted", F.coalesce("p", F.lit(0))).alias("trusted")
+        graph = materialize(graph.join(promoted, "value", "left").select("context", "value", trusted), "pii-graph")
+        contexts = materialize(believed(graph), "pii-contexts")
+    return known.filter("found = 0").join(contexts, "context", "left_semi").select("print", F.lit(4).alias("kind"), "start", "end")
 
 
 def _listed(spans: Column) -> Column:
