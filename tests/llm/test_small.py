@@ -381,35 +381,107 @@ def test_bootstrap_promoted_values_raise_contexts(spark):
     assert got[-2:] == [["guest@intranet"], []] and got[99] == ["staff0@intranet"]
 
 
+def test_bootstrap_finds_secrets(spark):
+    """Secrets by their form make 'token =' trusted, which then introduces other forms; distractors stay."""
+    rng = random.Random(21)
+    hexes = [f"{rng.getrandbits(160):040x}" for _ in range(12)]
+    texts = [f'{words(rng, 5)} token = "{h}" {words(rng, 5)}' for h in hexes] + ['the Token = "pass-4711".', f"commit {hexes[0][::-1]} of 2024", 'the step = "version-4711"', "license, version 2.0, version 3.0"]
+    want = [[h] for h in hexes] + [["pass-4711"], [], [], []]
+    assert spans_of(spark, texts) == want
+
+
+def test_bootstrap_precision_and_recall(spark):
+    """Planted values of four unseen forms beside seeds, and as many distractors."""
+    rng = random.Random(22)
+    texts, planted = [], []
+    for i in range(300):
+        kind, seen = rng.choice(["mail", "call", "host", "token"]), rng.random() < 0.9
+        value = {
+            ("mail", True): f"u{i}@h{i}.org", ("mail", False): f"u{i}@intranet", ("call", True): f"+44 20 7946 {1000 + i}", ("call", False): f"020 7946 {1000 + i}",
+            ("host", True): f"10.0.{i % 200}.7", ("host", False): f"10.0.{i}.500", ("token", True): f"{rng.getrandbits(128) | 1 << 127:032x}", ("token", False): f"pw-{i}-x",
+        }[kind, seen]
+        texts.append(f"{words(rng, 4)} {kind}: {value} {words(rng, 4)} year {1000 + i} and page {rng.choice('abc')}{1000 + i}")
+        planted.append([value] if kind == "token" or not seen else [])
+    got = spans_of(spark, texts)
+    hit = sum(set(g) >= set(w) for g, w in zip(got, planted, strict=True) if w)
+    extra = sum(len(set(g) - set(w)) for g, w in zip(got, planted, strict=True))
+    n = sum(map(bool, planted))
+    assert hit >= 0.9 * n and extra <= 0.05 * n, (hit, extra, n, got[:20], planted[:20])
+
+
 def test_raking():
     rng = np.random.default_rng(1)
     totals = rng.integers(1, 1000, (4, 3, 2)).astype(float)
-    goals = [np.array([0.4, 0.3, 0.2, 0.1]), np.array([0.5, 0.3, 0.2]), np.array([0.7, 0.3])]
-    shares = mixing.rake(totals, goals)
-    for k, g in enumerate(goals):
-        assert np.allclose(shares.sum(axis=tuple(a for a in range(3) if a != k)), g, atol=1e-8)
-    chance = mixing.probabilities(totals, shares, 0.5)
-    assert abs((chance * totals).sum() / totals.sum() - 0.5) < 1e-9 and chance.max() <= 1
+    shares = [np.array([0.4, 0.3, 0.2, 0.1]), np.array([0.5, 0.3, 0.2]), np.array([0.7, 0.3])]
+    most = min((now / g).min() for now, g in zip(mixing.marginals(totals), shares, strict=True))
+    for budget in (0.3 * most, 0.6 * most):
+        chance, off = mixing.rake(totals, [g * budget for g in shares])
+        assert off < mixing.CLOSE and chance.max() <= 1 and chance.min() >= 0
+        for now, g in zip(mixing.marginals(totals * chance), shares, strict=True):
+            assert np.allclose(now / budget, g, atol=2 * mixing.CLOSE)
+    # cells that are kept whole: the others make up for them
+    chance, off = mixing.rake(np.array([[[10.0], [90.0]], [[90.0], [10.0]]]), [np.array([57.0, 43.0]), np.array([50.0, 50.0]), np.array([100.0])])
+    assert off < mixing.CLOSE and chance.max() <= 1
+
+
+def test_calibrate_says_what_it_reaches():
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 1.0}, "topic": {"prose": 1.0}}
+    found = mixing.calibrate([("a", "en", "prose", 100), ("b", "en", "prose", 900)], targets, 0.6)
+    assert abs(found.fraction - 0.2) < 1e-3 and abs(found.achieved["source"]["a"] - 0.5) < 1e-3
+    assert dict((c[0], round(c[3], 3)) for c in found.chances) == {"a": 1.0, "b": round(100 / 900, 3)}
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.9, "fr": 0.1}, "topic": {"prose": 1.0}}
+    with pytest.warns(UserWarning, match="nearest mixture"):
+        found = mixing.calibrate([("a", "en", "prose", 100), ("b", "fr", "prose", 100)], targets, 0.6)
+    assert found.deviation > 0.1
+    assert mixing.calibrate([], targets, 0.6).chances == []
 
 
 def test_mixing_odd_rows(docs, empty):
-    kept = mixing.keep_mixed(docs, fraction=1.0)
+    one = {"source": {mixing.OTHER: 1.0}, "lang": {mixing.OTHER: 1.0}, "topic": {mixing.OTHER: 1.0}}
+    kept = mixing.keep_mixed(docs, one, fraction=1.0)
     assert kept.columns == docs.columns
     assert kept.count() == sum(bool((r[1] or "").split()) for r in odd_docs())
+    clash = docs.selectExpr("*", "1 AS mix_source", "2 AS mix_tokens", "3 AS mix_u", "4 AS weight", "5 AS mix_topic")
+    assert mixing.keep_mixed(clash, one, fraction=1.0).columns == clash.columns and mixing.keep_mixed(clash, one, fraction=1.0).count() == kept.count()
     assert mixing.keep_mixed(empty).count() == 0
 
 
-def test_mixing_meets_targets(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
-    drawn = mixing.draw(mixing.described(docs))
-    rows = drawn.groupBy("mix_lang").sum("mix_tokens").collect()
-    total = sum(r[1] for r in rows)
-    raked = mixing.draw(mixing.described(docs), fraction=0.3).groupBy("mix_lang").sum("mix_tokens").collect()
-    small = sum(r[1] for r in raked)
-    for r in raked:
-        want = mixing.TARGETS["lang"][r[0]]
-        assert abs(r[1] / small - want / 0.98) < 0.06
-    assert 0.5 < total / docs.selectExpr(r"sum(regexp_count(text, '[^\\x20\\x09-\\x0D]+'))").first()[0] < 0.7
+def test_mixing_query(spark):
+    """The registered query's settings: every decision worked out from the texts, and the marginals."""
+    import re as plain
+
+    import xxhash
+
+    folder = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source", "lang").collect()
+
+    def part(value, targets):
+        return value if value in targets and value != mixing.OTHER else mixing.OTHER
+
+    want, cells = {}, Counter()
+    for i, text, source, lang in rows:
+        text = text or ""
+        n = len(plain.findall(r"[^\x20\x09-\x0D]+", text))
+        topic = "symbols" if len(plain.findall(r"[#*$%&|<>]", text)) * 2 > n else "capitals" if sum(c.isupper() and c.lower() != c for c in text) > 2 * n else "note" if n < 100 else "prose"
+        h = xxhash.xxh64_intdigest(i.to_bytes(8, "little", signed=True), 42)
+        h = xxhash.xxh64_intdigest((20).to_bytes(4, "little"), xxhash.xxh64_intdigest(text.encode(), h))
+        cell = (part(source, mixing.TARGETS["source"]), part(lang, mixing.TARGETS["lang"]), topic)
+        cells[cell] += n
+        want[i] = (cell, n, (h & ((1 << 40) - 1)) / (1 << 40))
+    found = mixing.calibrate([(*c, n) for c, n in cells.items()], mixing.TARGETS, mixing.FRACTION)
+    chance = {tuple(c[:3]): c[3] for c in found.chances}
+    got = mixing.op9_source_mixing(spark, folder).collect()
+    assert {(r["doc_id"], r["n_tokens"]) for r in got} == {(i, n) for i, (c, n, u) in want.items() if n and u < chance[c]}
+    assert all(abs(r["weight"] - chance[want[r["doc_id"]][0]]) < 1e-12 for r in got)
+    # expected shares are the targets, spread over what has tokens; drawn ones are near
+    total = sum(r["n_tokens"] for r in got)
+    for k, axis in enumerate(mixing.AXES):
+        there = {c[k] for c in cells}
+        goal = {c: x for c, x in mixing.TARGETS[axis].items() if c in there}
+        for c, x in goal.items():
+            expected = sum(n * chance[cell] for cell, n in cells.items() if cell[k] == c) / (found.fraction * sum(cells.values()))
+            drawn = sum(r["n_tokens"] for r in got if want[r["doc_id"]][0][k] == c) / total
+            assert abs(expected - x / sum(goal.values())) < 1e-3 and abs(drawn - x / sum(goal.values())) < 0.01
 
 
 def test_classifier_held_out(spark, empty):
