@@ -21,7 +21,8 @@ members are compared block by block.
 
 Null texts count as empty; documents without words have no shingles and no links. Repeated rows
 link with each other if they have words. Rows with a null identifier take part, and a class of such
-rows alone has a null component.
+rows alone has a null component. An empty table gives an empty result. Only identifier and text are
+read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -37,17 +38,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacantia.llm.common import materialize
+from vacantia.llm.common import fresh, materialize, small_batches
 from vacantia.llm.components import connected
-from vacantia.llm.counting import Classes, classes
+from vacantia.llm.counting import Sent, classes, opened
 from vacantia.llm.rolling import mix, shingle_sets
 
 SIZE = 3
 PERCENT = 90
 #: Documents from which a token counts as seen again, as frequent, and as very frequent.
 BOUNDS = (2, 33, 1025)
-#: Bands of smaller documents index single tokens only; their prefixes are one or two tokens long.
-SMALL_BAND = 4
 BLOCK = 2048
 NO_ID = (1 << 63) - 1
 
@@ -73,6 +72,21 @@ def groups_of(band: int, percent: int) -> tuple[int, int]:
     return max(1, free // 6), max(1, free // 5)
 
 
+def combines(band: int, percent: int) -> bool:
+    """Whether the smallest documents of a band have enough tokens to be sure of a shared combination.
+
+    Where they don't, at a few tokens and small percentages, the band indexes single tokens.
+    """
+    pairs, triples = groups_of(band, percent)
+    least = -(-percent * (1 << band) // 100)
+    return -(-least * percent // 100) >= 1 + pairs + 2 * triples
+
+
+def can_link(n: int, percent: int) -> bool:
+    """Whether a set of ``n`` can link with a different one; one more token is the least difference."""
+    return n > 0 and 100 * n >= percent * (n + 1)
+
+
 def sketch(tokens: np.ndarray, percent: int = PERCENT) -> bytes:
     """The parity sketch, with a bit for each token that a document of the largest band may have."""
     bits = max(64, 2 << bands(len(tokens), percent)[-1])
@@ -99,12 +113,12 @@ def signatures(tokens: np.ndarray, level: np.ndarray, percent: int = PERCENT) ->
     n = len(tokens)
     free = n - -(-n * percent // 100)
     order = np.lexsort((tokens, level))
-    if n > free and level[order[free]] == 0:  # the whole prefix occurs here only
+    if not can_link(n, percent) or level[order[free]] == 0:  # equal sets only, or the whole prefix occurs here only
         return np.zeros(0, np.uint64)
     tokens, level = tokens[order], level[order]
     out = []
     for band in bands(n, percent):
-        take = np.where(level == 3, 3, np.where(level == 2, 2, 1)) if band >= SMALL_BAND else np.ones(n, np.int64)
+        take = np.where(level == 3, 3, np.where(level == 2, 2, 1)) if combines(band, percent) else np.ones(n, np.int64)
         pairs, triples = groups_of(band, percent)
         group = np.where(take == 1, 0, np.where(take == 2, 1 + (tokens % np.uint64(pairs)).astype(np.int64), 1 + pairs + (tokens % np.uint64(triples)).astype(np.int64)))
         # tokens that may be shared without making a combination: the first k - 1 of each group
@@ -133,7 +147,7 @@ def _nodes(docs: DataFrame, size: int) -> DataFrame:
     """``doc_id``, ``n_shingles`` and ``node`` (null without words) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             sets = shingles(batch, 1, size)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.binary())], ["doc_id", "n_shingles", "node"]
@@ -146,9 +160,8 @@ def _index(docs: DataFrame, known, size: int, percent: int) -> DataFrame:
     """``sig``, ``node``, ``n`` for every index entry of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, parts = known.value
-        level_of = Classes(bits, parts).of
-        for batch in batches:
+        level_of = opened(known).of
+        for batch in small_batches(batches, 1):
             sig, node, n = [np.zeros(0, np.uint64)], [], [np.zeros(0, np.int64)]
             for tokens in shingles(batch, 1, size):
                 got = signatures(tokens, level_of(tokens), percent) if len(tokens) else tokens
@@ -165,9 +178,8 @@ def _sets(docs: DataFrame, wanted, size: int, percent: int) -> DataFrame:
     """``node``, ``tokens`` and ``sketch`` of the documents whose node the filter ``wanted`` has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, parts = wanted.value
-        has = Classes(bits, parts).of
-        for batch in batches:
+        has = opened(wanted).of
+        for batch in small_batches(batches, 1):
             sets = [s for s in shingles(batch, 1, size) if len(s)]
             nodes = [node_of(s) for s in sets]
             keep = has(np.array([int.from_bytes(x[:8], "big") for x in nodes], np.uint64)) > 0
@@ -271,9 +283,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = materialize(_nodes(docs, size), "nodes")
-    levels = classes(docs, lambda batch: np.concatenate([np.zeros(0, np.uint64), *shingles(batch, 1, size)]), BOUNDS)
-    known = spark.sparkContext.broadcast((levels.bits, levels.parts))
-    index = materialize(_index(docs, known, size, percent), "index")
+    about = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    known = Sent(spark, classes(docs, lambda batch: np.concatenate([np.zeros(0, np.uint64), *shingles(batch, 1, size)]), BOUNDS, about, 1))
+    index = materialize(_index(docs, known.held, size, percent), "index")
+    known.release()
     # of the entries that hold the same members one is enough; near copies share most of theirs
     held = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"held_{k}") for k in (1, 2)]
     shared = index.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), *held).filter("members > 1")
@@ -283,9 +296,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def first_long(batch: pa.RecordBatch) -> np.ndarray:
         return np.array([int.from_bytes(x[:8], "big") for x in batch.column(0).to_pylist()], np.uint64)
 
-    members = classes(index.select("node").distinct(), first_long, (1,))
-    wanted = spark.sparkContext.broadcast((members.bits, members.parts))
-    sets = materialize(_sets(docs, wanted, size, percent), "sets")
+    wanted = Sent(spark, classes(index.select("node").distinct(), first_long, (1,), about // 100))
+    sets = materialize(_sets(docs, wanted.held, size, percent), "sets")
+    wanted.release()
     index = index.join(sets.select("node", "sketch"), "node")
     pairs = materialize(_candidates(index, percent), "pairs")
     links = materialize(_verified(pairs, sets, percent), "links")
@@ -313,8 +326,9 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Rows without words or without an identifier stay.
     """
     found = jaccard_components(docs, id_col, text_col, size, percent)
-    gone = found.filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["gone_id"], "left_anti")
+    gone_id = fresh("gone_id", docs.columns)
+    gone = found.filter(F.col("component_id") < F.col("doc_id")).select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(gone_id), "left_anti")
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
