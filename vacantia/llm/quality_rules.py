@@ -166,7 +166,7 @@ WITH d AS (
 ), rep AS (
   SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM gc, (VALUES (0), (1), (2)) AS v(k) WHERE n > 1 GROUP BY doc_id
 ), li AS (
-  SELECT doc_id, host, p, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS at FROM b
+  SELECT doc_id, host, p, unnest(string_split(t, chr(10))) AS line, unnest(range(len(string_split(t, chr(10))))) AS place FROM b
 ), lw AS (
   SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
          trim(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm
@@ -175,7 +175,7 @@ WITH d AS (
 dl AS (
   SELECT doc_id, sum(n - 1) AS n_dup_lines FROM (SELECT doc_id, line, count(*) AS n FROM ld GROUP BY doc_id, line) GROUP BY doc_id
 ), ln AS (
-  SELECT host, norm, count(DISTINCT p) AS n_docs, min(line_words) AS least FROM (SELECT host, p, norm, sum(words) AS line_words FROM (SELECT DISTINCT host, p, line, norm, words, at FROM ld) GROUP BY host, p, norm) GROUP BY host, norm
+  SELECT host, norm, count(DISTINCT p) AS n_docs, min(line_words) AS least FROM (SELECT host, p, norm, sum(words) AS line_words FROM (SELECT DISTINCT host, p, line, norm, words, place FROM ld) GROUP BY host, p, norm) GROUP BY host, norm
 ), hd AS (SELECT host, count(DISTINCT p) AS host_docs FROM b GROUP BY host),
 common AS (
   SELECT host, norm FROM ln JOIN hd USING (host)
