@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -56,6 +57,23 @@ def scratch(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: Bounds of an Arrow batch while a table is written. Texts can be long.
+ARROW = {"spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20, "spark.sql.execution.arrow.maxRecordsPerBatch": 2000}
+
+
+@contextmanager
+def small_arrow(spark: SparkSession) -> Iterator[None]:
+    """Smaller Arrow batches inside; the session's own settings come back afterwards."""
+    before = {key: spark.conf.get(key) for key in ARROW}
+    try:
+        for key, most in ARROW.items():
+            spark.conf.set(key, str(most))
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage of ``df``: write it as a table in the shared folder and read it again.
 
@@ -63,7 +81,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     twice compute them once.
     """
     at = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    with small_arrow(df.sparkSession):
+        df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 

@@ -28,12 +28,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacantia.llm.common import PART_BYTES, fresh, materialize, small_batches, text_or_empty
+from vacantia.llm.common import fresh, materialize, small_batches, text_or_empty
+from vacantia.llm.tokens import split_words
 
 PREFIX_CHARS = 64
 #: The white space that the comparison leaves out.
 BLANKS = " \t\n\v\f\r"
-_DELETE = dict.fromkeys(map(ord, BLANKS))
 
 
 def normalised(text: Column) -> Column:
@@ -44,76 +44,57 @@ class Run:
     """Neighbouring rows with equal text, as far as they have been read."""
 
     def __init__(self, norm: str, key: int, size: int, best: object):
-        self.norm, self.key, self.size, self.best = norm, key, size, best
+        self.key, self.size, self.best, self.n = key, size, best, 0
         self.digest = hashlib.sha256(norm.encode()).hexdigest()
-        self.rows: list[pa.RecordBatch] = []
-        self.n = 0
-
-
-def _runs(batches: Iterator[pa.RecordBatch], text_at: int, id_at: int, heads_only: bool) -> Iterator[Run]:
-    """Each run of a sorted partition, when it is over. The last column is the hash of the sort key."""
-    run = None
-    for batch in small_batches(batches, text_at):
-        begin, keys = 0, batch.column(batch.num_columns - 1)
-        texts = batch.column(text_at).to_pylist()
-        rest = batch if heads_only else batch.drop_columns([batch.schema.names[text_at]])
-        for i, text in enumerate(texts):
-            norm = (text or "").translate(_DELETE)
-            if run is None or norm != run.norm:
-                if run is not None:
-                    if begin < i and not heads_only:
-                        run.rows.append(rest.slice(begin, i - begin))
-                    yield run
-                begin = i
-                run = Run(norm, keys[i].as_py(), len(text or ""), batch.column(id_at)[i].as_py())
-                if heads_only:
-                    run.rows.append(rest.slice(i, 1))
-            run.n += 1
-        if not heads_only and begin < len(texts):
-            run.rows.append(rest.slice(begin))
-    if run is not None:
-        yield run
 
 
 def _decide(text_at: int, id_at: int, heads_only: bool, names: list[str]) -> Callable:
     """The pass over a sorted partition. Added columns: digest, rows in the run, length and identifier of its first row, whether the row is that one, and for runs at a border the partition (else null).
 
     With ``heads_only`` the first rows of the runs, with all columns; else all rows without the text.
-    A run's rows are held, without their texts, until it ends: no more of them than a partition has.
+    The last column of the input is the hash of the sort key. Rows of one key are held, without their
+    texts, until it ends: no more of them than a partition has.
     """
     kinds = (pa.string(), pa.int64(), pa.int64(), None, pa.bool_(), pa.int32())
 
-    def decided(run: Run, border: int | None) -> Iterator[pa.RecordBatch]:
-        head = True
-        for part in run.rows:
-            m = part.num_rows
-            id_type = part.schema.field(id_at - (not heads_only and text_at < id_at)).type
-            added = ([run.digest] * m, [run.n] * m, [run.size] * m, [run.best] * m, [head, *[False] * (m - 1)], [border] * m)
-            arrays = [*part.columns[:-1], *(pa.array(v, k or id_type) for v, k in zip(added, kinds, strict=True))]
-            head = False
-            yield pa.RecordBatch.from_arrays(arrays, [*part.schema.names[:-1], *names])
-
-    def together(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return iter(pa.Table.from_batches(held).combine_chunks().to_batches())
+    def emitted(held: list, border_of: Callable[[Run], int | None]) -> Iterator[pa.RecordBatch]:
+        """``held``: record batches, and for each of their rows its run and whether it is the first of it."""
+        for rest, runs, head in held:
+            if rest.num_rows:
+                id_type = rest.schema.field(id_at - (not heads_only and text_at < id_at)).type
+                added = ([r.digest for r in runs], [r.n for r in runs], [r.size for r in runs], [r.best for r in runs], head, [border_of(r) for r in runs])
+                arrays = [*rest.columns[:-1], *(pa.array(v, k or id_type) for v, k in zip(added, kinds, strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays, [*rest.schema.names[:-1], *names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, held, n_held, n_bytes = TaskContext.get().partitionId(), [], 0, 0
-        open_runs: list[Run] = []  # those of the present key, one but for colliding hashes
-        border = here  # the first key's runs may begin in an earlier partition
-        for found in _runs(batches, text_at, id_at, heads_only):
-            if open_runs and open_runs[0].key != found.key:
-                for done in open_runs:
-                    held += decided(done, border)
-                    n_held, n_bytes = n_held + done.n, n_bytes + (len(done.norm) if heads_only else 0)
-                open_runs, border = [], None
-                if n_held >= 2000 or n_bytes >= PART_BYTES:
-                    yield from together(held)
-                    held, n_held, n_bytes = [], 0, 0
-            open_runs.append(found)
-        for done in open_runs:
-            held += decided(done, here)
-        if held:
-            yield from together(held)
+        here = TaskContext.get().partitionId()
+        held: list = []  # what belongs to the present key
+        held_key = None
+        now, before, first_key = None, "", None
+        for part in small_batches(batches, text_at):
+            keys = part.column(part.num_columns - 1).to_pylist()
+            ids, runs, head = part.column(id_at).to_pylist(), [], []
+            for key, doc, text in zip(keys, ids, part.column(text_at).to_pylist(), strict=True):
+                norm = "".join(split_words(text or ""))
+                new = now is None or key != now.key or norm != before
+                if new:
+                    now, before = Run(norm, key, len(text or ""), doc), norm
+                now.n += 1
+                runs.append(now)
+                head.append(new)
+            first_key = keys[0] if first_key is None else first_key
+            rest = part if heads_only else part.drop_columns([part.schema.names[text_at]])
+            if heads_only:
+                rest = rest.filter(pa.array(head))
+                runs, head = [r for r, h in zip(runs, head, strict=True) if h], [True] * rest.num_rows
+            cut = 0
+            if keys[-1] != held_key:  # the rows held are complete, and so are this part's up to its last key
+                cut = next(i for i, r in enumerate(runs) if r.key == keys[-1])
+                yield from emitted([*held, (rest.slice(0, cut), runs[:cut], head[:cut])], lambda r: here if r.key == first_key else None)
+                held, held_key = [], keys[-1]
+            if cut < len(runs):
+                held.append((rest.slice(cut), runs[cut:], head[cut:]))
+        yield from emitted(held, lambda r: here)
 
     return run
 
