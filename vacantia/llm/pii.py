@@ -80,13 +80,16 @@ def valid(kind: str, match: Column) -> Column:
 
 
 def placed(texts: DataFrame, pattern: str) -> DataFrame:
-    """Matches with their places: ``print``, ``gap`` (the text since the last match), ``match``, ``next`` (80 characters of the text up to the next one), ``start``, ``end``."""
-    gaps = F.split("text", pattern, -1)
-    both = F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("match"), F.slice(gaps, F.lit(2), F.size(gaps)).alias("next"))
-    rows = texts.select("print", F.posexplode(both).alias("k", "m")).select("print", "k", "m.gap", "m.match", F.substring("m.next", 1, 80).alias("next")).filter("match IS NOT NULL")
+    """Matches with their places: ``print``, ``match``, ``last`` and ``next`` (80 characters of the text before and after it, up to other matches), ``start``, ``end``."""
+    # a text has one gap more than matches, so the last row of a text has no match
+    both = F.arrays_zip(F.split("text", pattern, -1).alias("gap"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("match"))
+    rows = texts.select("print", F.posexplode(both).alias("k", "m"))
+    # from here on only short strings travel
+    rows = rows.select("print", "k", F.length("m.gap").alias("gap"), F.substring("m.gap", 1, 80).alias("first"), F.substring("m.gap", -80, 80).alias("last"), "m.match")
     w = Window.partitionBy("print").orderBy("k")
-    end = F.sum(F.length("gap") + F.length("match")).over(w)
-    return rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("match"))
+    end = F.sum(F.col("gap") + F.length("match")).over(w)
+    rows = rows.select("print", "last", "match", F.lead("first").over(w).alias("next"), end.alias("end")).filter("match IS NOT NULL")
+    return rows.withColumn("start", F.col("end") - F.length("match"))
 
 
 def base_spans(texts: DataFrame) -> DataFrame:
@@ -103,23 +106,30 @@ def instances(texts: DataFrame) -> DataFrame:
     words = placed(texts.filter(F.col("text").rlike("[0-9@]")), _IDENTIFIER)
     lead = F.length(F.regexp_extract("match", r"^[\"'(\[<{!.,;:#*$%&|]*+", 0))
     core = F.regexp_extract("match", rf"^[\"'(\[<{{!.,;:#*$%&|]*+(.*?)[{_OUTER}]*$", 1)
-    left = F.lower(F.substring(F.col("gap"), -80, 80))
-    before = F.regexp_extract(left, r"([^\x20\x09-\x0D]*)[\x20\x09-\x0D]*$", 1)
-    two_before = F.regexp_extract(left, r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)[\x20\x09-\x0D]*$", 1)
-    after = F.regexp_replace(F.lower(F.regexp_extract("next", r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]*)", 1)), rf"[{_OUTER}]+$", "")
-    has_at, has_letter = F.col("value").contains("@"), F.col("value").rlike(r"\p{L}")
-    coarse = F.when(F.col("value").rlike("^[^@]++@[^@]++$"), "a@a").when(has_at, "@").when(has_letter, "a9").otherwise("9")
-    rows = words.withColumn("value", core).withColumn("start", F.col("start") + lead).withColumn("end", F.col("start") + F.length(core))
-    rows = rows.filter(F.length("value") >= 4).select(
-        "print", "start", "end", F.md5("value").alias("value"), F.col("value").rlike(SECRET).cast("int").alias("secret"), coarse.alias("class"), before.alias("before"), two_before.alias("two_before"), after.alias("after")
-    )
-    # signs alone are no words: '=' or '|' may only stand beside one
-    is_word = {c: F.col(c).rlike(r"\p{L}") for c in ("before", "two_before", "after")}
-    first = F.when(is_word["before"], F.concat_ws(" ", "before", "class", F.lit("")))
-    second = F.when(is_word["two_before"], F.concat_ws(" ", F.regexp_replace("two_before", SPACE + "+", " "), "class", F.lit("")))
-    last = F.when(is_word["after"], F.concat_ws(" ", F.lit(""), "class", "after"))
-    around = F.when((F.col("before") != "") & (F.col("after") != "") & (is_word["before"] | is_word["after"]), F.concat_ws(" ", "before", "class", "after"))
-    return rows.select("print", "start", "end", "value", "secret", F.array_compact(F.array(first, second, last, around)).alias("contexts"))
+    rows = words.withColumn("value", core).withColumn("start", F.col("start") + lead).withColumn("end", F.col("start") + F.length(core)).filter(F.length("value") >= 4)
+
+    def parts(x: Column) -> Column:
+        """The words around a value and its class; ``x``: value, left and right text."""
+        value, left, right = x["value"], x["left"], x["right"]
+        coarse = F.when(value.rlike("^[^@]++@[^@]++$"), "a@a").when(value.contains("@"), "@").when(value.rlike(r"\p{L}"), "a9").otherwise("9")
+        before = F.regexp_extract(left, r"([^\x20\x09-\x0D]*)[\x20\x09-\x0D]*$", 1)
+        two_before = F.regexp_extract(left, r"(?:^|[\x20\x09-\x0D])([^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++)[\x20\x09-\x0D]*$", 1)
+        after = F.regexp_replace(F.regexp_extract(right, r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]*)", 1), rf"[{_OUTER}]+$", "")
+        return F.struct(coarse.alias("class"), before.alias("before"), F.regexp_replace(two_before, SPACE + "+", " ").alias("two"), after.alias("after"))
+
+    def contexts(x: Column) -> Column:
+        """Signs alone are no words: '=' or '|' may only stand beside one."""
+        word = {c: x[c].rlike(r"\p{L}") for c in ("before", "two", "after")}
+        first = F.when(word["before"], F.concat_ws(" ", x["before"], x["class"], F.lit("")))
+        second = F.when(word["two"], F.concat_ws(" ", x["two"], x["class"], F.lit("")))
+        last = F.when(word["after"], F.concat_ws(" ", F.lit(""), x["class"], x["after"]))
+        around = F.when((x["before"] != "") & (x["after"] != "") & (word["before"] | word["after"]), F.concat_ws(" ", x["before"], x["class"], x["after"]))
+        return F.array_compact(F.array(first, second, last, around))
+
+    # each step is worked out once: Spark would put the expressions of plain columns into one another
+    around = F.struct(F.col("value"), F.lower("last").alias("left"), F.lower("next").alias("right"))
+    found = F.transform(F.transform(F.array(around), parts), contexts)
+    return rows.select("print", "start", "end", F.md5("value").alias("value"), F.col("value").rlike(SECRET).cast("int").alias("secret"), found[0].alias("contexts"))
 
 
 def seeded(words: DataFrame, base: DataFrame) -> DataFrame:
