@@ -321,3 +321,78 @@ def test_runs_and_precision(spark):
     assert [r["consecutive"] for r in stats.runs_of_degraded(rows).orderBy("evaluation_id").collect()] == [1, 1, 2, 0, 1]
     judged = spark.createDataFrame([(True, True), (True, False), (False, True)], "predicted boolean, truth boolean")
     assert tuple(stats.precision_recall(judged).first()) == (1, 1, 1, 0.5, 0.5)
+
+
+def strip_walk(text):
+    depth, out = 0, []
+    for c in text:
+        if c == "<":
+            depth += 1
+        elif c == ">":
+            if depth:
+                depth -= 1
+                out.append(" ")
+        elif not depth:
+            out.append(c)
+    return "".join(out)
+
+
+def test_strip_tags_at_any_depth(spark):
+    texts = ["<" * 12 + "x" + ">" * 12 + " after", "a <b <c> d> e", "a < b < c", "x > y <i>z</i>", "<<a>> <b", "", ">><", "plain\n<p>\ntext"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(X.strip_tags(F.col("t"))).collect()
+    assert [r[0] for r in got] == [strip_walk(t) for t in texts]
+
+
+def test_large_payload_fails_its_poll(spark, tmp_path, monkeypatch):
+    from vacantia.sources import boards
+
+    monkeypatch.setattr(boards, "MAX_BODY", 100)
+    (tmp_path / "small.json").write_text('{"jobs": []}')
+    (tmp_path / "large.json").write_text('{"jobs": [' + " " * 100 + "]}")
+    got = {r["path"].rsplit("/", 1)[1]: r["ok"] for r in boards.decode(boards.read_documents(spark, str(tmp_path))).collect()}
+    assert got == {"small.json": True, "large.json": False}
+
+
+def test_manifests_stay_and_old_batches_are_known(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path / "s"))
+    one = spark.range(1)
+    for i in range(3):
+        store.commit({"t": one}, batch_id=f"b{i}")
+    assert sorted(p.name for p in (tmp_path / "s").glob("manifest.*.json")) == [f"manifest.{i}.json" for i in (1, 2, 3)]
+    assert store.commit({"t": spark.range(5)}, batch_id="b0") == 3 and store.read("t").count() == 1
+    # a reader between the steps of a commit sees the version before
+    (tmp_path / "s" / "manifest.4.abc.tmp").write_text("{")
+    assert store.manifest()["version"] == 3
+
+
+def test_board_identity_links(spark):
+    from vacantia.operators import ingest
+
+    schema = "source_id string, source_job_id string, content_hash string, ats_type string, ats_job_id string"
+    known = spark.createDataFrame([("a", "1", "h", "gh", "7", "o1")], schema + ", opportunity_id string")
+    posts = spark.createDataFrame([("b", "x", "h", "gh", "7"), ("b", "y", "h", "gh", "8"), ("c", "z", "h", "gh", "8"), ("c", "w", "h", None, "7"), ("a", "1", "h", "gh", "7")], schema)
+    got = {(r["source_id"], r["source_job_id"]): (r["outcome"], r["opportunity_id"]) for r in ingest.classify(posts, known).collect()}
+    made = posts.filter("source_job_id = 'y'").select(ingest.new_id()).first()[0]
+    assert got == {("a", "1"): ("unchanged", "o1"), ("b", "x"): ("linked", "o1"), ("b", "y"): ("created", None), ("c", "z"): ("linked", made), ("c", "w"): ("created", None)}
+    rows = ingest.reconcile_sources(known.withColumns({"last_seen_at": F.current_timestamp(), "created_at": F.current_timestamp(), "merge_reason": F.lit(None).cast("string")}), ingest.classify(posts, known), F.current_timestamp())
+    assert {(r["source_job_id"], r["opportunity_id"], r["merge_reason"]) for r in rows.collect() if r["merge_reason"]} == {("x", "o1", "exact_ats"), ("z", made, "exact_ats")}
+
+
+def test_leader_clusters(spark):
+    """The registered query against a plain walk over each block's members, oldest first."""
+    from vacantia.plans import queries as plans
+
+    folder = "/root/testdata/sf0.001"
+    decided = dedupe.pairs(plans._members(spark, folder)).withColumn("auto", P.auto_apply(F.col("verdict"))).select("block_key", "a_ord", "b_ord", "a.id", F.col("b.id").alias("other"), "auto").collect()
+    merges = {(r["block_key"], r["id"], r["other"]) for r in decided if r["auto"]}
+    order = {}
+    for r in decided:
+        order[r["block_key"], r["id"]], order[r["block_key"], r["other"]] = r["a_ord"], r["b_ord"]
+    gone, want = set(), set()
+    for block, a in sorted(order, key=order.get):
+        for other_block, b in sorted(order, key=order.get):
+            if block == other_block and order[block, a] < order[block, b] and (block, a) not in gone and (block, b) not in gone and (block, a, b) in merges:
+                gone.add((block, b))
+                want.add((block, b, a))
+    got = {(r["block_key"], r["from_id"], r["into_id"]) for r in plans.leader_clusters(spark, folder).collect()}
+    assert got == want and want

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import vocabulary as V
 
-#: Depth of nested angle brackets that ``strip_tags`` follows.
-TAG_DEPTH = 8
-
 
 def _has_any(text: Column, needles: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(n) for n in needles])
@@ -107,10 +104,19 @@ def parse_time(c: Column) -> Column:
 
 
 def strip_tags(c: Column) -> Column:
-    """Tags become spaces, an unclosed one swallows the rest, a stray ``>`` goes without a space."""
-    for _ in range(TAG_DEPTH):
-        c = F.regexp_replace(c, "<[^<>]*>", " ")
-    return F.replace(F.regexp_replace(c, "(?s)<.*$", ""), F.lit(">"), F.lit(""))
+    """Every closing bracket of a tag, nested ones too, becomes a space; an unclosed tag swallows the rest; a stray ``>`` goes without a space.
+
+    Only texts with brackets inside brackets are walked piece by piece, at any depth.
+    """
+    flat = F.replace(F.regexp_replace(F.regexp_replace(c, "<[^<>]*>", " "), "(?s)<.*$", ""), F.lit(">"), F.lit(""))
+
+    def step(s: Column, p: Column) -> Column:
+        depth = F.when(p == "<", s["depth"] + 1).when(p == ">", F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
+        more = F.when((p == ">") & (s["depth"] > 0), " ").when(~p.isin("<", ">") & (s["depth"] == 0), p).otherwise("")
+        return F.struct(depth.alias("depth"), F.concat(s["out"], more).alias("out"))
+
+    walked = F.aggregate(F.regexp_extract_all(c, F.lit("[<>]|[^<>]+"), F.lit(0)), F.struct(F.lit(0).alias("depth"), F.lit("").alias("out")), step, lambda s: s["out"])
+    return F.when(c.rlike("<[^>]*<"), walked).otherwise(flat)
 
 
 def tokenize(c: Column) -> Column:

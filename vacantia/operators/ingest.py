@@ -6,21 +6,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vacantia.functions import text as X
+from vacantia.functions.vocabulary import QUARANTINE_AFTER
 
 MAX_MISSES = 2
 
 
+BOARD = ("ats_type", "ats_job_id")
+
+
 def classify(postings: DataFrame, provenance: DataFrame) -> DataFrame:
     """``postings`` with ``outcome``: unchanged, updated or created, by source and job id and content hash.
 
-    Repetitions of a job within a poll count as one, the last by content hash.
+    Repetitions of a job within a poll count as one, the last by content hash. Where both tables carry
+    the board's own identity, a job that is new to its source but known by that is ``linked`` to the
+    existing row; of several new ones with one identity the first by source and job id is created.
     """
-    one = postings.groupBy("source_id", "source_job_id").agg(F.max(F.struct("content_hash", *[c for c in postings.columns if c not in ("source_id", "source_job_id", "content_hash")])).alias("p"))
-    one = one.select("source_id", "source_job_id", "p.*")
-    known = provenance.select("source_id", "source_job_id", "opportunity_id", F.col("content_hash").alias("known_hash"))
-    found = one.join(known, ["source_id", "source_job_id"], "left")
+    key = ("source_id", "source_job_id")
+    one = postings.groupBy(*key).agg(F.max(F.struct("content_hash", *[c for c in postings.columns if c not in (*key, "content_hash")])).alias("p"))
+    one = one.select(*key, "p.*")
+    known = provenance.groupBy(*key).agg(F.min(F.struct("opportunity_id", F.col("content_hash").alias("known_hash"))).alias("k")).select(*key, "k.*")
+    found = one.join(known, list(key), "left")
     same = F.col("known_hash").eqNullSafe(F.col("content_hash"))
-    return found.withColumn("outcome", F.when(F.col("opportunity_id").isNull(), "created").when(same, "unchanged").otherwise("updated"))
+    found = found.withColumn("outcome", F.when(F.col("opportunity_id").isNull(), "created").when(same, "unchanged").otherwise("updated"))
+    if not all({*BOARD} <= {*t.columns} for t in (postings, provenance)):
+        return found
+    named = F.col("ats_type").isNotNull() & F.col("ats_job_id").isNotNull()
+    by_board = provenance.filter(named).groupBy(*BOARD).agg(F.min("opportunity_id").alias("board_id"))
+    first = found.filter(named & (F.col("outcome") == "created")).groupBy(*BOARD).agg(F.min(F.struct(*key)).alias("first"))
+    found = found.join(by_board, list(BOARD), "left").join(first, list(BOARD), "left")
+    created = F.col("outcome") == "created"
+    follows = created & F.col("board_id").isNull() & (F.struct(*key) != F.col("first"))
+    link = F.when(created & F.col("board_id").isNotNull(), F.col("board_id").cast("string")).when(follows, new_id("first.source_id", "first.source_job_id"))
+    kind = provenance.schema["opportunity_id"].dataType
+    linked = found.withColumn("link", link).withColumns({"outcome": F.when(F.col("link").isNotNull(), "linked").otherwise(F.col("outcome")), "opportunity_id": F.coalesce("opportunity_id", F.col("link").try_cast(kind))})
+    return linked.drop("board_id", "first", "link")
 
 
 def reconcile(opps: DataFrame, classified: DataFrame, now: Column, strict_refresh: bool = False) -> DataFrame:
@@ -30,7 +49,7 @@ def reconcile(opps: DataFrame, classified: DataFrame, now: Column, strict_refres
     ``strict_refresh``: after its last claim). New rows take their id from source and job.
     """
     names = ("title_raw", "description_text", "location_region", "language", "content_hash", "source_reported_posted_at", "company_id")
-    hit = classified.filter("opportunity_id IS NOT NULL").select(F.col("opportunity_id").alias("id"), F.struct("outcome", *names).alias("n"))
+    hit = classified.filter("opportunity_id IS NOT NULL AND outcome <> 'linked'").select(F.col("opportunity_id").alias("id"), F.struct("outcome", *names).alias("n"))
     old = opps.join(hit, "id", "left")
     changed, seen = F.col("n.outcome") == "updated", F.col("n.outcome").isNotNull()
     claim = F.col("n.source_reported_posted_at")
@@ -68,17 +87,21 @@ def reconcile(opps: DataFrame, classified: DataFrame, now: Column, strict_refres
     return kept.unionByName(new.select(*kept.columns))
 
 
-def new_id() -> Column:
-    return F.sha2(F.concat_ws("\u0000", "source_id", "source_job_id"), 256)
+def new_id(source: str = "source_id", job: str = "source_job_id") -> Column:
+    return F.sha2(F.concat_ws("\u0000", source, job), 256)
 
 
 def reconcile_sources(provenance: DataFrame, classified: DataFrame, now: Column) -> DataFrame:
-    """Provenance rows after a poll: known ones are touched, new ones point at the new rows."""
+    """Provenance rows after a poll: known ones are touched, new ones point at the new rows or at those that they are linked to."""
     seen = classified.select("source_id", "source_job_id", F.col("content_hash").alias("new_hash"))
     old = provenance.join(seen, ["source_id", "source_job_id"], "left").withColumn("last_seen_at", F.when(F.col("new_hash").isNotNull(), now).otherwise(F.col("last_seen_at")))
     old = old.withColumn("content_hash", F.coalesce("new_hash", "content_hash")).select(*provenance.columns)
-    new = classified.filter("outcome = 'created'").withColumns({"opportunity_id": new_id(), "last_seen_at": now, "created_at": now, "source_row_id": new_id()})
-    return old.unionByName(new.select(*provenance.columns), allowMissingColumns=True)
+    linked = F.col("outcome") == "linked"
+    new = classified.filter("outcome IN ('created', 'linked')").withColumns(
+        {"opportunity_id": F.when(linked, F.col("opportunity_id")).otherwise(new_id()), "last_seen_at": now, "created_at": now, "source_row_id": new_id(), "merge_reason": F.when(linked, "exact_ats")}
+    )
+    new = new.select(*[c for c in new.columns if c in provenance.columns])
+    return old.unionByName(new, allowMissingColumns=True)
 
 
 def absent(opps: DataFrame, provenance: DataFrame, seen: DataFrame) -> DataFrame:
@@ -143,3 +166,35 @@ def source_results(sources: DataFrame, results: DataFrame, now: Column) -> DataF
         "parse_yield_7d": F.when(ok, F.floor(F.col("r.parse_yield") * 10000) / 10000).otherwise(F.col("parse_yield_7d")),
     }
     return found.withColumns(new).select(*sources.columns)
+
+
+def save_cursors(schedules: DataFrame, sources: DataFrame, polled: DataFrame, now: Column) -> DataFrame:
+    """Schedules after a poll: ``polled`` has source_id and the new cursor; the lease ends and the next run is a source's interval (seconds) away."""
+    interval = sources.select("source_id", "poll_interval_s")
+    got = polled.join(interval, "source_id", "left").select("source_id", F.struct(F.col("cursor"), F.col("poll_interval_s")).alias("p"))
+    found, hit = schedules.join(got, "source_id", "left"), F.col("p").isNotNull()
+    next_run = F.timestamp_micros(F.unix_micros(now) + F.col("p.poll_interval_s") * 1_000_000)
+    new = {
+        "cursor": F.when(hit, F.col("p.cursor")).otherwise(F.col("cursor")),
+        "last_run_at": F.when(hit, now).otherwise(F.col("last_run_at")),
+        "lease_until": F.when(~hit, F.col("lease_until")),
+        "next_run_at": F.when(hit, next_run).otherwise(F.col("next_run_at")),
+    }
+    return found.withColumns(new).select(*schedules.columns)
+
+
+def mark_health(sources: DataFrame, verdicts: DataFrame, quarantine_after: int = QUARANTINE_AFTER) -> DataFrame:
+    """Sources after an evaluation: ``verdicts`` has source_id, status (healthy, degraded or unknown) and note.
+
+    A degraded one counts up and is quarantined when that lasts; a healthy one is cleared; unknown does neither.
+    """
+    found = sources.join(verdicts.select("source_id", F.struct("status", "note").alias("v")), "source_id", "left")
+    bad, good = F.coalesce(F.col("v.status") == "degraded", F.lit(False)), F.coalesce(F.col("v.status") == "healthy", F.lit(False))
+    count = F.when(bad, F.col("consecutive_degraded") + 1).when(good, 0).otherwise(F.col("consecutive_degraded"))
+    cleared = good & (F.col("consecutive_degraded") != 0)
+    new = {
+        "status": F.when(bad & (count >= quarantine_after) & (F.col("status") == "active"), "quarantined").otherwise(F.col("status")),
+        "last_health_note": F.when(bad, F.col("v.note")).when(~cleared, F.col("last_health_note")),
+        "consecutive_degraded": count,
+    }
+    return found.withColumns(new).select(*sources.columns)

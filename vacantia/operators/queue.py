@@ -85,3 +85,17 @@ def requeue(rows: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     found = rows.join(ids.select("id", F.lit(True).alias("hit")), "id", "left")
     hit = F.col("hit").isNotNull()
     return found.withColumns({"next_attempt_at": F.when(hit, now).otherwise(F.col("next_attempt_at")), "lease_until": F.when(~hit, F.col("lease_until")), "swept_at": F.when(hit, now).otherwise(F.col("swept_at"))}).select(*rows.columns)
+
+
+#: What normalisation derives.
+DERIVED = ("title_normalized", "role_family", "seniority_ordinal", "is_management", "work_mode", "location_country", "location_city", "remote_geo_scope", "simhash", "block_key", "normalization_version")
+
+
+def apply_normalization(rows: DataFrame, done: DataFrame, now: Column) -> DataFrame:
+    """Derived fields and the next state in one step; ``done`` (id, version, state and the fields) holds only for rows that haven't moved on."""
+    fields = [c for c in DERIVED if c in done.columns and c in rows.columns]
+    d = done.select("id", F.struct("version", "state", *fields).alias("d"))
+    found = rows.join(d, "id", "left")
+    ok = F.coalesce((F.col("d.version") == F.col("version")) & (F.col("d.state") == F.col("pipeline_state")), F.lit(False))
+    derived = found.withColumns({c: F.when(ok, F.col(f"d.{c}")).otherwise(F.col(c)) for c in fields}).select(*rows.columns)
+    return advance(derived, done.select("id", "version", "state"), now)[0]

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.functions.text import tokenize
@@ -23,6 +28,46 @@ def nearest(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return vectors.select("vec_id", near.alias("near")).orderBy(F.desc("near"), "vec_id").limit(k).select("vec_id", F.round("near", 6).alias("similarity"))
 
 
+#: Queries that are compared at a time.
+BLOCK = 256
+
+
+def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``query_id``, ``vec_id`` and ``similarity`` of the ``k`` vectors nearest to each row of ``queries``, itself left out; exact, ties by id.
+
+    The stated queries go in blocks of ``BLOCK`` to every partition of the vectors, which keeps the best
+    ``k`` of each, so what is shuffled is ``k`` rows a query and partition.
+    """
+    blocks = queries.select(F.col("vec_id").alias("query_id"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
+    blocks = blocks.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // BLOCK)))).alias("block")).agg(F.collect_list(F.struct("query_id", "e")).alias("rows"))
+    out = None
+    for row in blocks.select("rows").toLocalIterator():
+        names, table = [r["query_id"] for r in row["rows"]], np.array([r["e"] for r in row["rows"]])
+        part = vectors.select("vec_id", "embedding").mapInPandas(partial(_best, names=names, table=table, k=k), "query_id long, vec_id long, near double")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        return vectors.limit(0).select(F.lit(0).cast("long").alias("query_id"), "vec_id", F.lit(0.0).alias("similarity"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
+    return out.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("query_id", "vec_id", F.round("near", 6).alias("similarity"))
+
+
+def _best(batches: Iterator[pd.DataFrame], names: list, table: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
+    """The best ``k`` of a partition for every query of a block."""
+    size = np.sqrt((table * table).sum(axis=1))
+    held = pd.DataFrame({"query_id": [], "vec_id": [], "near": []})
+    for batch in batches:
+        if not len(batch):
+            continue
+        v = np.array(batch["embedding"].tolist(), float)
+        both = np.outer(np.sqrt((v * v).sum(axis=1)), size)
+        near = np.divide(v @ table.T, both, out=np.zeros_like(both), where=both > 0)
+        ids = batch["vec_id"].to_numpy()
+        new = pd.DataFrame({"query_id": np.tile(names, len(ids)), "vec_id": np.repeat(ids, len(names)), "near": near.ravel()})
+        both_ = pd.concat([held, new[new["query_id"] != new["vec_id"]]]).sort_values(["near", "vec_id"], ascending=[False, True])
+        held = both_.groupby("query_id", sort=False).head(k)
+    yield held.astype({"query_id": "int64", "vec_id": "int64", "near": "float64"})
+
+
 def keywords(texts: DataFrame, must: list[str], may: list[str] | None = None) -> DataFrame:
     """Texts with all of ``must``, and how many of both lists they hold."""
     found = texts.withColumn("tokens", F.array_distinct(tokenize(F.col("text"))))

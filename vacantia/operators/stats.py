@@ -76,7 +76,8 @@ def runs_of_degraded(evaluations: DataFrame) -> DataFrame:
 def fold_poll(outcomes: DataFrame) -> DataFrame:
     """Counters of one poll from its postings' outcomes."""
     said = {c: F.count_if(F.coalesce(c, F.lit("")) != "") for c in ("company", "location", "apply_url", "language")}
-    kinds = {k: F.count_if(F.col("outcome") == k) for k in ("created", "updated", "unchanged", "skipped")}
+    kinds = {k: F.count_if(F.col("outcome") == k) for k in ("created", "updated", "skipped")}
+    kinds["unchanged"] = F.count_if(F.col("outcome").isin("unchanged", "linked"))  # a link changes no posting
     fetched = F.count(F.lit(1))
     parse_yield = F.when(fetched == 0, 1.0).otherwise((fetched - kinds["skipped"]) / fetched)
     return outcomes.groupBy("source_id").agg(fetched.alias("fetched"), *[v.alias(k) for k, v in kinds.items()], *[v.alias(f"filled_{k}") for k, v in said.items()], parse_yield.alias("parse_yield"))

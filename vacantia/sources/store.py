@@ -1,12 +1,15 @@
 """Versioned tables on plain Parquet, committed several at once.
 
-A commit writes every new table version into a folder of its own and then replaces one small manifest
-that names the current version of each table, so readers see all tables of a commit or none.
+A commit writes every new table version into a folder of its own and then a small manifest of its own
+number that names the current version of each table. The manifest appears by one rename and none is
+ever removed, so readers see all tables of a commit or those of the one before.
 """
 
 from __future__ import annotations
 
 import json
+import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,7 +38,10 @@ class TableStore:
             stream.close()
 
     def manifest(self) -> dict:
-        text = self._text(f"{self.root}/manifest.json")
+        root = self._path(self.root)
+        names = [f.getPath().getName() for f in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        versions = [int(n.split(".")[1]) for n in names if re.fullmatch(r"manifest\.\d+\.json", n)]
+        text = self._text(f"{self.root}/manifest.{max(versions)}.json") if versions else None
         return json.loads(text) if text else {"version": 0, "tables": {}, "batches": []}
 
     def tables(self) -> list[str]:
@@ -62,14 +68,14 @@ class TableStore:
             frame.write.mode("overwrite").parquet(f"{self.root}/{name}/v={version}")
         tables = now["tables"] | {name: f"{name}/v={version}" for name in frames}
         batches = now["batches"] + ([batch_id] if batch_id is not None else [])
-        body = json.dumps({"version": version, "tables": tables, "batches": batches[-1000:]})
-        part, final = self._path(f"{self.root}/manifest.{version}.tmp"), self._path(f"{self.root}/manifest.json")
+        body = json.dumps({"version": version, "tables": tables, "batches": batches})
+        part, final = self._path(f"{self.root}/manifest.{version}.{uuid.uuid4().hex}.tmp"), self._path(f"{self.root}/manifest.{version}.json")
         out = self._fs.create(part, True)
         out.write(bytearray(body.encode()))
         out.close()
-        if self._fs.exists(final):
-            self._fs.delete(final, False)
-        self._fs.rename(part, final)
+        if self._fs.exists(final) or not self._fs.rename(part, final):
+            self._fs.delete(part, False)
+            raise StaleCommit(f"version {version} was committed meanwhile")
         return version
 
 
