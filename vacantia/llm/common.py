@@ -32,7 +32,7 @@ def _cuts(sizes: np.ndarray) -> list[tuple[int, int]]:
 def small_frames(batches: Iterable[pd.DataFrame], text_col: str) -> Iterator[pd.DataFrame]:
     """The same rows in parts of a bounded amount of text, one row at least."""
     for batch in batches:
-        for a, b in _cuts(batch[text_col].str.len().fillna(0).to_numpy()):
+        for a, b in _cuts(np.array([len(t) if isinstance(t, str) else 0 for t in batch[text_col]], np.int64)):
             yield batch.iloc[a:b].reset_index(drop=True)
 
 
