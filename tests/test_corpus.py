@@ -396,3 +396,71 @@ def test_leader_clusters(spark):
                 want.add((block, b, a))
     got = {(r["block_key"], r["from_id"], r["into_id"]) for r in plans.leader_clusters(spark, folder).collect()}
     assert got == want and want
+
+
+def test_refreshes_one_by_one(spark):
+    """A batch is judged as requests that come one after the other."""
+    import random
+
+    rng = random.Random(7)
+    later = NOW + timedelta(days=1)
+    for _ in range(3):
+        tokens = [(f"t{k}", f"f{k % 12}", k % 12, f"s{k}", f"h{k}", NOW if rng.random() < 0.1 else None, NOW if rng.random() < 0.1 else None, None, NOW if rng.random() < 0.1 else later) for k in range(60)]
+        users = [(u, "suspended" if u in (3, 5) else "active") for u in range(11)]  # user 11 is gone
+        requests = [(i, f"h{rng.randrange(64)}", "agent", f"ns{i}", f"nr{i}") for i in range(50)]
+        status, state = dict(users), {t[4]: dict(family=t[1], user=t[2], session=t[3], used=t[5] is not None, revoked=t[6] is not None, over=t[8] <= NOW) for t in tokens}
+        live = {t[3] for t in tokens}
+        want = {}
+        for i, h, _agent, session, refresh in requests:
+            t = state.get(h)
+            if t is None:
+                want[i] = "invalid"
+            elif t["used"]:
+                want[i] = "replayed"
+                for x in state.values():
+                    if x["family"] == t["family"]:
+                        x["revoked"] = True
+                        live.discard(x["session"])
+            elif t["revoked"] or t["over"] or t["user"] not in status:
+                want[i] = "invalid"
+            elif status[t["user"]] != "active":
+                want[i] = "suspended"
+            else:
+                want[i] = "ok"
+                t["used"] = True
+                live.discard(t["session"])
+                live.add(session)
+                state[refresh] = dict(family=t["family"], user=t["user"], session=session, used=False, revoked=False, over=False)
+        shape = "id string, family_id string, user_id int, session_id string, token_hash string, used_at timestamp, revoked_at timestamp, replaced_by string, expires_at timestamp"
+        stored = spark.createDataFrame(tokens, shape)
+        sessions = stored.selectExpr("session_id AS id", "user_id", "session_id AS token_hash", "'agent' AS user_agent", "CAST(NULL AS TIMESTAMP) AS revoked_at", "expires_at")
+        presented = spark.createDataFrame(requests, "request_id int, token_hash string, user_agent string, session_hash string, refresh_hash string")
+        got = identity.rotate(sessions, stored, presented, spark.createDataFrame(users, "id int, status string"), now())
+        assert {r["request_id"]: r["kind"] for r in got["judged"].collect()} == want
+        after = {r["token_hash"]: (r["used_at"] is not None, r["revoked_at"] is not None) for r in got["refresh_token"].collect()}
+        assert after == {h: (t["used"], t["revoked"]) for h, t in state.items()}
+        assert {r["token_hash"] for r in got["user_session"].filter("revoked_at IS NULL").collect()} == live
+
+
+def test_issue_and_account_updates(spark):
+    logins = spark.createDataFrame([("u", "agent", "sh", "rh"), ("u", "agent", "sh2", "rh2")], "user_id string, user_agent string, session_hash string, refresh_hash string")
+    none = spark.createDataFrame([], "id string, user_id string, token_hash string, user_agent string, revoked_at timestamp, expires_at timestamp")
+    bare = spark.createDataFrame([], "id string, family_id string, user_id string, session_id string, token_hash string, used_at timestamp, revoked_at timestamp, replaced_by string, expires_at timestamp")
+    sessions, tokens = (x.collect() for x in identity.issue(none, bare, logins, now()))
+    assert {r["id"] for r in sessions} == {r["session_id"] for r in tokens} and len({r["family_id"] for r in tokens}) == 2
+    assert {r["expires_at"] for r in sessions} == {NOW + timedelta(days=1)} and {r["expires_at"] for r in tokens} == {NOW + timedelta(days=30)}
+    users = spark.createDataFrame([("a", "p", None), ("b", "q", None)], "id string, password_hash string, email_verified_at timestamp")
+    assert {tuple(r) for r in identity.set_passwords(users, spark.createDataFrame([("a", "n")], "id string, password_hash string")).collect()} == {("a", "n", None), ("b", "q", None)}
+    assert {tuple(r) for r in identity.verify_emails(users, spark.createDataFrame([("b",)], "id string"), now()).collect()} == {("a", "p", None), ("b", "q", NOW)}
+    opps = spark.createDataFrame([(1, "c"), (2, "d"), (3, None)], "id int, company_id string")
+    assert {r["id"] for r in ingest.drop_companies(opps, spark.createDataFrame([("c",)], "company_id string")).collect()} == {2, 3}
+
+
+def test_skills_go_and_profiles_are_touched(spark):
+    claims = spark.createDataFrame([("manual", "u", 1), ("parsed", "u", 2), ("parsed", "v", 1)], "origin string, user_id string, skill_id int")
+    gone = spark.createDataFrame([("u", 1), ("w", 9)], "user_id string, skill_id int")
+    assert {tuple(r) for r in profiles.drop_skills(claims, gone).collect()} == {("parsed", "u", 2), ("parsed", "v", 1)}
+    stored = spark.createDataFrame([("u", 3, None), ("v", 1, None)], "user_id string, profile_version int, updated_at timestamp")
+    assert {tuple(r) for r in profiles.touch_profiles(stored, gone, now()).collect()} == {("u", 4, NOW), ("v", 1, None)}
+    uploads = spark.createDataFrame([("a", "text/plain", bytearray(b"")), ("b", "image/png", bytearray(b"x")), ("c", "text/plain", None), ("d", "text/plain", bytearray(b"x"))], "id string, content_type string, body binary")
+    assert {r["id"]: r["refused"] for r in profiles.refused_uploads(uploads).collect()} == {"a": "empty upload", "b": "unsupported content type", "c": "empty upload", "d": None}

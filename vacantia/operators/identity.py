@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LOCK_AFTER, LOCK_SECONDS = 10, 900
+#: How long a session and a refresh token live.
+SESSION_SECONDS, REFRESH_SECONDS = 86_400, 30 * 86_400
 
 
 def token_hash(c: Column) -> Column:
@@ -61,6 +63,82 @@ def revoke_families(tokens: DataFrame, sessions: DataFrame, families: DataFrame,
     return gone, logout(sessions, ids, now)
 
 
+def _issued(asked: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """New sessions and refresh tokens of ``asked``: user_id, family_id, user_agent, session_hash and refresh_hash; ids follow from the hashes."""
+    none = F.lit(None).cast("timestamp")
+    session_id, token_id = (token_hash(F.concat(F.lit(kind), c)) for kind, c in (("session:", "session_hash"), ("refresh:", "refresh_hash")))
+    sessions = asked.select(session_id.alias("id"), "user_id", F.col("session_hash").alias("token_hash"), "user_agent", none.alias("revoked_at"), (now + F.make_dt_interval(secs=F.lit(float(SESSION_SECONDS)))).alias("expires_at"))
+    tokens = asked.select(
+        token_id.alias("id"), "family_id", "user_id", session_id.alias("session_id"), F.col("refresh_hash").alias("token_hash"), none.alias("used_at"), none.alias("revoked_at"),
+        F.lit(None).cast("string").alias("replaced_by"), (now + F.make_dt_interval(secs=F.lit(float(REFRESH_SECONDS)))).alias("expires_at"),
+    )
+    return sessions, tokens
+
+
+def issue(sessions: DataFrame, tokens: DataFrame, logins: DataFrame, now: Column) -> tuple[DataFrame, DataFrame]:
+    """``sessions`` and ``tokens`` after successful logins, each of which starts a session and a token family of its own.
+
+    ``logins``: user_id, user_agent and the hashes of both secrets; the secrets themselves are never stored.
+    """
+    new_sessions, new_tokens = _issued(logins.withColumn("family_id", token_hash(F.concat(F.lit("family:"), "refresh_hash"))), now)
+    return sessions.unionByName(new_sessions), tokens.unionByName(new_tokens)
+
+
+def judge_refreshes(presented: DataFrame, tokens: DataFrame, users: DataFrame, now: Column) -> DataFrame:
+    """What becomes of each request of a batch (``request_id``, ``token_hash``), as if they came one by one in that order.
+
+    ``kind`` is ok, replayed, invalid or suspended (``users``: id, status). The first sound request for a
+    token uses it up, so later ones replay it; after a family's first replay its unused tokens are invalid.
+    Firsts are aggregates joined back, so a token that is presented over and over is no task of its own.
+    """
+    status = users.select(F.col("id").alias("user_id"), "status")
+    stored = classify_refresh(tokens.select("token_hash"), tokens, now).join(status, "user_id", "left")
+    kind = F.when((F.col("kind") == "ok") & F.col("status").isNull(), "invalid").when((F.col("kind") == "ok") & (F.col("status") != "active"), "suspended").otherwise(F.col("kind"))
+    known = presented.join(stored.select("token_hash", "family_id", "user_id", kind.alias("kind")), "token_hash", "left")
+    sound, used = F.col("kind") == "ok", F.col("kind") == "replayed"
+    first = known.filter(sound).groupBy("token_hash").agg(F.min("request_id").alias("first_use"))
+    known = known.join(first, "token_hash", "left")
+    again = sound & (F.col("request_id") > F.col("first_use"))
+    replay = known.filter(used | again).groupBy("family_id").agg(F.min("request_id").alias("first_replay"))
+    known = known.join(replay, "family_id", "left")
+    before = F.coalesce(F.col("first_use") < F.col("first_replay"), F.lit(True))
+    late = F.coalesce(F.col("request_id") > F.col("first_replay"), F.lit(False))
+    final = F.when(F.col("kind").isNull(), "invalid").when(sound & again & before, "replayed").when(sound & ~before, "invalid").when((F.col("kind") == "suspended") & late, "invalid").otherwise(F.col("kind"))
+    return known.select(*presented.columns, "family_id", "user_id", final.alias("kind"))
+
+
+def rotate(sessions: DataFrame, tokens: DataFrame, presented: DataFrame, users: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """Tables after a batch of refreshes, and ``judged``, what became of each.
+
+    ``presented``: request_id (unique), token_hash, user_agent and the hashes of the secrets to hand out;
+    these can be presented from the next batch on. A good request replaces its token and session by new
+    ones of the same family; a replay revokes all tokens and sessions of the family, new ones too.
+    """
+    judged = judge_refreshes(presented, tokens, users, now)
+    good = judged.filter("kind = 'ok'")
+    new_sessions, new_tokens = _issued(good, now)
+    successor = good.select("token_hash", token_hash(F.concat(F.lit("refresh:"), "refresh_hash")).alias("successor"))
+    found = tokens.join(successor, "token_hash", "left")
+    hit = F.col("successor").isNotNull()
+    spent = found.withColumns({"used_at": F.when(hit, now).otherwise(F.col("used_at")), "replaced_by": F.coalesce("successor", "replaced_by")}).select(*tokens.columns)
+    over = tokens.join(good.select("token_hash"), "token_hash", "left_semi").select(F.col("session_id").alias("id")).distinct()
+    all_sessions, all_tokens = logout(sessions, over, now).unionByName(new_sessions), spent.unionByName(new_tokens)
+    all_tokens, all_sessions = revoke_families(all_tokens, all_sessions, judged.filter("kind = 'replayed'"), now)
+    return {"refresh_token": all_tokens, "user_session": all_sessions, "judged": judged}
+
+
+def set_passwords(users: DataFrame, new: DataFrame) -> DataFrame:
+    """Users with new password hashes (``id``, ``password_hash``), made elsewhere."""
+    found = users.join(new.select("id", F.col("password_hash").alias("new_hash")), "id", "left")
+    return found.withColumn("password_hash", F.coalesce("new_hash", "password_hash")).select(*users.columns)
+
+
+def verify_emails(users: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
+    """Users whose address (``id``) has just been verified; verifying again stamps again."""
+    found = users.join(ids.select("id", F.lit(True).alias("hit")).distinct(), "id", "left")
+    return found.withColumn("email_verified_at", F.when(F.col("hit"), now).otherwise(F.col("email_verified_at"))).select(*users.columns)
+
+
 def entry_hash(prev: Column, *parts: Column) -> Column:
     """SHA-256 in hex over the previous hash and each part after its length as eight big-endian bytes."""
     framed = [x for p in parts for x in (F.unhex(F.lpad(F.hex(F.octet_length(p).cast("long")), 16, "0")), p.cast("binary"))]

@@ -152,6 +152,11 @@ def upsert_companies(stored: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(stored, low, ["canonical_domain"], {"display_name": F.coalesce(F.nullif("new.display_name", F.lit("")), "old.display_name"), "id": F.col("old.id")})
 
 
+def drop_companies(opps: DataFrame, companies: DataFrame) -> DataFrame:
+    """``opps`` without the postings of ``companies`` (company_id)."""
+    return opps.join(companies.select("company_id"), "company_id", "left_anti").select(*opps.columns)
+
+
 def source_results(sources: DataFrame, results: DataFrame, now: Column) -> DataFrame:
     """Bookkeeping of a batch: ``results`` has source_id, ok, discovered, processed, parse_yield, error."""
     r = results.select("source_id", F.struct("ok", "discovered", "processed", "parse_yield", "error").alias("r"))

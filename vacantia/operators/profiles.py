@@ -16,6 +16,8 @@ LOCATIONS = {
     "resume_rows": "resume", "profile_skills": "profile_skill", "profile": "profile", "refresh_tokens": "refresh_token",
     "sessions": "user_session", "user_tokens": "user_token", "user_row": "app_user", "tenant": "tenant",
 }
+#: Fixed value: the largest resume that is taken in, in bytes.
+MOST_RESUME_BYTES = 10 << 20
 UNUSED = ("profile_embedding", "search_index", "redis_cache", "analytics_copies")
 
 
@@ -34,6 +36,17 @@ def put_skills(stored: DataFrame, new: DataFrame) -> DataFrame:
     return upsert(stored, new, ["user_id", "skill_id"], merge)
 
 
+def drop_skills(stored: DataFrame, gone: DataFrame) -> DataFrame:
+    """``stored`` without the claims in ``gone`` (user_id, skill_id)."""
+    return stored.join(gone.select("user_id", "skill_id"), ["user_id", "skill_id"], "left_anti").select(*stored.columns)
+
+
+def touch_profiles(profiles: DataFrame, users: DataFrame, now: Column) -> DataFrame:
+    """Profiles whose skills were edited: a new version, since what was scored on the old one no longer holds."""
+    found = profiles.join(users.select("user_id", F.lit(1).alias("hit")).distinct(), "user_id", "left")
+    return found.withColumns({"profile_version": F.col("profile_version") + F.coalesce("hit", F.lit(0)), "updated_at": F.when(F.col("hit") == 1, now).otherwise(F.col("updated_at"))}).select(*profiles.columns)
+
+
 def skills_of(profile_skills: DataFrame, skills: DataFrame) -> DataFrame:
     return profile_skills.join(skills, "skill_id").orderBy("user_id", "display_name")
 
@@ -52,6 +65,33 @@ def extract_resumes(resumes: DataFrame) -> DataFrame:
     return resumes.withColumns({"extracted": text, "text_chars": F.length(text), "parse_state": state, "parse_error": error})
 
 
+def refused_uploads(uploads: DataFrame) -> DataFrame:
+    """Uploads (``content_type``, ``body``) with ``refused``: why they are not taken in, null for good ones."""
+    size = F.coalesce(F.octet_length("body"), F.lit(0))
+    why = F.when(size == 0, "empty upload").when(size > MOST_RESUME_BYTES, "too large").when(X.media_extension(F.col("content_type")).isNull(), "unsupported content type")
+    return uploads.withColumn("refused", why)
+
+
+def add_resumes(stored: DataFrame, uploads: DataFrame, now: Column) -> DataFrame:
+    """``stored`` with the good ``uploads`` (id, user_id, filename, content_type, body), their texts read.
+
+    A resume whose text can't be read is kept as failed, so that a better reader can try again. Text
+    and body belong in the object store, under the keys of the row.
+    """
+    good = refused_uploads(uploads).filter("refused IS NULL").drop("refused")
+    found = resume_keys(extract_resumes(good)).withColumns({
+        "size_bytes": F.octet_length("body").cast("long"), "sha256": F.sha2("body", 256), "uploaded_at": now, "deleted_at": F.lit(None).cast("timestamp"),
+        "text_object_key": F.when(F.col("parse_state") == "text_extracted", F.col("text_object_key")), "text_chars": F.when(F.col("parse_state") == "text_extracted", F.col("text_chars")),
+    })
+    return stored.unionByName(found.select(*stored.columns))
+
+
+def delete_resumes(resumes: DataFrame, asked: DataFrame, now: Column) -> DataFrame:
+    """Stamp resumes as deleted if ``asked`` (id, user_id) names their owner; rows and objects stay for the erasure to find."""
+    found = resumes.join(asked.select("id", "user_id", F.lit(True).alias("hit")).distinct(), ["id", "user_id"], "left")
+    return found.withColumn("deleted_at", F.when(F.col("hit"), now).otherwise(F.col("deleted_at"))).select(*resumes.columns)
+
+
 def active_resumes(resumes: DataFrame) -> DataFrame:
     return resumes.filter("deleted_at IS NULL").orderBy("user_id", F.desc("uploaded_at"))
 

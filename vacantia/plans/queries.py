@@ -640,6 +640,59 @@ def skill_upsert(spark, d):
     return profiles.put_skills(stored, new).select("user_id", "skill_id", "origin", "proficiency")
 
 
+_REFRESHED = """WITH t AS (SELECT o_orderkey AS id, o_custkey AS family, CASE WHEN o_orderkey % 40 = 0 THEN 'replayed' WHEN o_orderkey % 7 = 0 THEN 'invalid' WHEN o_custkey % 13 = 0 THEN 'suspended' ELSE 'ok' END AS kind FROM orders),
+p AS (SELECT *, id AS request_id FROM t UNION ALL SELECT *, id + 1000000000 FROM t WHERE id % 33 = 0),
+r AS (SELECT family, min(request_id) FILTER (WHERE kind = 'replayed' OR (kind = 'ok' AND request_id > id)) AS first_replay FROM p GROUP BY 1),
+j AS (SELECT p.family, id, request_id, CASE WHEN kind = 'ok' AND id > first_replay THEN 'invalid' WHEN kind = 'suspended' AND request_id > first_replay THEN 'invalid' WHEN kind = 'ok' AND request_id > id THEN 'replayed' ELSE kind END AS kind, p.kind AS stored, first_replay FROM p JOIN r ON p.family = r.family)"""
+
+
+def _refreshed(spark, d):
+    """Each order is a token of its customer's family, and all are presented at once, some twice; customers divisible by 13 are suspended."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c"))
+    none, later, key = F.lit(None).cast("timestamp"), now() + F.expr("INTERVAL 1 DAY"), F.col("k").cast("string")
+    secret = F.sha2(key, 256).alias("token_hash")
+    tokens = o.select(
+        key.alias("id"), F.col("c").cast("string").alias("family_id"), F.col("c").alias("user_id"), key.alias("session_id"), secret, F.when(F.col("k") % 40 == 0, now()).alias("used_at"),
+        F.when(F.col("k") % 7 == 0, now()).alias("revoked_at"), F.lit(None).cast("string").alias("replaced_by"), later.alias("expires_at"),
+    )
+    sessions = o.select(key.alias("id"), F.col("c").alias("user_id"), secret, F.lit("agent").alias("user_agent"), none.alias("revoked_at"), later.alias("expires_at"))
+    asked = o.select("k", F.col("k").alias("request_id")).unionByName(o.filter("k % 33 = 0").select("k", (F.col("k") + 1000000000).alias("request_id")))
+    new = [F.sha2(F.concat(F.lit(kind), F.col("request_id").cast("string")), 256).alias(name) for kind, name in (("s", "session_hash"), ("r", "refresh_hash"))]
+    presented = asked.select("request_id", secret, F.lit("agent").alias("user_agent"), *new)
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 13 == 0, "suspended").otherwise("active").alias("status"))
+    return identity.rotate(sessions, tokens, presented, users, now())
+
+
+@query(f"{_REFRESHED} SELECT request_id, kind FROM j")
+def refresh_requests(spark, d):
+    return _refreshed(spark, d)["judged"].select("request_id", "kind")
+
+
+@query(f"""{_REFRESHED} SELECT family AS user_id, CAST(CASE WHEN first_replay IS NULL THEN count(*) FILTER (WHERE stored IN ('ok', 'suspended')) ELSE 0 END AS BIGINT) AS live_tokens,
+CAST(CASE WHEN first_replay IS NULL THEN count(*) ELSE 0 END AS BIGINT) AS live_sessions, CAST(count(*) FILTER (WHERE kind = 'ok') AS BIGINT) AS rotated FROM j WHERE request_id = id GROUP BY family, first_replay""")
+def refresh_rotation(spark, d):
+    """What a user holds afterwards: a rotated token and its session are replaced, a replay leaves the family nothing."""
+    found = _refreshed(spark, d)
+    live = F.col("revoked_at").isNull() & (F.col("expires_at") > now())
+    tokens = found["refresh_token"].groupBy("user_id").agg(F.count_if(live & F.col("used_at").isNull()).alias("live_tokens"), F.count("replaced_by").alias("rotated"))
+    sessions = found["user_session"].groupBy("user_id").agg(F.count_if(live).alias("live_sessions"))
+    return tokens.join(sessions, "user_id").select("user_id", "live_tokens", "live_sessions", "rotated")
+
+
+@query("""WITH d AS (SELECT doc_id AS id, text, CASE doc_id % 4 WHEN 0 THEN 'text/plain' WHEN 1 THEN 'Text/Markdown; charset=utf-8' WHEN 2 THEN 'application/pdf' ELSE 'image/png' END AS kind FROM documents WHERE coalesce(text, '') <> '')
+SELECT id, 'users/' || id % 100 || '/resumes/' || id || CASE id % 4 WHEN 0 THEN '.txt' WHEN 1 THEN '.md' ELSE '.pdf' END AS object_key, strlen(text) AS size_bytes, sha256(text) AS sha256,
+CASE WHEN id % 4 < 2 THEN 'text_extracted' ELSE 'failed' END AS parse_state, id % 3 = 0 AND id % 5 <> 0 AS deleted FROM d WHERE id % 4 < 3 AND strlen(text) <= 10485760""")
+def resume_lifecycle(spark, d):
+    """Documents are uploaded as resumes of a hundred users; a third is then deleted, but requests by others than the owner do nothing."""
+    docs = table(spark, d, "documents").filter("coalesce(text, '') <> ''")
+    kind = F.when(F.col("doc_id") % 4 == 0, "text/plain").when(F.col("doc_id") % 4 == 1, "Text/Markdown; charset=utf-8").when(F.col("doc_id") % 4 == 2, "application/pdf").otherwise("image/png")
+    uploads = docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 100).alias("user_id"), F.lit("cv").alias("filename"), kind.alias("content_type"), F.col("text").cast("binary").alias("body"))
+    shape = "id long, user_id long, object_key string, text_object_key string, filename string, content_type string, size_bytes long, sha256 string, text_chars int, parse_state string, parse_error string, uploaded_at timestamp, deleted_at timestamp"
+    kept = profiles.add_resumes(spark.createDataFrame([], shape), uploads, now())
+    asked = uploads.filter("id % 3 = 0").select("id", F.when(F.col("id") % 5 == 0, -1).otherwise(F.col("user_id")).alias("user_id"))
+    return profiles.delete_resumes(kept, asked, now()).select("id", "object_key", "size_bytes", "sha256", "parse_state", F.col("deleted_at").isNotNull().alias("deleted"))
+
+
 # ---- search
 
 
