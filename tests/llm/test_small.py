@@ -55,7 +55,7 @@ def test_shingle_sets_and_anchors():
         assert sorted(starts) == list(range(len(text) - 199))
 
 
-def brute_components(rows):
+def brute_components(rows, percent=90):
     sets = []
     for i, t in rows:
         w = (t or "").encode().lower().split()
@@ -70,7 +70,7 @@ def brute_components(rows):
     for a in range(len(sets)):
         for b in range(a):
             x, y = sets[a][1], sets[b][1]
-            if x and y and 100 * len(x & y) >= 90 * len(x | y):
+            if x and y and 100 * len(x & y) >= percent * len(x | y):
                 parent[find(a)] = find(b)
     out = []
     for k, (i, s) in enumerate(sets):

@@ -287,6 +287,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     known = Sent(spark, classes(docs, lambda batch: np.concatenate([np.zeros(0, np.uint64), *shingles(batch, 1, size)]), BOUNDS, about, 1))
     index = materialize(_index(docs, known.held, size, percent), "index")
     known.release()
+    return components_of(docs, rows, index, about, size, percent)
+
+
+def components_of(docs: DataFrame, rows: DataFrame, index: DataFrame, about: int, size: int, percent: int) -> DataFrame:
+    """``doc_id``, ``n_shingles`` and ``component_id`` of ``rows`` (with ``node``), whose candidates meet in an ``index`` (sig, node, n).
+
+    ``about``: roughly how many shingles all documents have.
+    """
+    spark = docs.sparkSession
     # of the entries that hold the same members one is enough; near copies share most of theirs
     held = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"held_{k}") for k in (1, 2)]
     shared = index.groupBy("sig").agg(F.count(F.lit(1)).alias("members"), *held).filter("members > 1")
