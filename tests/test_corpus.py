@@ -177,36 +177,23 @@ def test_poll_stream(spark, tmp_path):
     two = board([(1, "A", "x", ""), (2, "B", "y", "")])
     rounds = [("ok", two), ("ok", two), ("ok", board([(1, "A", "x", ""), (2, "B", "changed", "")])), ("failed", None), ("not_modified", None), ("ok", "<html>"), ("ok", board([(1, "A", "x", "")])), ("ok", board([(1, "A", "x", "")]))]
     for i, (status, payload) in enumerate(rounds):
-        batch = spark.createDataFrame([("gh:x", "c", status, NOW, payload)], LANDED)
+        batch = spark.createDataFrame([("gh:x", "c", status, NOW, payload, None, None)], LANDED)
         apply_batch(store, batch, i, F.lit(NOW + timedelta(days=i)))
         if i < 7:
             assert store.read("opportunity").filter("closed_at IS NOT NULL").count() == 0
     rows = {r["title_raw"]: r for r in store.read("opportunity").collect()}
     assert rows["B"]["close_reason"] == "absent" and rows["B"]["version"] == 2 and rows["A"]["closed_at"] is None and rows["A"]["version"] == 1
     version = store.manifest()["version"]
-    apply_batch(store, spark.createDataFrame([("gh:x", "c", "ok", NOW, board([]))], LANDED), 7, now())
+    apply_batch(store, spark.createDataFrame([("gh:x", "c", "ok", NOW, board([]), None, None)], LANDED), 7, now())
     assert store.manifest()["version"] == version
     (tmp_path / "landed").mkdir()
     (tmp_path / "landed" / "a.json").write_text(json.dumps({"source_id": "gh:x", "company_id": "c", "status": "ok", "polled_at": "2026-09-01T00:00:00Z", "body": two}))
-    run_polls(spark, str(tmp_path / "landed"), TableStoreOffset(store), str(tmp_path / "cp"), now).awaitTermination(120)
+    run_polls(spark, str(tmp_path / "landed"), store, str(tmp_path / "cp"), now, name="second").awaitTermination(120)
     assert store.read("opportunity").filter("closed_at IS NOT NULL").count() == 0
     with pytest.raises(StaleCommit):
         store.commit({}, expected=1)
 
 
-class TableStoreOffset:
-    """The same store under batch ids of another run."""
-
-    def __init__(self, store):
-        self.store = store
-
-    def __getattr__(self, name):
-        return getattr(self.store, name)
-
-    def commit(self, frames, expected=None, batch_id=None):
-        return self.store.commit(frames, expected, f"second-{batch_id}")
-
-
 def test_refresh_counts(spark):
     base = ("i", "c", "T", "d", "", "en", "h", "t", NOW, NOW, "ready", NOW, 0, 1, 0, NOW, NOW, 1, NOW, "absent", None)
     opps = spark.createDataFrame([base], OPP)

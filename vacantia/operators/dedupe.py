@@ -96,9 +96,11 @@ def apply_merges(opps: DataFrame, sources: DataFrame, merges: DataFrame, now: Co
     m = merges.select(F.col("from_id").alias("id"), "into_id")
     marked = opps.join(m, "id", "left").withColumn("version", F.col("version") + F.when(F.col("into_id").isNotNull(), 1).otherwise(0))
     marked = marked.withColumn("merged_into", F.coalesce("merged_into", "into_id")).drop("into_id").select(*opps.columns)
-    how = merges.select(F.col("from_id").alias("opportunity_id"), "into_id", F.col("reason").alias("merge_reason"), F.col("confidence").alias("merge_confidence"))
-    base = sources.drop("merge_reason", "merge_confidence")
-    moved = base.join(how, "opportunity_id", "left").withColumn("opportunity_id", F.coalesce("into_id", "opportunity_id")).drop("into_id")
+    how = merges.select(F.col("from_id").alias("opportunity_id"), F.struct("into_id", "reason", "confidence").alias("how"))
+    found = sources.join(how, "opportunity_id", "left")
+    told = {"merge_reason": ("reason", "string"), "merge_confidence": ("confidence", "float")}
+    told = {c: F.coalesce(F.col(f"how.{name}").cast(kind), *([F.col(c)] if c in sources.columns else [])) for c, (name, kind) in told.items()}
+    moved = found.withColumns(told | {"opportunity_id": F.coalesce("how.into_id", "opportunity_id")}).drop("how")
     count = sources.groupBy("opportunity_id").agg(F.count(F.lit(1)).alias("rows_moved"), F.collect_list("source_row_id").alias("moved_rows"))
     log = merges.join(count, merges["from_id"] == count["opportunity_id"], "left").select("from_id", "into_id", "reason", "confidence", F.coalesce("rows_moved", F.lit(0)).alias("rows_moved"), "moved_rows", now.alias("merged_at"), F.lit(None).cast("timestamp").alias("undone_at"))
     return {"opportunity": marked, "opportunity_source": moved, "opportunity_merge": log}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vacantia.functions import text as X
 from vacantia.functions.vocabulary import QUARANTINE_AFTER
+from vacantia.sources.scratch import cut
 
 MAX_MISSES = 2
 
@@ -42,49 +43,69 @@ def classify(postings: DataFrame, provenance: DataFrame) -> DataFrame:
     return linked.drop("board_id", "first", "link")
 
 
+#: What a posting says, under the names of the stored rows.
+SAID = ("title_raw", "description_text", "work_mode", "location_region", "language", "content_hash")
+
+
+def sightings(classified: DataFrame) -> DataFrame:
+    """``id`` and ``n``, one row for each known posting that a batch saw, through however many sources.
+
+    An updated one wins, of several the one with the newest claimed date, then by hash, source and job;
+    ``claims`` are the claimed dates of the unchanged ones and ``claim`` is the newest of all.
+    """
+    said = [c for c in SAID if c in classified.columns]
+    order = F.struct(F.coalesce("source_reported_posted_at", F.lit("0001-01-01").cast("timestamp")), "content_hash", "source_id", "source_job_id")
+    changed = F.col("outcome") == "updated"
+    one = classified.filter("opportunity_id IS NOT NULL AND outcome <> 'linked'").groupBy(F.col("opportunity_id").alias("id")).agg(
+        F.max(changed).alias("changed"),
+        F.max_by(F.struct(*said, "source_reported_posted_at"), F.struct(changed, order)).alias("said"),
+        F.collect_list(F.when(~changed, F.col("source_reported_posted_at"))).alias("claims"),
+        F.max("source_reported_posted_at").alias("claim"),
+    )
+    return one.select("id", F.struct("changed", "said", "claims", "claim").alias("n"))
+
+
 def reconcile(opps: DataFrame, classified: DataFrame, now: Column, strict_refresh: bool = False) -> DataFrame:
-    """``opps`` after a poll: seen rows are touched and reopened, changed ones re-enter the pipeline, new ones appear.
+    """``opps`` after a poll, one row for each of its rows and all its columns: seen ones are touched and
+    reopened, changed ones re-enter the pipeline, new ones appear.
 
     A refresh is an unchanged posting whose claimed date is after the one at its last change (with
-    ``strict_refresh``: after its last claim). New rows take their id from source and job.
+    ``strict_refresh``: after its last claim); each source that shows one counts, none where another
+    source shows a change. New rows take their id from source and job, and null in columns that a poll
+    doesn't know.
     """
-    names = ("title_raw", "description_text", "location_region", "language", "content_hash", "source_reported_posted_at", "company_id")
-    hit = classified.filter("opportunity_id IS NOT NULL AND outcome <> 'linked'").select(F.col("opportunity_id").alias("id"), F.struct("outcome", *names).alias("n"))
-    old = opps.join(hit, "id", "left")
-    changed, seen = F.col("n.outcome") == "updated", F.col("n.outcome").isNotNull()
-    claim = F.col("n.source_reported_posted_at")
+    old = opps.join(sightings(classified), "id", "left")
+    seen = F.col("n").isNotNull()
+    changed = F.coalesce(F.col("n.changed"), F.lit(False))
     before = F.col("source_reported_posted_at") if strict_refresh else F.col("source_posted_at_at_last_change")
-    refreshed = F.coalesce((F.col("n.outcome") == "unchanged") & (claim > before), F.lit(False))
-
-    def when_changed(name: str, new: Column) -> Column:
-        return F.when(changed, new).otherwise(F.col(name))
-
-    kept = old.select(
-        "id", "company_id",
-        *[when_changed(c, F.col(f"n.{c}")).alias(c) for c in ("title_raw", "description_text", "location_region", "language", "content_hash")],
-        when_changed("title_normalized", X.collapse_lower(F.col("n.title_raw"))).alias("title_normalized"),
-        F.when(changed, claim).when(seen, F.coalesce(claim, "source_reported_posted_at")).otherwise(F.col("source_reported_posted_at")).alias("source_reported_posted_at"),
-        when_changed("source_posted_at_at_last_change", claim).alias("source_posted_at_at_last_change"),
-        when_changed("pipeline_state", F.lit("parsed")).alias("pipeline_state"),
-        F.when(changed & (F.col("pipeline_state") != "parsed"), now).otherwise(F.col("state_entered_at")).alias("state_entered_at"),
-        when_changed("attempts", F.lit(0)).alias("attempts"),
-        (F.col("version") + F.when(changed, 1).otherwise(0)).alias("version"),
-        (F.col("repost_count") + refreshed.cast("int")).alias("repost_count"),
-        "first_seen_at",
-        F.when(seen, now).otherwise(F.col("last_seen_at")).alias("last_seen_at"),
-        F.when(seen, 0).otherwise(F.col("consecutive_misses")).alias("consecutive_misses"),
-        F.when(~seen, F.col("closed_at")).alias("closed_at"),
-        F.when(~seen, F.col("close_reason")).alias("close_reason"),
-        "merged_into",
-    )
-    new = classified.filter("outcome = 'created'").select(
-        new_id().alias("id"), "company_id", "title_raw", "description_text", "location_region", "language", "content_hash",
-        X.collapse_lower(F.col("title_raw")).alias("title_normalized"), "source_reported_posted_at",
-        F.col("source_reported_posted_at").alias("source_posted_at_at_last_change"), F.lit("parsed").alias("pipeline_state"), now.alias("state_entered_at"),
-        F.lit(0).alias("attempts"), F.lit(1).alias("version"), F.lit(0).alias("repost_count"), now.alias("first_seen_at"), now.alias("last_seen_at"),
-        F.lit(0).alias("consecutive_misses"), F.lit(None).cast("timestamp").alias("closed_at"), F.lit(None).cast("string").alias("close_reason"), F.lit(None).cast("string").alias("merged_into"),
-    )
-    return kept.unionByName(new.select(*kept.columns))
+    refreshes = F.when(seen & ~changed, F.size(F.filter("n.claims", lambda c: c > before))).otherwise(0)
+    said = {c: F.when(changed, F.col(f"n.said.{c}")).otherwise(F.col(c)) for c in SAID if c in classified.columns}
+    new = said | {
+        "title_normalized": F.when(changed, X.collapse_lower(F.col("n.said.title_raw"))).otherwise(F.col("title_normalized")),
+        "source_reported_posted_at": F.when(changed, F.col("n.said.source_reported_posted_at")).when(seen, F.coalesce("n.claim", "source_reported_posted_at")).otherwise(F.col("source_reported_posted_at")),
+        "source_posted_at_at_last_change": F.when(changed, F.col("n.said.source_reported_posted_at")).otherwise(F.col("source_posted_at_at_last_change")),
+        "pipeline_state": F.when(changed, "parsed").otherwise(F.col("pipeline_state")),
+        "state_entered_at": F.when(changed & (F.col("pipeline_state") != "parsed"), now).otherwise(F.col("state_entered_at")),
+        "next_attempt_at": F.when(changed, now).otherwise(F.col("next_attempt_at")),
+        "attempts": F.when(changed, 0).otherwise(F.col("attempts")),
+        "last_error": F.when(~changed, F.col("last_error")),
+        "version": F.col("version") + changed.cast("int"),
+        "repost_count": F.col("repost_count") + refreshes,
+        "last_seen_at": F.when(seen, now).otherwise(F.col("last_seen_at")),
+        "liveness_checked_at": F.when(seen, now).otherwise(F.col("liveness_checked_at")),
+        "consecutive_misses": F.when(seen, 0).otherwise(F.col("consecutive_misses")),
+        "closed_at": F.when(~seen, F.col("closed_at")),
+        "close_reason": F.when(~seen, F.col("close_reason")),
+    }
+    kept = old.withColumns({c: e.cast(opps.schema[c].dataType) for c, e in new.items() if c in opps.columns}).select(*opps.columns)
+    first = {
+        "id": new_id(), "title_normalized": X.collapse_lower(F.col("title_raw")), "source_posted_at_at_last_change": F.col("source_reported_posted_at"), "pipeline_state": F.lit("parsed"),
+        "apply_method": F.col("ats_type") if "ats_type" in classified.columns else F.lit(None).cast("string"),
+        "attempts": F.lit(0), "version": F.lit(1), "repost_count": F.lit(0), "consecutive_misses": F.lit(0),
+    } | {c: now for c in ("state_entered_at", "next_attempt_at", "first_seen_at", "last_seen_at", "liveness_checked_at")}
+    created = classified.filter("outcome = 'created'").withColumns(first)
+    created = created.select(*[F.col(c).cast(opps.schema[c].dataType) for c in opps.columns if c in created.columns])
+    return kept.unionByName(created, allowMissingColumns=True)
 
 
 def new_id(source: str = "source_id", job: str = "source_job_id") -> Column:
@@ -93,12 +114,13 @@ def new_id(source: str = "source_id", job: str = "source_job_id") -> Column:
 
 def reconcile_sources(provenance: DataFrame, classified: DataFrame, now: Column) -> DataFrame:
     """Provenance rows after a poll: known ones are touched, new ones point at the new rows or at those that they are linked to."""
-    seen = classified.select("source_id", "source_job_id", F.col("content_hash").alias("new_hash"))
-    old = provenance.join(seen, ["source_id", "source_job_id"], "left").withColumn("last_seen_at", F.when(F.col("new_hash").isNotNull(), now).otherwise(F.col("last_seen_at")))
-    old = old.withColumn("content_hash", F.coalesce("new_hash", "content_hash")).select(*provenance.columns)
+    seen = classified.select("source_id", "source_job_id", F.struct("content_hash").alias("seen"))
+    hit = F.col("seen").isNotNull()
+    old = provenance.join(seen, ["source_id", "source_job_id"], "left")
+    old = old.withColumns({"last_seen_at": F.when(hit, now).otherwise(F.col("last_seen_at")), "content_hash": F.when(hit, F.col("seen.content_hash")).otherwise(F.col("content_hash"))}).select(*provenance.columns)
     linked = F.col("outcome") == "linked"
     new = classified.filter("outcome IN ('created', 'linked')").withColumns(
-        {"opportunity_id": F.when(linked, F.col("opportunity_id")).otherwise(new_id()), "last_seen_at": now, "created_at": now, "source_row_id": new_id(), "merge_reason": F.when(linked, "exact_ats")}
+        {"opportunity_id": F.when(linked, F.col("opportunity_id")).otherwise(new_id()), "last_seen_at": now, "created_at": now, "source_row_id": new_id(), "merge_reason": F.when(linked, "exact_ats"), "merge_confidence": F.when(linked, F.lit(1.0).cast("float")), "merged_by": F.lit("ingest")}
     )
     new = new.select(*[c for c in new.columns if c in provenance.columns])
     return old.unionByName(new, allowMissingColumns=True)
@@ -117,6 +139,8 @@ def bump_and_close(opps: DataFrame, missing: DataFrame, now: Column, most: int =
     """Absent rows miss once more; open rows with too many misses close, whatever their source."""
     hit = missing.select("id", F.lit(1).alias("missed"))
     bumped = opps.join(hit, "id", "left").withColumn("consecutive_misses", F.col("consecutive_misses") + F.coalesce("missed", F.lit(0)))
+    if "liveness_checked_at" in opps.columns:
+        bumped = bumped.withColumn("liveness_checked_at", F.when(F.col("missed").isNotNull(), now).otherwise(F.col("liveness_checked_at")))
     close = F.col("closed_at").isNull() & (F.col("consecutive_misses") >= most)
     return bumped.withColumns({"closed_at": F.when(close, now).otherwise(F.col("closed_at")), "close_reason": F.when(close, "absent").otherwise(F.col("close_reason"))}).select(*opps.columns)
 
@@ -128,7 +152,7 @@ def poll(opps: DataFrame, provenance: DataFrame, postings: DataFrame, polled: Da
     """
     ok = polled.filter("status = 'ok'").select("source_id").distinct()
     fresh = postings.join(ok, "source_id", "left_semi")
-    classified = classify(fresh, provenance)
+    classified = cut(classify(fresh, provenance), "classified")  # parsed and matched once for all that follows
     rows = reconcile(opps, classified, now)
     sources = reconcile_sources(provenance, classified, now)
     # a source that answered with an empty board has shown none of its jobs
@@ -136,6 +160,22 @@ def poll(opps: DataFrame, provenance: DataFrame, postings: DataFrame, polled: Da
     return {"opportunity": bump_and_close(rows, absent(rows, sources, seen), now), "opportunity_source": sources}
 
 
+def counted(postings: DataFrame, polled: DataFrame) -> DataFrame:
+    """What each poll of a batch counts: source_id, status, discovered, processed, parse_yield and the health counters.
+
+    A poll that failed or found nothing changed observed no postings, and counts none.
+    """
+    ok = polled.filter("status = 'ok'").select("source_id").distinct()
+    said = {f"said_{c}": F.count_if(F.coalesce(F.col(c).cast("string"), F.lit("")) != "") if c in postings.columns else F.lit(0) for c in ("company_name", "location_region", "apply_url", "language")}
+    usable = (F.trim(F.coalesce("source_job_id", F.lit(""))) != "") & (F.trim(F.coalesce("title_raw", F.lit(""))) != "")
+    count = postings.join(ok, "source_id", "left_semi").groupBy("source_id").agg(F.count(F.lit(1)).alias("discovered"), F.count_if(usable).alias("processed"), *[e.alias(c) for c, e in said.items()])
+    each = polled.groupBy("source_id").agg(F.max(F.struct(F.col("status") == "ok", "status")).alias("s")).select("source_id", "s.status").join(count, "source_id", "left")
+    n = {c: F.coalesce(c, F.lit(0)) for c in ("discovered", "processed", *said)}
+    counters = {"postings": n["discovered"], "usable": n["processed"], "company": n["said_company_name"], "location": n["said_location_region"], "apply_url": n["said_apply_url"], "language": n["said_language"], "salary": F.lit(0)}
+    bookkeeping = {"discovered": n["discovered"], "processed": n["processed"], "parse_yield": F.when(n["discovered"] == 0, 1.0).otherwise(n["processed"] / n["discovered"])}
+    return each.select("source_id", "status", *[e.cast("double" if c == "parse_yield" else "long").alias(c) for c, e in (counters | bookkeeping).items()])
+
+
 def upsert(stored: DataFrame, new: DataFrame, key: list[str], merge: dict[str, Column] | None = None) -> DataFrame:
     """Rows of both by ``key``; ``merge`` gives columns in terms of ``old.x`` and ``new.x``, others are the new row's."""
     values = [c for c in stored.columns if c not in key]
@@ -203,3 +243,23 @@ def mark_health(sources: DataFrame, verdicts: DataFrame, quarantine_after: int =
         "consecutive_degraded": count,
     }
     return found.withColumns(new).select(*sources.columns)
+
+
+def review_sources(sources: DataFrame, reviews: DataFrame, now: Column) -> DataFrame:
+    """Sources after a terms review: ``reviews`` has source_id, reviewed_by and platform_review_ref."""
+    found = sources.join(reviews.select("source_id", F.struct("reviewed_by", "platform_review_ref").alias("r")), "source_id", "left")
+    hit = F.col("r").isNotNull()
+    new = {c: F.when(hit, F.col(f"r.{c}")).otherwise(F.col(c)) for c in ("reviewed_by", "platform_review_ref")}
+    return found.withColumns(new | {"terms_reviewed_at": F.when(hit, now).otherwise(F.col("terms_reviewed_at"))}).select(*sources.columns)
+
+
+def upsert_sources(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """By name; of a known source only its type is overwritten."""
+    kept = {c: F.col(f"old.{c}") for c in stored.columns if c not in ("name", "type")}
+    return upsert(stored, new, ["name"], kept)
+
+
+def upsert_schedules(stored: DataFrame, new: DataFrame, now: Column) -> DataFrame:
+    """``new`` has source_id and cursor: the schedule is due at once with that cursor; a known one keeps its lease and last run."""
+    due = new.withColumn("next_run_at", now).select("source_id", *[F.col(c).cast(t) if c in ("cursor", "next_run_at") else F.lit(None).cast(t).alias(c) for c, t in stored.dtypes if c != "source_id"])
+    return upsert(stored, due, ["source_id"], {c: F.col(f"old.{c}") for c in stored.columns if c not in ("source_id", "cursor", "next_run_at")})

@@ -13,6 +13,7 @@ from vacantia.functions import vocabulary as V
 from vacantia.functions.simhash import fnv1a64, hamming, simhash
 from vacantia.operators import dedupe, feed, identity, ingest, profiles, queue, search, stats
 from vacantia.plans.mapping import NOW, TODAY, ctes, pick, table, view
+from vacantia.sources.scratch import cut
 
 _queries: dict[str, Callable] = {}
 _oracles: dict[str, str] = {}
@@ -297,6 +298,66 @@ def poll_link(spark, d):
     return ingest.classify(polled.select("source_id", "source_job_id", "content_hash", "ats_type", "ats_job_id"), known).select("source_id", "source_job_id", "outcome", "opportunity_id")
 
 
+# two polls of the same jobs: in the first one of three rows of a job is new to its source and linked by the board's identity
+_LINE = "SELECT l_orderkey AS o, l_suppkey AS source_id, concat(l_orderkey, '-', l_linenumber, '-', l_partkey) AS job, min(l_linenumber) AS k FROM lineitem GROUP BY 1, 2, 3"
+_POLLED = "o % 9 <> 0"
+_TWICE = f"""{ctes('opportunity')}, line AS ({_LINE}),
+first AS (SELECT o, bool_or(k % 3 <> 0 AND o % 5 = 0 AND k = 1) AS changed, count(*) FILTER (WHERE k % 3 <> 0 AND NOT (o % 5 = 0 AND k = 1)) AS same, bool_or(k % 3 <> 0) AS seen FROM line WHERE {_POLLED} GROUP BY 1),
+second AS (SELECT o, bool_or(o % 7 = 0 AND k % 2 = 1) AS changed, count(*) FILTER (WHERE NOT (o % 7 = 0 AND k % 2 = 1)) AS same, bool_or(o % 7 = 0 AND k = 1) AS first_line FROM line WHERE {_POLLED} GROUP BY 1),
+line_sources AS (SELECT DISTINCT source_id FROM line WHERE {_POLLED}),
+away AS (SELECT DISTINCT o FROM line WHERE NOT ({_POLLED}) AND source_id IN (SELECT source_id FROM line_sources) AND k % 3 <> 0),
+e AS (SELECT opportunity.*, coalesce(f.changed, false) AS c1, coalesce(f.same, 0) AS s1, coalesce(f.seen, false) AS n1, coalesce(s.changed, false) AS c2, coalesce(s.same, 0) AS s2, s.o IS NOT NULL AS n2, a.o IS NOT NULL AS gone
+  FROM opportunity LEFT JOIN first f ON f.o = id LEFT JOIN second s ON s.o = id AND f.seen LEFT JOIN away a ON a.o = id),
+t AS (SELECT *, {NOW} + INTERVAL 1 DAY AS t1, {NOW} + INTERVAL 2 DAY AS t2 FROM e),
+made AS (SELECT o, arg_min(sha256(concat(source_id, chr(0), job)), (source_id, job)) AS id FROM line WHERE {_POLLED} AND o NOT IN (SELECT o FROM first WHERE seen) GROUP BY 1)
+SELECT CAST(id AS VARCHAR) AS id, company_id, role_family, work_mode, CAST(merged_into AS VARCHAR) AS merged_into,
+  CASE WHEN c2 THEN 'title 2' WHEN c1 THEN 'title 1' ELSE title_raw END AS title_raw,
+  version + CAST(c1 AS INT) + CAST(c2 AS INT) AS version,
+  CASE WHEN c1 OR c2 THEN 'parsed' ELSE pipeline_state END AS pipeline_state,
+  CASE WHEN c1 OR c2 THEN 0 ELSE attempts END AS attempts,
+  {{next}} AS next_attempt_at, {{entered}} AS state_entered_at, {{seen}} AS last_seen_at, {{closed}} AS closed_at,
+  CASE WHEN n1 OR n2 THEN NULL WHEN gone AND closed_at IS NULL THEN 'absent' ELSE NULL END AS close_reason,
+  CASE WHEN n1 OR n2 THEN 0 WHEN gone AND closed_at IS NULL THEN 2 ELSE 0 END AS consecutive_misses,
+  repost_count + CASE WHEN c1 THEN 0 ELSE s1 END + CASE WHEN c2 THEN 0 ELSE s2 END AS repost_count
+FROM t
+UNION ALL SELECT made.id, 0, NULL, NULL, NULL, CASE WHEN changed THEN 'title 2' ELSE 'title 1' END, 1 + CAST(changed AS INT), 'parsed', 0,
+  CASE WHEN changed THEN '2001-09-03 00:00:00' ELSE '2001-09-02 00:00:00' END, '2001-09-02 00:00:00', '2001-09-03 00:00:00', NULL, NULL, 0, CASE WHEN changed THEN 0 ELSE same END FROM made JOIN second USING (o)"""
+
+
+def _when(expr: str) -> str:
+    return f"strftime({expr}, '%Y-%m-%d %H:%M:%S')"
+
+
+@query(_TWICE.format(
+    next=_when("CASE WHEN c2 THEN t2 WHEN c1 THEN t1 ELSE next_attempt_at END"),
+    entered=_when("CASE WHEN c1 AND pipeline_state <> 'parsed' THEN t1 WHEN c2 AND NOT c1 AND pipeline_state <> 'parsed' THEN t2 ELSE state_entered_at END"),
+    seen=_when("CASE WHEN n2 THEN t2 WHEN n1 THEN t1 ELSE first_seen_at END"),
+    closed=_when("CASE WHEN n1 OR n2 THEN NULL WHEN gone AND closed_at IS NULL THEN t2 ELSE closed_at END"),
+))
+def poll_reconcile(spark, d):
+    """Two polls in a row over linked sources; one job of nine has gone from its boards."""
+    first, second = (F.expr(f"{NOW} + INTERVAL {k} DAY") for k in (1, 2))
+    opps = view(spark, d, "opportunity").withColumns({
+        "id": F.col("id").cast("string"), "merged_into": F.col("merged_into").cast("string"), "last_seen_at": F.col("first_seen_at"), "consecutive_misses": F.lit(0), "close_reason": F.lit(None).cast("string"), "source_reported_posted_at": now(),
+        "source_posted_at_at_last_change": now(), "title_normalized": F.lit(""), "liveness_checked_at": now(),
+    })
+    line = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("source_id"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("source_job_id"))
+    line = line.agg(F.min("l_linenumber").alias("k")).withColumns({"ats_type": F.lit("board"), "ats_job_id": F.col("o").cast("string"), "content_hash": F.lit("h"), "company_id": F.lit(0).cast("long")})
+    known = line.filter("k % 3 <> 0").withColumns({"opportunity_id": F.col("o").cast("string"), "source_row_id": F.col("source_job_id"), "last_seen_at": now(), "created_at": now()})
+
+    def polled(turn: int, changed: str, at) -> DataFrame:
+        hit, before = F.expr(changed), F.when(F.expr("o % 5 = 0 AND k = 1"), "h1").otherwise("h") if turn == 2 else F.lit("h")
+        return line.filter(_POLLED).withColumns({"title_raw": F.lit(f"title {turn}"), "content_hash": F.when(hit, f"h{turn}").otherwise(before), "source_reported_posted_at": at})
+
+    sources = {"status": F.lit("ok")}
+    for turn, changed, at in ((1, "o % 5 = 0 AND k = 1 AND k % 3 <> 0", first), (2, "o % 7 = 0 AND k % 2 = 1", second)):
+        posts = polled(turn, changed, at)
+        out = ingest.poll(opps, known, posts, posts.select("source_id").distinct().withColumns(sources), at)
+        opps, known = (cut(out[name], name) if turn == 1 else out[name] for name in ("opportunity", "opportunity_source"))
+    shown = opps.select("id", "company_id", "role_family", "work_mode", "merged_into", "title_raw", "version", "pipeline_state", "attempts", "next_attempt_at", "state_entered_at", "last_seen_at", "closed_at", "close_reason", "consecutive_misses", "repost_count")
+    return _stamps(shown, "next_attempt_at", "state_entered_at", "last_seen_at", "closed_at")
+
+
 @query(f"""SELECT s_suppkey AS source_id, CASE WHEN s_suppkey % 3 = 0 THEN 'c' || s_suppkey ELSE 'old' END AS cursor, {_s("CASE WHEN s_suppkey % 3 = 0 THEN " + NOW + " + to_seconds(600 + s_suppkey) ELSE " + NOW + " END").rsplit(" AS ", 1)[0]} AS next_run_at, s_suppkey % 3 <> 0 AS leased FROM supplier""")
 def save_cursors(spark, d):
     sources = table(spark, d, "supplier").select(F.col("s_suppkey").alias("source_id"), (F.col("s_suppkey") + 600).alias("poll_interval_s"))

@@ -7,6 +7,7 @@ ever removed, so readers see all tables of a commit or those of the one before.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import uuid
@@ -37,12 +38,24 @@ class TableStore:
         finally:
             stream.close()
 
+    def _put(self, path, text: str) -> None:
+        out = self._fs.create(path, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
     def manifest(self) -> dict:
         root = self._path(self.root)
         names = [f.getPath().getName() for f in self._fs.listStatus(root)] if self._fs.exists(root) else []
         versions = [int(n.split(".")[1]) for n in names if re.fullmatch(r"manifest\.\d+\.json", n)]
         text = self._text(f"{self.root}/manifest.{max(versions)}.json") if versions else None
-        return json.loads(text) if text else {"version": 0, "tables": {}, "batches": []}
+        return json.loads(text) if text else {"version": 0, "tables": {}, "batch": None}
+
+    def _mark(self, batch_id: str) -> str:
+        return f"{self.root}/batches/{hashlib.sha256(batch_id.encode()).hexdigest()}"
+
+    def has_batch(self, batch_id: str) -> bool:
+        """Each committed batch has a small file; only the newest manifest's may not be written yet."""
+        return self.manifest()["batch"] == batch_id or self._fs.exists(self._path(self._mark(batch_id)))
 
     def tables(self) -> list[str]:
         return sorted(self.manifest()["tables"])
@@ -59,25 +72,39 @@ class TableStore:
         ``expected`` is the version that the frames were computed from.
         """
         now = self.manifest()
-        if batch_id is not None and batch_id in now["batches"]:
+        if now["batch"] is not None:  # before its manifest is outdated
+            self._put(self._path(self._mark(now["batch"])), now["batch"])
+        if batch_id is not None and self.has_batch(batch_id):
             return now["version"]
         if expected is not None and expected != now["version"]:
             raise StaleCommit(f"expected version {expected}, found {now['version']}")
-        version = now["version"] + 1
+        version, own = now["version"] + 1, uuid.uuid4().hex
+        places = {name: f"{name}/v={version}-{own}" for name in frames}  # no other writer's
         for name, frame in frames.items():
-            frame.write.mode("overwrite").parquet(f"{self.root}/{name}/v={version}")
-        tables = now["tables"] | {name: f"{name}/v={version}" for name in frames}
-        batches = now["batches"] + ([batch_id] if batch_id is not None else [])
-        body = json.dumps({"version": version, "tables": tables, "batches": batches})
-        part, final = self._path(f"{self.root}/manifest.{version}.{uuid.uuid4().hex}.tmp"), self._path(f"{self.root}/manifest.{version}.json")
-        out = self._fs.create(part, True)
-        out.write(bytearray(body.encode()))
-        out.close()
+            frame.write.parquet(f"{self.root}/{places[name]}")
+        body = json.dumps({"version": version, "tables": now["tables"] | places, "batch": batch_id})
+        part, final = self._path(f"{self.root}/manifest.{version}.{own}.tmp"), self._path(f"{self.root}/manifest.{version}.json")
+        self._put(part, body)
         if self._fs.exists(final) or not self._fs.rename(part, final):
             self._fs.delete(part, False)
+            for place in places.values():
+                self._fs.delete(self._path(f"{self.root}/{place}"), True)
             raise StaleCommit(f"version {version} was committed meanwhile")
         return version
 
+    def purge(self, names: list[str]) -> int:
+        """Delete every version of tables but the one in force, as an erasure asks for; returns how many went.
+
+        Readers that still hold an older version lose it. Run it while no commit is under way.
+        """
+        gone = 0
+        for name in names:
+            top, kept = self._path(f"{self.root}/{name}"), self.manifest()["tables"].get(name, "").rpartition("/")[2]
+            for f in self._fs.listStatus(top) if self._fs.exists(top) else []:
+                if f.getPath().getName() != kept:
+                    gone += bool(self._fs.delete(f.getPath(), True))
+        return gone
+
 
 class BlobStore:
     """Objects by key under one prefix: put, get, delete, delete and count by prefix."""
