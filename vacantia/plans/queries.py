@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -13,7 +14,8 @@ from vacantia.functions import vocabulary as V
 from vacantia.functions.simhash import fnv1a64, hamming, simhash
 from vacantia.operators import dedupe, feed, identity, ingest, profiles, queue, search, stats
 from vacantia.plans.mapping import NOW, TODAY, ctes, pick, table, view
-from vacantia.sources.scratch import cut
+from vacantia.sources.scratch import cut, folder
+from vacantia.streaming import keyed
 
 _queries: dict[str, Callable] = {}
 _oracles: dict[str, str] = {}
@@ -358,6 +360,58 @@ def poll_reconcile(spark, d):
     return _stamps(shown, "next_attempt_at", "state_entered_at", "last_seen_at", "closed_at")
 
 
+@query("""WITH raw AS (SELECT l_suppkey AS s, date_trunc('month', l_shipdate) AS m, l_partkey % 25 AS j, l_returnflag AS h, CASE WHEN l_quantity > 25 THEN l_shipdate END AS c FROM lineitem),
+poll AS (SELECT s, m, row_number() OVER (PARTITION BY s ORDER BY m) AS k FROM (SELECT DISTINCT s, m FROM raw)),
+top AS (SELECT s, m, j, max(h) AS h FROM raw GROUP BY 1, 2, 3),
+seen AS (SELECT s, j, m, k, h, max(c) AS c FROM top JOIN raw USING (s, m, j, h) JOIN poll USING (s, m) GROUP BY 1, 2, 3, 4, 5),
+g AS (SELECT *, lag(k) OVER w AS pk, lag(h) OVER w AS ph FROM seen WINDOW w AS (PARTITION BY s, j ORDER BY k)),
+r AS (SELECT *, sum(CASE WHEN ph IS NULL OR ph <> h THEN 1 ELSE 0 END) OVER (PARTITION BY s, j ORDER BY k) AS v FROM g),
+b AS (SELECT *, first_value(c) OVER (PARTITION BY s, j, v ORDER BY k) AS base FROM r),
+o AS (SELECT s, j, arg_max(h, k) AS content_hash, max(v) AS version, count(*) FILTER (WHERE c > base) AS refreshes, max(k) AS k, min(m) AS first_seen, max(m) AS last_seen, count(*) FILTER (WHERE k - pk > 2) AS reopened FROM b GROUP BY 1, 2),
+n AS (SELECT s, max(k) AS n FROM poll GROUP BY 1)
+SELECT CAST(o.s AS VARCHAR) AS source_id, CAST(j AS VARCHAR) AS source_job_id, content_hash, CAST(version AS INT) AS version, refreshes, least(n - o.k, 2) AS misses,
+  reopened + CASE WHEN n - o.k >= 2 THEN 1 ELSE 0 END AS closures, strftime(first_seen, '%Y-%m-%d %H:%M:%S') AS first_seen_at, strftime(last_seen, '%Y-%m-%d %H:%M:%S') AS last_seen_at, strftime(p.m, '%Y-%m-%d %H:%M:%S') AS closed_at
+FROM o JOIN n USING (s) LEFT JOIN poll p ON p.s = o.s AND p.k = o.k + 2""")
+def job_lifecycle_stream(spark, d):
+    """Suppliers polled each month they ship in, as a stream with one state entry for each job."""
+    line = _stream(spark, d, "lineitem").withColumn("polled_at", F.date_trunc("month", "l_shipdate"))
+    source = F.col("l_suppkey").alias("source_id")
+    shown = line.select(source, "polled_at", (F.col("l_partkey") % 25).cast("string").alias("source_job_id"), F.col("l_returnflag").alias("content_hash"), F.when(F.col("l_quantity") > 25, F.col("l_shipdate")).alias("claim"))
+    changes = _worked_off(spark, keyed.job_lifecycles(line.select(source, "polled_at"), shown, 4), "update")
+    found = keyed.present(changes).select("source_id", "source_job_id", "content_hash", "version", "refreshes", "misses", "closures", "first_seen_at", "last_seen_at", "closed_at")
+    return _stamps(found, "first_seen_at", "last_seen_at", "closed_at")
+
+
+@query("""WITH e AS (SELECT CAST(user_id AS VARCHAR) AS id, ts, CASE WHEN event_type IN ('signup', 'view') THEN 'enter' WHEN event_type = 'error' THEN 'done' ELSE 'claim' END AS event,
+  CASE event_type WHEN 'signup' THEN 'parsed' WHEN 'view' THEN 'deduped' WHEN 'error' THEN 'ready' END AS state FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ts, event, state NULLS LAST) AS n FROM e),
+c AS (SELECT *, lead(ts) OVER w AS next_ts, count(*) FILTER (WHERE event <> 'claim') OVER w AS stay, date_trunc('millisecond', max(ts) OVER ()) AS clock FROM o WINDOW w AS (PARTITION BY id ORDER BY n)),
+stays AS (SELECT id, stay, ts, event, state, clock, lead(ts) OVER (PARTITION BY id ORDER BY n) AS until FROM c WHERE event <> 'claim'),
+leases AS (SELECT c.id, c.stay, c.ts, c.ts + INTERVAL 2 DAY AS due, c.next_ts, s.state, c.clock FROM c JOIN stays s ON s.id = c.id AND s.stay = c.stay AND s.event = 'enter' WHERE c.event = 'claim'),
+sweeps AS (SELECT id, stay, state, unnest(generate_series(ts + INTERVAL 1 DAY, least(coalesce(until - INTERVAL 1 MICROSECOND, clock), clock), INTERVAL 3 DAY)) AS due_at FROM stays WHERE event = 'enter'),
+due AS (SELECT id, due AS due_at, 'lease_expired' AS what, state FROM leases WHERE due < coalesce(next_ts, clock + INTERVAL 1 MICROSECOND) AND due <= clock
+  UNION ALL SELECT id, due_at, 'swept', state FROM sweeps s WHERE NOT EXISTS (SELECT 1 FROM leases l WHERE l.id = s.id AND l.stay = s.stay AND l.ts <= s.due_at AND l.due > s.due_at))
+SELECT id, what, state, strftime(due_at, '%Y-%m-%d %H:%M:%S.%f') AS due_at FROM due""")
+def queue_deadlines_stream(spark, d):
+    """Expired leases and stranded rows of a stream of queue events, by timers; the clock is the stream's own."""
+    kind = F.col("event_type")
+    event = F.when(kind.isin("signup", "view"), "enter").when(kind == "error", "done").otherwise("claim")
+    state = F.when(kind == "signup", "parsed").when(kind == "view", "deduped").when(kind == "error", "ready")
+    rows = _stream(spark, d, "events").select(F.col("user_id").alias("id"), "ts", event.alias("event"), state.alias("state"))
+    found = _worked_off(spark, keyed.deadlines(rows, 2 * 86400, 86400, 3 * 86400), "append")
+    return found.select("id", "what", "state", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("due_at"))
+
+
+def _stream(spark, d: str, name: str) -> DataFrame:
+    """A table as a stream; a path with a pattern may be a single file."""
+    return spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
+def _worked_off(spark, stream: DataFrame, mode: str) -> DataFrame:
+    at = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    return keyed.run_to_table(stream, f"{at}/out", f"{at}/checkpoint", mode)
+
+
 @query(f"""SELECT s_suppkey AS source_id, CASE WHEN s_suppkey % 3 = 0 THEN 'c' || s_suppkey ELSE 'old' END AS cursor, {_s("CASE WHEN s_suppkey % 3 = 0 THEN " + NOW + " + to_seconds(600 + s_suppkey) ELSE " + NOW + " END").rsplit(" AS ", 1)[0]} AS next_run_at, s_suppkey % 3 <> 0 AS leased FROM supplier""")
 def save_cursors(spark, d):
     sources = table(spark, d, "supplier").select(F.col("s_suppkey").alias("source_id"), (F.col("s_suppkey") + 600).alias("poll_interval_s"))
