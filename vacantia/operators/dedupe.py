@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.functions import policy as P
 from vacantia.functions import text as X
 from vacantia.functions.simhash import simhash
+from vacantia.sources.scratch import cut
 
 #: What a candidate carries into a pair.
 FIELDS = ("company_id", "ats_type", "ats_job_id", "apply_url", "geo_scope", "title", "content_hash", "simhash", "text_len")
@@ -63,25 +61,141 @@ def saturated(members: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
     return members.groupBy("block_key").agg(F.count(F.lit(1)).alias("members")).filter(F.col("members") > most)
 
 
-def leaders(decided: DataFrame) -> DataFrame:
-    """Greedy clusters, oldest first: a surviving member takes in every later survivor that merges with it.
+#: Widths of the ten bands of a signature. Of ten bands one at least is equal at a distance of nine.
+BANDS = (7, 7, 7, 7, 6, 6, 6, 6, 6, 6)
+_MASKS = [((1 << w) - 1) << sum(BANDS[:k]) for k, w in enumerate(BANDS)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-    The edges of one block come to one task in order; merges are not closed transitively.
+
+def block_index(members: DataFrame) -> DataFrame:
+    """A row for each key under which a member can be found the same: board identity, content, address, and bands of its signature.
+
+    ``kind`` numbers the keys from the most telling on, ``m`` is the member. Members with none of them are the same as no other.
     """
+    fields = F.struct("id", *FIELDS)
+    given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    url = X.normalize_url(F.col("apply_url"))
+    text = (F.col("simhash") != 0) & P.title_is_specific(F.col("title"))
+    bands = [F.when(text, F.col("simhash").bitwiseAND(F.lit(_signed(m))).cast("string")) for m in _MASKS]
+    board = F.when(given("ats_type") & given("ats_job_id"), F.concat_ws("\u0000", "ats_type", "ats_job_id"))
+    values = [board, F.when(given("content_hash"), F.col("content_hash").cast("string")), url, *bands]
+    keys = F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in enumerate(values)]), lambda e: e["value"].isNotNull())
+    found = members.filter(F.coalesce("company_id", F.lit("")) != "").select("block_key", "ord", fields.alias("m"), url.alias("url"), F.explode(keys).alias("e"))
+    return found.select("block_key", "ord", "m", "url", "e.kind", "e.value")
+
+
+def _first_kind() -> Column:
+    """The first key that the two sides of a pair share, so that each pair is made once."""
+    a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    same = lambda c: F.coalesce((a(c) == b(c)) & (a(c).cast("string") != ""), F.lit(False))
+    kind = F.when(same("ats_type") & same("ats_job_id"), 0).when(same("content_hash"), 1).when(F.coalesce(F.col("a_url") == F.col("b_url"), F.lit(False)), 2)
+    differ = a("simhash").bitwiseXOR(b("simhash"))
+    for k, m in enumerate(_MASKS):
+        kind = kind.when(differ.bitwiseAND(F.lit(_signed(m))) == 0, 3 + k)
+    return kind
 
-    def run(edges: pd.DataFrame) -> pd.DataFrame:
-        gone: set = set()
-        out = []
-        for e in edges.sort_values(["a_ord", "b_ord"], kind="stable").itertuples():
-            if e.into_id not in gone and e.from_id not in gone:
-                gone.add(e.from_id)
-                out.append((e.block_key, e.from_id, e.into_id, e.reason, e.confidence))
-        return pd.DataFrame(out, columns=["block_key", "from_id", "into_id", "reason", "confidence"])
 
+def _joined(older: DataFrame, newer: DataFrame) -> DataFrame:
+    a = older.select("block_key", "kind", "value", F.col("ord").alias("a_ord"), F.col("m").alias("a"), F.col("url").alias("a_url"))
+    b = newer.select("block_key", "kind", "value", F.col("ord").alias("b_ord"), F.col("m").alias("b"), F.col("url").alias("b_url"))
+    both = a.join(b, ["block_key", "kind", "value"]).filter((F.col("a_ord") < F.col("b_ord")) & (_first_kind() == F.col("kind")))
+    near = (F.col("kind") < 3) | (P.hamming(F.col("a.simhash"), F.col("b.simhash")) <= P.V.MAX_HAMMING)
+    judged = both.filter(near).withColumn("verdict", P.decide(lambda c: F.col(f"a.{c}"), lambda c: F.col(f"b.{c}")))
+    return judged.filter("verdict.same").select("block_key", "a_ord", "a", "b_ord", "b", "verdict")
+
+
+def similar_pairs(members: DataFrame) -> DataFrame:
+    """The pairs of ``pairs`` that are the same, without making the others: members meet only where they share a key."""
+    index = block_index(members)
+    return _joined(index, index)
+
+
+def _alike(members: DataFrame) -> DataFrame:
+    """``members`` with ``like``, equal for members that agree in all that decides and therefore surely merge."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    sure = (text("company_id") != "") & ((text("content_hash") != "") | ((text("ats_type") != "") & (text("ats_job_id") != "")))
+    whole = F.sha2(F.to_json(F.struct(*FIELDS)), 256)
+    return members.withColumn("like", F.when(sure, whole).otherwise(F.concat(F.lit("id "), F.col("id").cast("string"))))
+
+
+def _edges(decided: DataFrame) -> DataFrame:
     auto = decided.filter(P.auto_apply(F.col("verdict")))
-    edges = auto.select("block_key", "a_ord", "b_ord", F.col("b.id").alias("from_id"), F.col("a.id").alias("into_id"), F.col("verdict.reason").alias("reason"), F.col("verdict.confidence").alias("confidence"))
-    kind = dict(edges.dtypes)["from_id"]
-    return edges.groupBy("block_key").applyInPandas(run, f"block_key string, from_id {kind}, into_id {kind}, reason string, confidence float")
+    return auto.select("block_key", "a_ord", "b_ord", F.col("b.id").alias("from_id"), F.col("a.id").alias("into_id"), F.col("verdict.reason").alias("reason"), F.col("verdict.confidence").alias("confidence"))
+
+
+def leaders(decided: DataFrame, survivors: DataFrame | None = None) -> DataFrame:
+    """Greedy clusters, oldest first: a surviving member takes in every later survivor that merges with it.
+
+    In rounds: a member without an earlier undecided neighbour, and with no leader among the earlier
+    ones, leads; the later neighbours of a leader go. Once all are decided, each one that went belongs
+    to its oldest leader. A round is a few joins on members, so a block may be of any size; merges are
+    not closed transitively. Members of ``survivors`` (block_key, ord) lead from the start.
+    """
+    edges = cut(_edges(decided), "edges")
+    lead = None if survivors is None else cut(survivors.select("block_key", "ord").distinct(), "leaders")
+    left = edges.select("block_key", F.col("a_ord").alias("ord")).union(edges.select("block_key", F.col("b_ord").alias("ord"))).distinct()
+    on_a, on_b = [F.col(f"e.{c}") == F.col(f"n.{d}") for c, d in (("block_key", "block_key"), ("a_ord", "ord"))], [F.col(f"e.{c}") == F.col(f"n.{d}") for c, d in (("block_key", "block_key"), ("b_ord", "ord"))]
+    if lead is not None:
+        left = left.join(lead, ["block_key", "ord"], "left_anti")
+    open_edges, left = edges, cut(left, "undecided")
+    while not left.isEmpty():
+        if lead is not None:  # the later neighbours of leaders go
+            gone = open_edges.alias("e").join(lead.alias("n"), on_a, "left_semi").select("block_key", F.col("b_ord").alias("ord")).distinct()
+            left = cut(left.join(gone, ["block_key", "ord"], "left_anti"), "undecided")
+        open_edges = cut(open_edges.alias("e").join(left.alias("n"), on_a, "left_semi").alias("e").join(left.alias("n"), on_b, "left_semi"), "open")
+        waits = open_edges.select("block_key", F.col("b_ord").alias("ord")).distinct()
+        new = cut(left.join(waits, ["block_key", "ord"], "left_anti"), "leaders")
+        left = left.join(new, ["block_key", "ord"], "left_anti")
+        gone = open_edges.alias("e").join(new.alias("n"), on_a, "left_semi").select("block_key", F.col("b_ord").alias("ord")).distinct()
+        left = cut(left.join(gone, ["block_key", "ord"], "left_anti"), "undecided")
+        lead = new if lead is None else lead.unionByName(new)
+    if lead is None:
+        return edges.drop("a_ord", "b_ord")
+    by = edges.alias("e").join(lead.alias("n"), on_a, "left_semi").alias("e").join(lead.alias("n"), on_b, "left_anti")
+    first = by.groupBy("block_key", "from_id").agg(F.min_by(F.struct("into_id", "reason", "confidence"), "a_ord").alias("f"))
+    return first.select("block_key", "from_id", "f.*")
+
+
+def clusters(members: DataFrame) -> DataFrame:
+    """The merges of ``leaders(pairs(members))`` without all pairs of a block.
+
+    Members that agree in all that decides are one node, its oldest, whose copies go wherever it goes:
+    into the node itself if that leads, else into the node's leader. So a group of copies costs a row each.
+    """
+    alike = cut(_alike(members), "members")
+    first = alike.groupBy("block_key", "like").agg(F.min_by("id", "ord").alias("first_id"), F.min("ord").alias("ord"))
+    nodes = cut(alike.join(first.select("block_key", "like", "ord"), ["block_key", "like", "ord"], "left_semi"), "nodes")
+    merged = cut(leaders(similar_pairs(nodes)), "merged")
+    copies = alike.join(first.drop("ord"), ["block_key", "like"]).filter(F.col("id") != F.col("first_id"))
+    of_node = merged.select("block_key", F.col("from_id").alias("first_id"), F.struct("into_id", "reason", "confidence").alias("m"))
+    board = (F.coalesce("ats_type", F.lit("")) != "") & (F.coalesce("ats_job_id", F.lit("")) != "")
+    own = F.struct(F.col("first_id").alias("into_id"), F.when(board, "exact_ats").otherwise("content_hash").alias("reason"), F.when(board, 1.0).otherwise(0.99).cast("float").alias("confidence"))
+    gone = copies.join(of_node, ["block_key", "first_id"], "left").select("block_key", F.col("id").alias("from_id"), F.coalesce("m", own).alias("m"))
+    return merged.unionByName(gone.select("block_key", "from_id", "m.*"))
+
+
+def probe(changed: DataFrame, index: DataFrame) -> dict[str, DataFrame]:
+    """``changed`` members (with ``block_key`` and ``ord``) against a stored ``block_index`` of their blocks alone.
+
+    A changed member is held against the older open members of its block, oldest first: pairs that are
+    the same but not surely enough are queued until the first sure one takes it in. Older members that
+    are merged by the same batch take in none. Without a limit on candidates; the index must hold the
+    changed members too, as they are now. Gives ``merges`` and ``review``.
+    """
+    ids = changed.select(F.col("id").alias("m_id"))
+    new = index.join(ids, F.col("m.id") == F.col("m_id"), "left_semi")
+    blocks = changed.select("block_key").distinct()
+    decided = cut(_joined(index.join(blocks, "block_key", "left_semi"), new), "probed")
+    old = decided.select("block_key", F.col("a_ord").alias("ord"), F.col("a.id").alias("m_id")).join(ids, "m_id", "left_anti")
+    merges = cut(leaders(decided, old), "merges")
+    taken = merges.select("block_key", F.col("from_id").alias("b_id"), F.col("into_id").alias("taken_by"))
+    ahead = decided.select("block_key", "a_ord", F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id")).join(taken, ["block_key", "b_id"]).filter("a_id = taken_by").select("block_key", "b_id", F.col("a_ord").alias("upto"))
+    gone = merges.select(F.col("from_id").alias("a_id"))
+    seen = decided.withColumns({"a_id": F.col("a.id"), "b_id": F.col("b.id")}).join(ahead, ["block_key", "b_id"], "left").filter("upto IS NULL OR a_ord < upto").join(gone, "a_id", "left_anti")
+    return {"merges": merges, "review": review_queue(seen)}
 
 
 def review_queue(decided: DataFrame, queued: DataFrame | None = None) -> DataFrame:
@@ -117,11 +231,30 @@ def undo_merge(opps: DataFrame, sources: DataFrame, log: DataFrame, from_id, now
     return {"opportunity": freed, "opportunity_source": restored, "opportunity_merge": stamped}
 
 
+def survivors(opps: DataFrame) -> DataFrame:
+    """``id``, ``survivor`` (where its merges end; null in a cycle) and ``cycle`` of every merged row, by pointer jumping.
+
+    Each round doubles the steps that a pointer spans, so chains of any length end after a few; what
+    still points on after more rounds than rows could need goes round in a cycle. A pointer to a row
+    that isn't there ends at it.
+    """
+    now = cut(opps.filter("merged_into IS NOT NULL").select("id", F.col("merged_into").alias("at")), "pointers")
+    span, rows = 1, now.count()
+    while span <= rows:
+        ahead = now.select(F.col("id").alias("at"), F.col("at").alias("far"))
+        if now.join(ahead, "at", "left_semi").isEmpty():
+            break
+        now = cut(now.join(ahead, "at", "left").select("id", F.coalesce("far", "at").alias("at")), "pointers")
+        span *= 2
+    merged = opps.filter("merged_into IS NOT NULL").select(F.col("id").alias("at"), F.lit(True).alias("on"))
+    found = now.join(merged, "at", "left")
+    cycle = F.col("on").isNotNull()
+    return found.select("id", F.when(~cycle, F.col("at")).alias("survivor"), cycle.alias("cycle"))
+
+
 def merge_cycles(opps: DataFrame) -> DataFrame:
-    """Pairs that are merged into each other; there should be none."""
-    a = opps.filter("merged_into IS NOT NULL").select("id", "merged_into")
-    b = a.select(F.col("id").alias("b_id"), F.col("merged_into").alias("b_into"))
-    return a.join(b, (a["merged_into"] == b["b_id"]) & (b["b_into"] == a["id"])).select("id", "merged_into")
+    """Rows whose merges go round, in cycles of any length or leading into one; there should be none."""
+    return opps.select("id", "merged_into").join(survivors(opps).filter("cycle").select("id"), "id", "left_semi")
 
 
 def one_row_each(opps: DataFrame, sources: DataFrame) -> DataFrame:

@@ -616,12 +616,12 @@ def dedupe_decide(spark, d):
 
 @query(f"{_PAIRED} SELECT b_id AS left_id, a_id AS right_id, reason, printf('confidence %.2f below auto-merge floor 0.75', 0.90 - distance * 0.05) AS withheld_because FROM dec WHERE reason = 'simhash' AND distance > 3")
 def review_queue(spark, d):
-    return dedupe.review_queue(dedupe.pairs(_members(spark, d))).drop("confidence")
+    return dedupe.review_queue(dedupe.similar_pairs(_members(spark, d))).drop("confidence")
 
 
 @query()
 def leader_clusters(spark, d):
-    return dedupe.leaders(dedupe.pairs(_members(spark, d)))
+    return dedupe.clusters(_members(spark, d))
 
 
 @query(f"""{_PAIRED}, j AS (SELECT reason <> '' AS p, equal AS t FROM dec) SELECT count(*) FILTER (WHERE p AND t) AS tp, count(*) FILTER (WHERE p AND NOT t) AS fp, count(*) FILTER (WHERE NOT p AND t) AS fn,
