@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,21 +146,36 @@ def entry_hash(prev: Column, *parts: Column) -> Column:
     return F.sha2(F.concat(F.unhex(prev), *framed), 256)
 
 
-def link_chain(entries: DataFrame) -> DataFrame:
-    """Hashes of each chain's entries in order. A hash needs the one before it, so one task folds a whole chain; chains run in parallel."""
+def link_chain(entries: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """The new entries with their hashes, each chain in order, going on from its last hash in ``stored``.
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        prev, out = b"", []
-        for r in rows.sort_values("id", kind="stable").itertuples():
-            framed = b"".join(struct.pack(">Q", len(p)) + p for p in (str(x).encode() for x in (r.action, r.subject, r.metadata)))
-            digest = hashlib.sha256(prev + framed).digest()
-            out.append((r.chain_id, r.id, r.action, r.subject, r.metadata, prev.hex(), digest.hex()))
-            prev = digest
-        return pd.DataFrame(out, columns=["chain_id", "id", "action", "subject", "metadata", "prev_hash", "entry_hash"])
+    A hash needs the one before it, so a chain is folded in one task, row after row over its sorted
+    partition; the task holds a hash, however long the chain is. New ids must come after the stored ones.
+    """
+    text = [F.coalesce(c, F.lit("")).alias(c) for c in ("action", "subject", "metadata")]
+    found = entries.select("chain_id", "id", *text).withColumn("start", F.lit(""))
+    if stored is not None:
+        last = stored.groupBy("chain_id").agg(F.max(F.struct("id", "entry_hash")).alias("last"))
+        late = F.col("id") <= F.col("last.id")
+        told = F.when(late, F.raise_error(F.concat(F.lit("audit entry before the end of its chain: "), F.col("id").cast("string")))).otherwise(F.coalesce("last.entry_hash", F.lit("")))
+        found = found.join(last, "chain_id", "left").withColumn("start", told).drop("last")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, prev = None, b""
+        for batch in batches:
+            before, after = [], []
+            for name, start, *parts in zip(*(batch.column(c).to_pylist() for c in ("chain_id", "start", "action", "subject", "metadata")), strict=True):
+                if name != chain or chain is None:
+                    chain, prev = name, bytes.fromhex(start)
+                before.append(prev.hex())
+                prev = hashlib.sha256(prev + b"".join(struct.pack(">Q", len(p)) + p for p in (x.encode() for x in parts))).digest()
+                after.append(prev.hex())
+            kept = [batch.column(c) for c in ("chain_id", "id", "action", "subject", "metadata")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(before, pa.string()), pa.array(after, pa.string())], ["chain_id", "id", "action", "subject", "metadata", "prev_hash", "entry_hash"])
 
     s = dict(entries.dtypes)
-    kept = entries.select("chain_id", "id", "action", "subject", "metadata").na.fill("", ["action", "subject", "metadata"])
-    return kept.groupBy("chain_id").applyInPandas(run, f"chain_id {s['chain_id']}, id {s['id']}, action string, subject string, metadata string, prev_hash string, entry_hash string")
+    ordered = found.repartition("chain_id").sortWithinPartitions("chain_id", "id")
+    return ordered.mapInArrow(run, f"chain_id {s['chain_id']}, id {s['id']}, action string, subject string, metadata string, prev_hash string, entry_hash string")
 
 
 def broken_links(chain: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -11,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.functions.text import tokenize
+from vacantia.sources.scratch import cut
 
 
 def cosine(vector: Column, query: list[float]) -> Column:
@@ -28,44 +28,118 @@ def nearest(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
     return vectors.select("vec_id", near.alias("near")).orderBy(F.desc("near"), "vec_id").limit(k).select("vec_id", F.round("near", 6).alias("similarity"))
 
 
-#: Queries that are compared at a time.
-BLOCK = 256
+#: Queries, and vectors, that meet in one task.
+QUERY_BLOCK, VECTOR_BLOCK = 256, 4096
+#: Rows that centroids are fitted on at most, whatever the table's size, and rounds of the fit.
+SAMPLE, ROUNDS = 20_000, 12
 
 
-def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``query_id``, ``vec_id`` and ``similarity`` of the ``k`` vectors nearest to each row of ``queries``, itself left out; exact, ties by id.
+def _unit(rows: list) -> np.ndarray:
+    """Vectors of length one as rows; zero vectors stay."""
+    v = np.array(rows, float)
+    size = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return np.divide(v, size, out=np.zeros_like(v), where=size > 0)
+
 
-    The stated queries go in blocks of ``BLOCK`` to every partition of the vectors, which keeps the best
-    ``k`` of each, so what is shuffled is ``k`` rows a query and partition.
+def _best_in_lists(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The ``k`` nearest of every query among the vectors of its ``list``s, itself left out.
+
+    Lists are cut into blocks of vectors and blocks of queries, and every two blocks of a list meet in
+    one task, which keeps the best ``k`` of each query; so neither a long list nor one that many queries
+    ask is more than a block to anyone.
     """
-    blocks = queries.select(F.col("vec_id").alias("query_id"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    blocks = blocks.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-queries.count() // BLOCK)))).alias("block")).agg(F.collect_list(F.struct("query_id", "e")).alias("rows"))
-    out = None
-    for row in blocks.select("rows").toLocalIterator():
-        names, table = [r["query_id"] for r in row["rows"]], np.array([r["e"] for r in row["rows"]])
-        part = vectors.select("vec_id", "embedding").mapInPandas(partial(_best, names=names, table=table, k=k), "query_id long, vec_id long, near double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return vectors.limit(0).select(F.lit(0).cast("long").alias("query_id"), "vec_id", F.lit(0.0).alias("similarity"))
+    n = vectors.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / VECTOR_BLOCK).cast("int").alias("n"))
+    m = queries.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("m"))
+    blocks = n.join(m, "list")
+
+    def dealt(rows: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        return rows.join(blocks, "list").withColumn(own, F.pmod(F.xxhash64(key), F.col("n" if own == "vb" else "m")).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col("m" if own == "vb" else "n") - 1))).drop("n", "m")
+
+    def best(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(v) or not len(q):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "near": []}).astype({"query_id": "int64", "vec_id": "int64"})
+        v = v.sort_values("vec_id")
+        ids, near = v["vec_id"].to_numpy(), _unit(q["asked"].tolist()) @ _unit(v["embedding"].tolist()).T
+        near[q["query_id"].to_numpy()[:, None] == ids[None, :]] = -np.inf
+        at = np.argsort(-near, axis=1, kind="stable")[:, :k]
+        out = pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), at.shape[1]), "vec_id": ids[at].ravel(), "near": np.take_along_axis(near, at, 1).ravel()})
+        return out[np.isfinite(out["near"])]
+
+    key = ["list", "vb", "qb"]
+    left = dealt(vectors.select("list", "vec_id", "embedding"), "vec_id", "vb", "qb").groupBy(*key)
+    asked = queries.select("list", "query_id", F.col("embedding").alias("asked"))
+    right = dealt(asked, "query_id", "qb", "vb").select(*key, "query_id", "asked").toDF(*key, "query_id", "asked").groupBy(*key)
+    found = left.cogroup(right).applyInPandas(best, "query_id long, vec_id long, near double")
     w = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    return out.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("query_id", "vec_id", F.round("near", 6).alias("similarity"))
-
-
-def _best(batches: Iterator[pd.DataFrame], names: list, table: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-    """The best ``k`` of a partition for every query of a block."""
-    size = np.sqrt((table * table).sum(axis=1))
-    held = pd.DataFrame({"query_id": [], "vec_id": [], "near": []})
-    for batch in batches:
-        if not len(batch):
-            continue
-        v = np.array(batch["embedding"].tolist(), float)
-        both = np.outer(np.sqrt((v * v).sum(axis=1)), size)
-        near = np.divide(v @ table.T, both, out=np.zeros_like(both), where=both > 0)
-        ids = batch["vec_id"].to_numpy()
-        new = pd.DataFrame({"query_id": np.tile(names, len(ids)), "vec_id": np.repeat(ids, len(names)), "near": near.ravel()})
-        both_ = pd.concat([held, new[new["query_id"] != new["vec_id"]]]).sort_values(["near", "vec_id"], ascending=[False, True])
-        held = both_.groupby("query_id", sort=False).head(k)
-    yield held.astype({"query_id": "int64", "vec_id": "int64", "near": "float64"})
+    return found.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k).select("query_id", "vec_id", F.round("near", 6).alias("similarity"))
+
+
+def _usable(rows: DataFrame, name: str) -> DataFrame:
+    return rows.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias(name), "embedding")
+
+
+def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``query_id``, ``vec_id`` and ``similarity`` of the ``k`` vectors nearest to each row of ``queries``, itself left out; exact, ties by id."""
+    one = F.lit(0).alias("list")
+    return _best_in_lists(_usable(vectors, "vec_id").select("*", one), _usable(queries, "query_id").select("*", one), k)
+
+
+class VectorIndex:
+    """An inverted file: every vector in the list of its nearest centroid; a search reads a few lists.
+
+    Centroids are fitted by spherical k-means on ``SAMPLE`` rows at most, those of smallest hash, so a
+    rebuilt index is the same. There is a bounded number of them, which goes to the tasks as it is.
+    """
+
+    def __init__(self, centroids: np.ndarray, lists: DataFrame):
+        self.centroids, self.lists = centroids, lists
+
+    @classmethod
+    def build(cls, vectors: DataFrame, n_lists: int, sample: int = SAMPLE) -> VectorIndex:
+        rows = _usable(vectors, "vec_id")
+        some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
+        centroids = _centroids(_unit([r["embedding"] for r in some]), n_lists) if some else np.zeros((1, 1))
+        return cls(centroids, cut(_assigned(rows, centroids, 1), "lists"))
+
+    def nearest_to_each(self, queries: DataFrame, k: int, probes: int) -> DataFrame:
+        """As the exact search, among the vectors of each query's ``probes`` nearest lists; with as many as there are lists it is exact."""
+        asked = _assigned(_usable(queries, "query_id"), self.centroids, min(probes, len(self.centroids)))
+        return _best_in_lists(self.lists, cut(asked, "asked"), k)
+
+
+def _centroids(unit: np.ndarray, n: int) -> np.ndarray:
+    """Each new first centroid is the sample farthest from those before; then rounds of means."""
+    chosen, near = [0], unit @ unit[0]
+    while len(chosen) < min(n, len(unit)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, unit @ unit[chosen[-1]])
+    now = unit[chosen]
+    for _ in range(ROUNDS):
+        own = (unit @ now.T).argmax(axis=1)
+        sums = np.zeros_like(now)
+        np.add.at(sums, own, unit)
+        size = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        now = np.where(size > 0, np.divide(sums, size, out=np.zeros_like(sums), where=size > 0), now)
+    return now
+
+
+def _assigned(rows: DataFrame, centroids: np.ndarray, most: int) -> DataFrame:
+    """``rows`` once for each of their ``most`` nearest centroids, with ``list``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                at = np.argsort(-(_unit(batch["embedding"].tolist()) @ centroids.T), axis=1, kind="stable")[:, :most]
+                out = batch.loc[batch.index.repeat(at.shape[1])].assign(list=at.ravel())
+                yield out
+
+    return rows.mapInPandas(run, ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", list int")
+
+
+def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """The share of the exact neighbours that were found."""
+    hit = found.select("query_id", "vec_id", F.lit(1).alias("hit"))
+    return exact.join(hit, ["query_id", "vec_id"], "left").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
 
 
 def keywords(texts: DataFrame, must: list[str], may: list[str] | None = None) -> DataFrame:

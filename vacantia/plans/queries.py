@@ -691,8 +691,12 @@ def login_lockout(spark, d):
     return identity.login_results(users, attempts, now()).select("id", "failed_logins", F.col("locked_until").isNotNull().alias("locked"))
 
 
+def _entries(spark, d):
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("chain_id"), F.col("turn").alias("id"), F.col("role").alias("action"), F.lit("s").alias("subject"), F.coalesce("text", F.lit("")).alias("metadata"))
+
+
 def _audit(spark, d):
-    return identity.link_chain(table(spark, d, "conversations").select(F.col("conv_id").alias("chain_id"), F.col("turn").alias("id"), F.col("role").alias("action"), F.lit("s").alias("subject"), F.coalesce("text", F.lit("")).alias("metadata")))
+    return identity.link_chain(_entries(spark, d))
 
 
 @query("""WITH RECURSIVE e AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k,
@@ -819,6 +823,43 @@ def knn_cosine(spark, d):
     return search.nearest_to_each(vectors, vectors.filter("vec_id % 50 = 0"), 10)
 
 
+def _index(spark, d):
+    vectors = table(spark, d, "embeddings")
+    return search.VectorIndex.build(vectors, 16), vectors.filter("vec_id % 50 = 0")
+
+
+@query()
+def knn_ivf(spark, d):
+    """The same search through an inverted file, thirteen of sixteen lists a query (the vectors hardly cluster); ``ivf_recall`` says what it finds."""
+    index, asked = _index(spark, d)
+    return index.nearest_to_each(asked, 10, 13)
+
+
+@query("SELECT count(*) AS queries, true AS enough, true AS exact_with_all_lists FROM embeddings WHERE vec_id % 50 = 0")
+def ivf_recall(spark, d):
+    """Whether the inverted file finds nine tenths of the ten nearest, and all of them when all lists are read."""
+    index, asked = _index(spark, d)
+    exact = cut(search.nearest_to_each(table(spark, d, "embeddings"), asked, 10), "exact")
+    some = search.recall(index.nearest_to_each(asked, 10, 13), exact).select((F.col("recall") >= 0.9).alias("enough"))
+    every = search.recall(index.nearest_to_each(asked, 10, 16), exact).select((F.col("recall") == 1).alias("exact_with_all_lists"))
+    return exact.select("query_id").distinct().agg(F.count(F.lit(1)).alias("queries")).join(some, F.lit(True)).join(every, F.lit(True))
+
+
+@query("""SELECT conv_id AS chain_id, count(*) AS entries, true AS sound FROM conversations GROUP BY 1""")
+def audit_append(spark, d):
+    """Chains that are appended to in three batches verify as one, and equal those linked at once."""
+    entries = _entries(spark, d)
+    stored = None
+    for turn in range(3):
+        some = entries.filter(F.col("id") == turn if turn < 2 else F.col("id") >= 2)
+        new = cut(identity.link_chain(some, stored), "audit")
+        stored = new if stored is None else stored.unionByName(new)
+    whole = identity.link_chain(entries).select("chain_id", "id", F.col("entry_hash").alias("want"))
+    sound = identity.verify_chain(stored).select("chain_id", (F.col("first_bad") == 0).alias("verified"))
+    same = stored.join(whole, ["chain_id", "id"], "full").groupBy("chain_id").agg(F.count("entry_hash").alias("entries"), F.bool_and(F.col("entry_hash").eqNullSafe(F.col("want"))).alias("same"))
+    return same.join(sound, "chain_id").select("chain_id", "entries", (F.col("same") & F.col("verified")).alias("sound"))
+
+
 @query(f"""WITH t AS (SELECT doc_id, list_distinct({_tokens_sql('text')}) AS t FROM documents) SELECT doc_id, CAST(list_contains(t, 'the')::INT + list_contains(t, 'of')::INT + list_contains(t, 'that')::INT AS INT) AS hits FROM t WHERE list_contains(t, 'the') AND list_contains(t, 'of')""")
 def keyword_search(spark, d):
     return search.keywords(table(spark, d, "documents").select("doc_id", "text"), must=["the", "of"], may=["that"]).select("doc_id", "hits")
