@@ -520,3 +520,32 @@ def test_classifier_scores_every_row(spark):
         want = sorted((repr(r["doc_id"]), wanted(r["text"])) for r in frame.collect())
         got = sorted((repr(r["doc_id"]), r["score"]) for r in quality_classifier.score(frame, model).collect())
         assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], rtol=0, atol=1e-6)
+
+
+def test_long_words_beside_values_are_told_apart(spark):
+    """Words that agree in their last 80 characters are different contexts; short ones work as ever."""
+    long, other = "q" * 40 + "z" * 80, "p" * 40 + "z" * 80
+    rows = [(i, f"note {long} user{i}@host{i}.org w{i}x") for i in range(60)] + [(100, f"note {other} user77@intranet stop"), (101, f"note {long} user78@intranet stop")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "id:" not in got[100] and "id:" in got[101]
+    short = {r["print"]: (r["last"], r["next"]) for r in pii.placed(spark.createDataFrame([("a", "One  TWO\tx7  Next."), ("b", "x7"), ("c", "=" * 90 + " x7 " + "Ab" * 50)], "print string, text string"), "x7").collect()}
+    assert short["a"] == ("one two", " next") and short["b"] == ("", "")
+    assert short["c"][0].isdigit() and short["c"][1][:2] == " w"
+
+
+def test_odd_edits(spark):
+    schema = "doc_id long, text string, edits array<struct<pos: long, n_delete: long, inserted: string>>"
+    rows = [(1, "alpha beta", [None, (None, 1, "x"), (5, None, None), (0, None, "new ")]), (2, "alpha beta", None)]
+    got = {r["doc_id"]: r for r in token_counts.apply_edits(token_counts.build_trees(spark.createDataFrame(rows, schema), WORD_BPE), WORD_BPE).collect()}
+    assert (got[1]["text"], got[1]["n_edits"]) == ("new alpha beta", 2) and (got[2]["text"], got[2]["n_edits"]) == ("alpha beta", 0)
+
+
+def test_dictionaries_come_from_all_blocks_of_the_sample(spark, monkeypatch):
+    """Also where a class has more than two thousand blocks."""
+    seen = []
+    monkeypatch.setattr(quality_classifier, "make_dictionary", lambda blocks: seen.append(len(blocks)) or b"".join(blocks[:50]))
+    rows = [(i, ("good prose " if i % 2 else "BUY NOW $$$ ") * 30_000) for i in range(1, 40)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    quality_classifier.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    made = sum(seen)
+    assert made > 4000

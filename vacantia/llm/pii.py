@@ -79,13 +79,43 @@ def valid(kind: str, match: Column) -> Column:
     return F.when(F.length(digits).between(14, 19), luhn(digits)).otherwise(False)
 
 
+#: Words of more characters are compared by their hash.
+_LONG = 80
+_TAIL = 200
+
+
+def _short(word: Column) -> Column:
+    """A word in lower case, or its hash if it is long, with letters only if the word has some."""
+    low = F.lower(word)
+    digest = F.md5(low)
+    return F.when(F.length(low) <= _LONG, low).when(low.rlike(r"\p{L}"), F.concat(F.lit("w"), digest)).otherwise(F.translate(digest, "abcdef", "012345"))
+
+
+def _words_before(gap: Column) -> Column:
+    """The last two whole words of a text; only a text whose end has no two whole words is searched farther than that."""
+    tail = F.substring(gap, -_TAIL, _TAIL)
+    near = F.when((F.length(gap) <= _TAIL) | ~tail.rlike(r"[\x20\x09-\x0D][^\x20\x09-\x0D]++[\x20\x09-\x0D]++[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+$"), gap).otherwise(tail)
+    start, word, space = r"(?<![^\x20\x09-\x0D])", r"([^\x20\x09-\x0D]++)", r"[\x20\x09-\x0D]"
+    last = F.regexp_extract(near, rf"{start}{word}{space}*+$", 1)
+    second = F.regexp_extract(near, rf"{start}{word}{space}++[^\x20\x09-\x0D]++{space}*+$", 1)
+    return F.concat_ws(" ", F.nullif(_short(second), F.lit("")), F.nullif(_short(last), F.lit("")))
+
+
+def _word_after(gap: Column) -> Column:
+    """The first word of a text that begins with space, without punctuation after it."""
+    head = F.substring(gap, 1, _TAIL)
+    near = F.when((F.length(gap) <= _TAIL) | ~head.rlike(r"^[\x20\x09-\x0D]++[^\x20\x09-\x0D]++[\x20\x09-\x0D]"), gap).otherwise(head)
+    word = F.regexp_extract(near, r"^[\x20\x09-\x0D]++([^\x20\x09-\x0D]++)", 1)
+    return F.concat(F.lit(" "), _short(F.regexp_replace(word, rf"(?<![{_OUTER}])[{_OUTER}]++$", "")))
+
+
 def placed(texts: DataFrame, pattern: str) -> DataFrame:
-    """Matches with their places: ``print``, ``match``, ``last`` and ``next`` (80 characters of the text before and after it, up to other matches), ``start``, ``end``."""
+    """Matches with their places: ``print``, ``match``, ``last`` and ``next`` (the two whole words before and the one after it, up to other matches), ``start``, ``end``."""
     # a text has one gap more than matches, so the last row of a text has no match
     both = F.arrays_zip(F.split("text", pattern, -1).alias("gap"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("match"))
     rows = texts.select("print", F.posexplode(both).alias("k", "m"))
     # from here on only short strings travel
-    rows = rows.select("print", "k", F.length("m.gap").alias("gap"), F.substring("m.gap", 1, 80).alias("first"), F.substring("m.gap", -80, 80).alias("last"), "m.match")
+    rows = rows.select("print", "k", F.length("m.gap").alias("gap"), _word_after(F.col("m.gap")).alias("first"), _words_before(F.col("m.gap")).alias("last"), "m.match")
     w = Window.partitionBy("print").orderBy("k")
     end = F.sum(F.col("gap") + F.length("match")).over(w)
     rows = rows.select("print", "last", "match", F.lead("first").over(w).alias("next"), end.alias("end")).filter("match IS NOT NULL")
@@ -127,7 +157,7 @@ def instances(texts: DataFrame) -> DataFrame:
         return F.array_compact(F.array(first, second, last, around))
 
     # each step is worked out once: Spark would put the expressions of plain columns into one another
-    around = F.struct(F.col("value"), F.lower("last").alias("left"), F.lower("next").alias("right"))
+    around = F.struct("value", F.col("last").alias("left"), F.col("next").alias("right"))
     found = F.transform(F.transform(F.array(around), parts), contexts)
     return rows.select("print", "start", "end", F.md5("value").alias("value"), F.col("value").rlike(SECRET).cast("int").alias("secret"), found[0].alias("contexts"))
 

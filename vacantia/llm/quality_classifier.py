@@ -5,9 +5,9 @@ a text. The normalised difference of the two sizes, ``(bad - good) / (bad + good
 a probability by logistic regression; nothing else enters the score.
 
 The model comes from at most ``SAMPLE`` labelled rows a class, chosen by a hash of the identifier, so
-it is of bounded size on any corpus. Half of them make the dictionaries, from at most ``BLOCKS``
-blocks a class that a hash chooses all over the whole texts; the other half calibrates with the sizes
-of their whole texts, which Spark computes, so three numbers a row reach the driver. Held-out rows
+it is of bounded size on any corpus. Half of them make the dictionaries, from all blocks of their whole
+texts; the other half calibrates with the sizes of their whole texts, which Spark computes, so three
+numbers a row reach the driver. Held-out rows
 (``crc32(doc_id) % 5 = 0``) take no part. Every row is scored on its whole text.
 
 Null and empty texts have the difference 0 and get the calibrated score of that. If a class has no
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from vacantia.llm.common import small_frames
 
 SAMPLE = 1000
-BLOCKS = 2000
 BLOCK = 1200
 DICTIONARY = 110_000
 LEVEL = 3
@@ -138,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
 
     pieces = texts.filter("make").select("quality", "doc_id", "text").mapInPandas(cut, f"quality int, doc_id {docs.schema['doc_id'].dataType.simpleString()}, k int, block binary")
     spread = F.xxhash64("doc_id", "k", F.lit(9))
-    bodies = {q: [bytes(r["block"]) for r in pieces.filter(F.col("quality") == q).orderBy(spread, "doc_id", "k").limit(BLOCKS).collect()] for q in (0, 1)}
+    bodies = {q: [bytes(r["block"]) for r in pieces.filter(F.col("quality") == q).orderBy(spread, "doc_id", "k").collect()] for q in (0, 1)}
     if not bodies[0] or not bodies[1]:
         return model
     made = model | {"good": make_dictionary(bodies[1]), "bad": make_dictionary(bodies[0])}

@@ -111,12 +111,14 @@ def depleted():
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", copies: bool = False) -> DataFrame:
-    """The base counts and verdicts of every row."""
+    """The base counts and verdicts of every row, and what its host's frequent lines take from it: ``n_cut_lines`` different ones with ``n_lost_words`` words."""
     base = materialize(base_counts(docs, id_col, text_col, host_col), "line-counts")
-    gone = line_cuts(base, copies).filter(depleted()).select("host", "print", F.lit(True).alias("depleted"))
-    return base.drop("lines", "line_words").join(gone, ["host", "print"], "left").select(
-        "doc_id", *(c.split()[0] for c in COUNTS.split(", ")), base_failed().alias("base_failed"), (~base_failed() & F.col("depleted").isNull()).alias("kept")
-    )
+    cuts = line_cuts(base, copies).select("host", "print", "lost", F.size("cut").cast("long").alias("n_cut_lines"))
+    found = base.drop("lines", "line_words").join(cuts, ["host", "print"], "left").withColumn("lost", F.coalesce("lost", F.lit(0)).cast("long"))
+    return found.select(
+        "doc_id", *(c.split()[0] for c in COUNTS.split(", ")), base_failed().alias("base_failed"), (~base_failed() & ~depleted()).alias("kept"),
+        F.coalesce("n_cut_lines", F.lit(0)).cast("long").alias("n_cut_lines"), F.col("lost").alias("n_lost_words"),
+    )
 
 
 def without_lines(text: str, cut: set[int]) -> str:
@@ -181,16 +183,16 @@ common AS (
   SELECT host, norm FROM ln JOIN hd USING (host)
   WHERE n_docs > {LEAST_DOCS} AND (100 * n_docs > {MOST_SHARE} * host_docs OR n_docs > {MOST_DOCS} AND least >= {LINE_WORDS})
 ), lost AS (
-  SELECT doc_id, sum(words) AS lost FROM ld JOIN common USING (host, norm) GROUP BY doc_id
+  SELECT doc_id, sum(words) AS lost, count(DISTINCT norm) AS n_cut_lines FROM ld JOIN common USING (host, norm) GROUP BY doc_id
 ), f AS (
   SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
          CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
          CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
-         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(lost, 0) AS lost
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(lost, 0) AS lost, coalesce(n_cut_lines, 0) AS n_cut_lines
   FROM b LEFT JOIN rep USING (doc_id) LEFT JOIN dl USING (doc_id) LEFT JOIN lost USING (doc_id)
 ), v AS (SELECT *, n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND 100 * lost <= {MOST_LOST} * n_words AS kept
+       NOT base_failed AND 100 * lost <= {MOST_LOST} * n_words AS kept, n_cut_lines, CAST(lost AS BIGINT) AS n_lost_words
 FROM v
 """

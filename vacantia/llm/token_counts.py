@@ -115,7 +115,8 @@ def apply_edits(trees: DataFrame, tokenizer: str, text_col: str = "text", edits_
 
     Adds ``n_tokens`` before the edits, ``n_tokens_after``, ``n_edits`` and ``n_reencoded`` segments.
     Without ``with_text`` the text, its tree and the edits go, and the number of segments before the
-    edits is added as ``n_segments``.
+    edits is added as ``n_segments``. A null edit, or one without a place, changes nothing and isn't
+    counted; without a number of characters to delete none goes, and a null insertion is empty.
     """
     segments_col, tree_col = (latest(c, trees.columns) for c in ("segment_chars", "tree"))
     new_names = [fresh(c, trees.columns) for c in ("n_tokens", "n_tokens_after", "n_edits", "n_reencoded", "n_segments")]
@@ -135,8 +136,9 @@ def apply_edits(trees: DataFrame, tokenizer: str, text_col: str = "text", edits_
                 doc = Counted(segments, [int(c) for c in tree], count)
                 before, done = doc.total, 0
                 for e in edits if edits is not None else ():
-                    doc.edit(int(e["pos"]), int(e["n_delete"]), e["inserted"] or "")
-                    done += 1
+                    if e is not None and not pd.isna(e["pos"]):
+                        doc.edit(int(e["pos"]), 0 if pd.isna(e["n_delete"]) else int(e["n_delete"]), e["inserted"] or "")
+                        done += 1
                 out.append(("".join(doc.segments), [len(s) for s in doc.segments], doc.tree, before, doc.total, done, doc.encoded, len(sizes)))
             new = pd.DataFrame(out, columns=[text_col, segments_col, tree_col, *new_names], index=batch.index)
             yield batch.assign(**{c: new[c] for c in new})[names]
