@@ -106,17 +106,23 @@ def parse_time(c: Column) -> Column:
 def strip_tags(c: Column) -> Column:
     """Every closing bracket of a tag, nested ones too, becomes a space; an unclosed tag swallows the rest; a stray ``>`` goes without a space.
 
-    Only texts with brackets inside brackets are walked piece by piece, at any depth.
+    Only texts with brackets inside brackets are walked piece by piece, at any depth. What the walk gives
+    is gathered in pieces of ``_PIECE`` bytes, so that no step copies all that was there before.
     """
     flat = F.replace(F.regexp_replace(F.regexp_replace(c, "<[^<>]*>", " "), "(?s)<.*$", ""), F.lit(">"), F.lit(""))
 
     def step(s: Column, p: Column) -> Column:
         depth = F.when(p == "<", s["depth"] + 1).when(p == ">", F.greatest(s["depth"] - 1, F.lit(0))).otherwise(s["depth"])
         more = F.when((p == ">") & (s["depth"] > 0), " ").when(~p.isin("<", ">") & (s["depth"] == 0), p).otherwise("")
-        return F.struct(depth.alias("depth"), F.concat(s["out"], more).alias("out"))
+        full = F.octet_length(s["last"]) >= _PIECE
+        return F.struct(depth.alias("depth"), F.when(full, F.array_append(s["out"], s["last"])).otherwise(s["out"]).alias("out"), F.when(full, more).otherwise(F.concat(s["last"], more)).alias("last"))
 
-    walked = F.aggregate(F.regexp_extract_all(c, F.lit("[<>]|[^<>]+"), F.lit(0)), F.struct(F.lit(0).alias("depth"), F.lit("").alias("out")), step, lambda s: s["out"])
-    return F.when(c.rlike("<[^>]*<"), walked).otherwise(flat)
+    start = F.struct(F.lit(0).alias("depth"), F.array().cast("array<string>").alias("out"), F.lit("").alias("last"))
+    pieces = F.regexp_extract_all(c, F.lit("[<>]|[^<>]+"), F.lit(0))
+    return F.when(c.rlike("<[^>]*<"), F.aggregate(pieces, start, step, lambda s: F.array_join(F.array_append(s["out"], s["last"]), ""))).otherwise(flat)
+
+
+_PIECE = 4096
 
 
 def tokenize(c: Column) -> Column:

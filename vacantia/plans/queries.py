@@ -12,10 +12,11 @@ from vacantia.functions import policy as P
 from vacantia.functions import text as X
 from vacantia.functions import vocabulary as V
 from vacantia.functions.simhash import fnv1a64, hamming, simhash
-from vacantia.operators import dedupe, feed, identity, ingest, profiles, queue, search, stats
-from vacantia.plans.mapping import NOW, TODAY, ctes, pick, table, view
+from vacantia.operators import dedupe, feed, identity, ingest, profiles, queue, search, stats, textindex
+from vacantia.plans.mapping import NOW, TODAY, VIEWS, ctes, pick, table, view
+from vacantia.sources import boards
 from vacantia.sources.scratch import cut, folder
-from vacantia.streaming import keyed
+from vacantia.streaming import keyed, polls
 
 _queries: dict[str, Callable] = {}
 _oracles: dict[str, str] = {}
@@ -897,3 +898,147 @@ def apply_normalization(spark, d):
     rows = view(spark, d, "opportunity").withColumn("title_normalized", F.lit(None).cast("string"))
     done = rows.filter("pipeline_state = 'parsed'").select("id", (F.col("version") + F.col("id") % 2).alias("version"), F.col("pipeline_state").alias("state"), F.upper("title_raw").alias("title_normalized"))
     return queue.apply_normalization(rows, done, now()).select("id", "pipeline_state", "version", "title_normalized")
+
+
+# ---- full-text search by stems
+
+
+def _among(words: str) -> str:
+    return f"word IN ({', '.join(repr(x) for x in words.split())})"
+
+
+def _stems_sql(words: str) -> str:
+    """Places of each document at which a word of the list stands; the lists are the stems worked out beforehand."""
+    return f"SELECT doc_id, count(*) AS n FROM w WHERE {_among(words)} GROUP BY 1"
+
+
+#: Words of the documents with one stem each, worked out beforehand.
+_ING, _RE, _ENE, _EST = "ere ered eredly eres ering eringly", "reed reeded reededly reedes reeding reedingly reedly reedlyed", "ened enedly enes ening eningly", "estion estioned estioner estiones estioning estionly"
+_WORDS = f"t AS (SELECT doc_id, {_tokens_sql('text')} AS t FROM documents), w AS (SELECT doc_id, unnest(t) AS word, unnest(generate_series(1, len(t))) AS place FROM t)"
+
+
+@query(f"""WITH {_WORDS}, a AS ({_stems_sql(_ING)}), b AS ({_stems_sql(_RE)}), s AS (SELECT count(*) AS n, avg(len(t)) AS l FROM t WHERE len(t) > 0),
+r AS (SELECT doc_id, n AS tf, (SELECT count(*) FROM a) AS df FROM a UNION ALL SELECT doc_id, n, (SELECT count(*) FROM b) FROM b),
+p AS (SELECT doc_id, tf, ln(1 + (s.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(t) / s.l)) AS part FROM r JOIN t USING (doc_id) CROSS JOIN s)
+SELECT doc_id, CAST(sum(tf) AS BIGINT) AS hits, round(sum(part), 6) AS score FROM p WHERE doc_id IN (SELECT doc_id FROM a) GROUP BY 1""")
+def text_search(spark, d):
+    """Documents with a word of the stem of 'ering', ranked by it and by the stem of 'reed', from an index of all documents."""
+    return _texts(spark, d).search(must=["Ering"], may=["reed", "the"]).withColumnRenamed("id", "doc_id")
+
+
+@query(f"""WITH {_WORDS}, a AS (SELECT doc_id, place FROM w WHERE {_among(_ENE)}), b AS (SELECT doc_id, place FROM w WHERE {_among(_EST)})
+SELECT doc_id, CAST(count(*) AS INT) AS n FROM a JOIN b USING (doc_id) WHERE b.place = a.place + 2 GROUP BY 1""")
+def text_phrase(spark, d):
+    """Documents in which a word of the stem of 'estion' stands two words after one of 'ened'."""
+    return _texts(spark, d).phrase(["ened", "the", "estion"]).withColumnRenamed("id", "doc_id")
+
+
+def _texts(spark, d):
+    return textindex.TextIndex.build(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"))
+
+
+# ---- lists, labels, files
+
+
+@query(f"{ctes('opportunity', 'opportunity_source')} SELECT id, company_id, apply_url, ats_job_id FROM opportunity LEFT JOIN (SELECT opportunity_id, apply_url, source_job_id AS ats_job_id FROM opportunity_source QUALIFY row_number() OVER (PARTITION BY opportunity_id ORDER BY created_at, source_job_id) = 1) ON opportunity_id = id WHERE merged_into IS NULL AND closed_at IS NULL")
+def candidate_sources(spark, d):
+    """Open candidates with their oldest provenance row alone."""
+    sources = view(spark, d, "opportunity_source").withColumns({"ats_type": F.lit("board"), "ats_job_id": F.col("source_job_id"), "source_row_id": F.col("source_job_id")})
+    return dedupe.one_row_each(view(spark, d, "opportunity"), sources).select("id", "company_id", "apply_url", "ats_job_id")
+
+
+@query(f"{ctes('opportunity')} SELECT block_key, count(*) AS members FROM opportunity WHERE block_key IS NOT NULL AND closed_at IS NULL GROUP BY 1 HAVING count(*) > 20")
+def saturated_blocks(spark, d):
+    return dedupe.saturated(view(spark, d, "opportunity").filter("block_key IS NOT NULL AND closed_at IS NULL"), 20)
+
+
+@query(f"{ctes('opportunity')} SELECT id, lower(trim(regexp_replace(title_raw, '\\s+', ' ', 'g'))) AS title FROM opportunity")
+def collapse_titles(spark, d):
+    return view(spark, d, "opportunity").select("id", X.collapse_lower(F.col("title_raw")).alias("title"))
+
+
+@query(f"{ctes('opportunity')} SELECT id, ['intern', 'junior', 'mid', 'senior', 'staff', 'principal'][seniority_ordinal] AS label, seniority_ordinal AS back FROM opportunity")
+def seniority_labels(spark, d):
+    label = X.seniority_label(F.col("seniority_ordinal"))
+    return view(spark, d, "opportunity").select("id", label.alias("label"), X.seniority_level(label).alias("back"))
+
+
+@query("SELECT user_id AS source_id, count(*) AS fetched, count(*) FILTER (WHERE event_type = 'error') AS skipped, count(*) FILTER (WHERE event_id % 3 > 0) AS filled_company, (count(*) - count(*) FILTER (WHERE event_type = 'error')) / count(*) AS parse_yield FROM events GROUP BY 1")
+def poll_yield(spark, d):
+    """Parse yield and filled fields of polls whose postings are the events of a user."""
+    filled = F.when(F.col("event_id") % 3 == 0, "").when(F.col("event_id") % 3 == 1, "x").otherwise("y")
+    rows = table(spark, d, "events").select(F.col("user_id").alias("source_id"), F.when(F.col("event_type") == "error", "skipped").otherwise("created").alias("outcome"), filled.alias("company"), *[F.lit("x").alias(c) for c in ("location", "apply_url", "language")])
+    return stats.fold_poll(rows).select("source_id", "fetched", "skipped", "filled_company", "parse_yield")
+
+
+@query(f"""SELECT c_custkey AS source_id, 'c' || c_custkey AS cursor FROM customer WHERE c_custkey % 4 > 0 AND {NOW} + to_hours(c_custkey % 9 - 4) <= {NOW} AND (c_custkey % 3 > 0 OR c_custkey % 2 = 0)
+ORDER BY c_custkey % 9, c_custkey LIMIT 300""")
+def due_sources(spark, d):
+    """The next batch of active sources that are due and not leased."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    lease = F.when((k % 3 == 0) & (k % 2 == 0), F.expr(f"{NOW} - INTERVAL 1 HOUR")).when(k % 3 == 0, F.expr(f"{NOW} + INTERVAL 1 HOUR"))
+    schedules = c.select(k.alias("source_id"), F.concat(F.lit("c"), k).alias("cursor"), (now() + F.make_dt_interval(hours=(k % 9 - 4).cast("int"))).alias("next_run_at"), lease.alias("lease_until"))
+    sources = c.select(k.alias("source_id"), F.when(k % 4 == 0, "paused").otherwise("active").alias("status"))
+    return queue.due_sources(schedules, sources, 300, now())
+
+
+@query("SELECT DISTINCT l_suppkey AS user_id, l_partkey AS skill_id, p_name AS display_name FROM lineitem JOIN part ON p_partkey = l_partkey")
+def skills_of_users(spark, d):
+    claims = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("user_id"), F.col("l_partkey").alias("skill_id")).distinct()
+    return profiles.skills_of(claims, table(spark, d, "part").select(F.col("p_partkey").alias("skill_id"), F.col("p_name").alias("display_name"))).select("user_id", "skill_id", "display_name")
+
+
+@query(f"SELECT o_orderkey AS id, o_custkey AS user_id, {_s('o_orderdate').rsplit(' AS ', 1)[0]} AS uploaded_at FROM orders WHERE o_orderstatus <> 'F'")
+def active_resumes(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("uploaded_at"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("deleted_at"))
+    return _stamps(profiles.active_resumes(rows).select("id", "user_id", "uploaded_at"), "uploaded_at")
+
+
+@query(f"{ctes('poll')}, {_DAILY} SELECT * FROM daily")
+def daily_counters_stream(spark, d):
+    """Daily counters of an event-time stream of polls; a day's counters only grow, so its largest are the newest."""
+    named = {c: F.expr(e) for c, e in VIEWS["poll"][1].items() if c in ("source_id", "polled_at", *stats.COUNTERS)}
+    rows = _stream(spark, d, "events").select(*[e.alias(c) for c, e in named.items()]).withColumn("polled_at", F.col("polled_at").cast("timestamp"))
+    told = _worked_off(spark, polls.daily_counters(rows), "update")
+    return told.groupBy("source_id", "day").agg(*[F.max(c).alias(c) for c in stats.COUNTERS])
+
+
+@query("SELECT DISTINCT CASE WHEN s_suppkey % 4 = 3 THEN 's' || s_suppkey ELSE 'board' || s_suppkey % 3 || ':' || 's' || s_suppkey END AS name, CASE WHEN s_suppkey % 4 = 3 THEN 's' || s_suppkey ELSE 'board' || s_suppkey % 3 END AS family, CASE WHEN s_suppkey % 4 < 3 THEN 's' || s_suppkey END AS config, s_suppkey % 4 < 3 AS valid FROM supplier")
+def source_list_file(spark, d):
+    """A list file written of all suppliers, with comments, blank lines and repetitions, and read."""
+    k, at = F.col("s_suppkey"), f"{folder(spark)}/source-list-{uuid.uuid4().hex}"
+    own = F.concat(F.lit("s"), k)
+    name = F.when(k % 4 == 3, own).otherwise(F.concat(F.lit("board"), k % 3, F.lit(":"), own))
+    lines = F.explode(F.array(F.concat(F.lit("  "), name, F.lit("  # a note")), name, F.lit("# none"), F.lit("")))
+    table(spark, d, "supplier").select(lines.alias("value")).write.text(at)
+    return boards.source_names(spark, at)
+
+
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'e' || event_id END AS etag, CASE event_id % 3 WHEN 0 THEN event_type END AS last_modified, CASE event_id % 3 WHEN 0 THEN '{\"etag\":\"e' || event_id || '\",\"last_modified\":\"' || event_type || '\"}' ELSE '{}' END AS encoded FROM events")
+def cursor_decode(spark, d):
+    """Good, cut off and missing cursors; the last two mean a full fetch."""
+    good = F.format_string('{"etag": "e%d", "last_modified": "%s"}', F.col("event_id"), F.col("event_type"))
+    text = F.when(F.col("event_id") % 3 == 0, good).when(F.col("event_id") % 3 == 1, F.substring(good, 1, 9))
+    found = table(spark, d, "events").select("event_id", boards.decode_cursor(text).alias("c"))
+    return found.select("event_id", "c.etag", "c.last_modified", boards.encode_cursor(F.col("c")).alias("encoded"))
+
+
+@query(f"""{ctes('poll')}, {_DAILY}, r AS ({_REPORT}) SELECT printf('%-32s %-12s %8d %6.1f%%', left(name, 32), CASE WHEN source_id % 2 = 0 THEN 'active' ELSE 'paused' END, CAST(today_postings AS BIGINT), CASE WHEN today_postings = 0 THEN 100.0::DOUBLE ELSE today_usable * 100.0::DOUBLE / today_postings END) AS line FROM r""")
+def health_report_lines(spark, d):
+    """The health report as lines of fixed width."""
+    r = _report(spark, d)
+    shown = r.select("name", F.when(F.col("source_id") % 2 == 0, "active").otherwise("paused").alias("status"), F.col("today_postings").alias("postings"), F.when(F.col("today_postings") == 0, 1.0).otherwise(F.col("today_usable") / F.col("today_postings")).alias("parse_yield"))
+    return boards.report_lines(shown)
+
+
+@query(f"SELECT s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'new' ELSE 'old' END AS type, 'paused' AS status, CASE WHEN s_suppkey % 3 = 0 THEN 'r' || s_suppkey END AS reviewed_by, CASE WHEN s_suppkey % 3 = 0 THEN {_s(NOW).rsplit(' AS ', 1)[0]} END AS terms_reviewed_at FROM supplier UNION ALL SELECT 'new ' || c_name, 'new', 'active', NULL, NULL FROM customer")
+def source_records(spark, d):
+    """Sources are upserted by name, which changes the type of known ones alone, and then reviewed."""
+    k, none = F.col("s_suppkey"), F.lit(None).cast("string")
+    shape = [none.alias("reviewed_by"), none.alias("platform_review_ref"), F.lit(None).cast("timestamp").alias("terms_reviewed_at")]
+    stored = table(spark, d, "supplier").select(k.alias("source_id"), F.col("s_name").alias("name"), F.lit("old").alias("type"), F.lit("paused").alias("status"), *shape)
+    known = stored.filter("source_id % 2 = 0").withColumns({"type": F.lit("new"), "status": F.lit("active")})
+    fresh = table(spark, d, "customer").select((-1 - F.col("c_custkey")).alias("source_id"), F.concat(F.lit("new "), "c_name").alias("name"), F.lit("new").alias("type"), F.lit("active").alias("status"), *shape)
+    rows = ingest.upsert_sources(stored, known.unionByName(fresh))
+    reviews = stored.filter("source_id % 3 = 0").select("source_id", F.concat(F.lit("r"), "source_id").alias("reviewed_by"), F.lit("ref").alias("platform_review_ref"))
+    return _stamps(ingest.review_sources(rows, reviews, now()).select("name", "type", "status", "reviewed_by", "terms_reviewed_at"), "terms_reviewed_at")
