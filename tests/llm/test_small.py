@@ -327,6 +327,21 @@ def test_urls(spark):
     assert got[100]["verdict"] == "block"
     none = spark.createDataFrame([], "page_id long, url string")
     assert url_filter.judge(none, outcomes).count() == 0
+    clashing = outcomes.selectExpr("page_id", "bad", "'x' AS host", "'x' AS key", "'x' AS path")
+    more = pages.selectExpr("page_id", "url", "'x' AS host", "'x' AS bad")
+    assert {tuple(r) for r in url_filter.judge(more, clashing).collect()} == {tuple(r) for r in got.values()}
+    assert {r["verdict"] for r in url_filter.judge(pages, outcomes.limit(0)).collect() if r["rule"] is None} == {"allow"}
+
+
+def test_places_are_found_by_descent():
+    rng = random.Random(5)
+    for n in [1, 2, 3, 5, 8, 13, 64, 100]:
+        segments = ["x" * rng.randrange(1, 9) for _ in range(n)]
+        doc = token_counts.Counted(segments, token_counts.tree_of([1] * n), lambda new: [1] * len(new))
+        ends = [sum(map(len, segments[: i + 1])) for i in range(n)]
+        for pos in range(ends[-1] + 1):
+            want = next(i for i, e in enumerate(ends) if e >= pos)
+            assert doc.find(pos) == (want, ends[want - 1] if want else 0)
 
 
 BASE = [("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")), ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")), ("card", re.compile(r"[0-9]([\x20-]?[0-9])+")), ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"))]

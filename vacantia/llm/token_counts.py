@@ -2,7 +2,8 @@
 
 Each document keeps a segment tree: its text cut into segments of about ``SEGMENT`` characters that
 end with white space, where no token can cross, and the sums of their token counts in a heap-shaped
-array (``tree[1]`` is the total). An edit re-encodes only the segments that it touches, with the one
+array (``tree[1]`` is the total). An edit finds its place by descending a tree of the segments'
+lengths, and re-encodes only the segments that it touches, with the one
 that holds the character before it and the one that holds the character after it; the tree changes
 along the paths of these leaves. Only where an edit changes the number of segments are the sums above
 them formed anew, from the counts at hand.
@@ -43,44 +44,61 @@ def tree_of(counts: list[int]) -> list[int]:
     return tree
 
 
+def places_of(segments: list[str]) -> list[int]:
+    """A tree of the segments' lengths whose leaves lie in order: their number is filled up to a power of two."""
+    width = 1 << max(len(segments) - 1, 0).bit_length()
+    return tree_of([len(s) for s in segments] + [0] * (width - len(segments)))
+
+
 class Counted:
     """One text's segments and tree."""
 
     def __init__(self, segments: list[str], tree: list[int], count):
         self.segments, self.tree, self.count, self.encoded = segments, tree, count, 0
+        self.places = places_of(segments)
 
     @property
     def total(self) -> int:
         return self.tree[1] if len(self.tree) > 1 else 0
 
+    def find(self, pos: int) -> tuple[int, int]:
+        """The first segment that ends at ``pos`` or later, and where it begins; ``pos`` is within the text."""
+        i, begin, width = 1, 0, len(self.places) // 2
+        while i < width:
+            i *= 2
+            if pos - begin > self.places[i]:
+                begin += self.places[i]
+                i += 1
+        return i - width, begin
+
     def edit(self, pos: int, n_delete: int, inserted: str) -> None:
         """Replace ``n_delete`` characters from ``pos`` on."""
-        ends, at = [], 0
-        for s in self.segments:
-            at += len(s)
-            ends.append(at)
-        pos = min(max(pos, 0), at)
-        stop = min(pos + max(n_delete, 0), at)
-        n = len(self.segments)
-        first = next((i for i, e in enumerate(ends) if e >= pos), n)  # holds the character before
-        last = next((i for i, e in enumerate(ends) if e > stop), n - 1)  # holds the character after
-        begin = ends[first - 1] if first else 0
+        n, length = len(self.segments), self.places[1]
+        pos = min(max(pos, 0), length)
+        stop = min(pos + max(n_delete, 0), length)
+        first, begin = self.find(pos) if n else (0, 0)  # holds the character before
+        last = self.find(stop + 1)[0] if stop < length else n - 1  # holds the character after
         old = "".join(self.segments[first : last + 1])
         new = cut(old[: pos - begin] + inserted + old[stop - begin :])
         self.encoded += len(new)
         counts = self.count(new)
         if len(new) == last + 1 - first:
+            for i, (segment, c) in enumerate(zip(new, counts, strict=True), first):
+                _raise(self.tree, n + i, c - self.tree[n + i])
+                _raise(self.places, len(self.places) // 2 + i, len(segment) - len(self.segments[i]))
             self.segments[first : last + 1] = new
-            for i, c in enumerate(counts, first + n):
-                change, k = c - self.tree[i], i
-                while change and k:
-                    self.tree[k] += change
-                    k //= 2
         else:
             leaves = self.tree[n:]
             leaves[first : last + 1] = counts
             self.segments[first : last + 1] = new
-            self.tree = tree_of(leaves)
+            self.tree, self.places = tree_of(leaves), places_of(self.segments)
+
+
+def _raise(tree: list[int], k: int, change: int) -> None:
+    """Add ``change`` to a leaf and to all sums above it."""
+    while change and k:
+        tree[k] += change
+        k //= 2
 
 
 def _counter(tokenizer: str):

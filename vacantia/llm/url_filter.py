@@ -5,9 +5,12 @@ the bad rate of a suffix to that of all pages, of a registered domain to its suf
 to its domain's; the strength of each prior is the moment estimate of how far the rates of that level
 spread. A host is blocked when the lower posterior bound of its bad rate is above ``LIMIT``.
 
-Only DataFrame functions are used. Every level is an aggregate that Spark combines before the shuffle,
-and the three strengths are the only values that reach the driver. A null url, or one with no
-``://``, has empty host and path and no reputation; hosts without labels get their domain's rate.
+Only DataFrame functions are used. The outcomes of each host are counted once, in an aggregate that
+Spark combines before the shuffle, and written; all levels and strengths come from that table, and the
+three strengths are the only values that reach the driver. A null url, or one with no ``://``, has
+empty host and path and no reputation; hosts without labels get their domain's rate. Without labelled
+pages nothing but rules decides, and an empty table gives an empty result. Other columns of pages and
+outcomes, whatever their names, are passed over.
 """
 
 from __future__ import annotations
@@ -15,12 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vacantia.llm.common import materialize
+
 #: Rule and verdict.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 #: Suffixes of two labels.
 TWO_LABELS = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "co.in", "com.br", "com.mx", "co.za", "com.cn", "com.tr")
 LIMIT = 0.35
 Z = 1.645
+SPREAD = 1024
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -73,6 +79,7 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     """``host`` and the lower posterior bound ``bad_bound`` of its bad rate; ``outcomes``: host, bad (0 or 1)."""
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
     hosts = hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad")
+    hosts = materialize(hosts, "host-outcomes")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     mean, of_suffix = strength(suffixes)
@@ -87,12 +94,17 @@ def reputation(outcomes: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES) -> DataFrame:
     """Host, path, rule and verdict of every row of ``pages`` (page_id, url); ``outcomes``: page_id, bad.
 
-    Repeated rows and rows with a null page_id are judged like all others.
+    Repeated rows and rows with a null page_id are judged like all others. Rows without a host can't be
+    blocked by one; they go into the join under as many keys as there are hashes below ``SPREAD``, which
+    no host has, so that they don't meet in one task.
     """
+    outcomes = outcomes.select("page_id", "bad")
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     labelled = parts.select("page_id", "host").join(outcomes, "page_id", "left").select("host", "bad")
-    known = reputation(labelled).filter((F.col("host") != "") & (F.col("bad_bound") > LIMIT)).select("host", F.lit(True).alias("bad_host"))
-    found = parts.join(known, "host", "left").withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
+    known = reputation(labelled).filter((F.col("host") != "") & (F.col("bad_bound") > LIMIT)).select(F.col("host").alias("key"), F.lit(True).alias("bad_host"))
+    none = F.concat(F.lit("/"), F.pmod(F.xxhash64("page_id", "path"), F.lit(SPREAD)).cast("string"))
+    keyed = parts.withColumn("key", F.when(F.col("host") == "", none).otherwise(F.col("host")))
+    found = keyed.join(known, "key", "left").withColumn("rule", rule_of(F.col("host"), F.col("path"), rules))
     by_rule = F.coalesce(*[F.when(F.col("rule") == r, v) for r, v in rules])
     return found.select("page_id", "host", "path", "rule", F.coalesce(by_rule, F.when(F.col("bad_host"), "block"), F.lit("allow")).alias("verdict"))
 
