@@ -159,8 +159,9 @@ def leaders(decided: DataFrame, survivors: DataFrame | None = None) -> DataFrame
     return first.select("block_key", "from_id", "f.*")
 
 
-def clusters(members: DataFrame) -> DataFrame:
-    """The merges of ``leaders(pairs(members))`` without all pairs of a block.
+def sweep(members: DataFrame) -> dict[str, DataFrame]:
+    """All blocks at once: ``merges`` are those of ``leaders(pairs(members))`` without all pairs of a
+    block, ``review`` holds the weak pairs of members that still stand after them.
 
     Members that agree in all that decides are one node, its oldest, whose copies go wherever it goes:
     into the node itself if that leads, else into the node's leader. So a group of copies costs a row each.
@@ -168,13 +169,22 @@ def clusters(members: DataFrame) -> DataFrame:
     alike = cut(_alike(members), "members")
     first = alike.groupBy("block_key", "like").agg(F.min_by("id", "ord").alias("first_id"), F.min("ord").alias("ord"))
     nodes = cut(alike.join(first.select("block_key", "like", "ord"), ["block_key", "like", "ord"], "left_semi"), "nodes")
-    merged = cut(leaders(similar_pairs(nodes)), "merged")
+    decided = cut(similar_pairs(nodes), "decided")
+    merged = cut(leaders(decided), "merged")
     copies = alike.join(first.drop("ord"), ["block_key", "like"]).filter(F.col("id") != F.col("first_id"))
     of_node = merged.select("block_key", F.col("from_id").alias("first_id"), F.struct("into_id", "reason", "confidence").alias("m"))
     board = (F.coalesce("ats_type", F.lit("")) != "") & (F.coalesce("ats_job_id", F.lit("")) != "")
     own = F.struct(F.col("first_id").alias("into_id"), F.when(board, "exact_ats").otherwise("content_hash").alias("reason"), F.when(board, 1.0).otherwise(0.99).cast("float").alias("confidence"))
     gone = copies.join(of_node, ["block_key", "first_id"], "left").select("block_key", F.col("id").alias("from_id"), F.coalesce("m", own).alias("m"))
-    return merged.unionByName(gone.select("block_key", "from_id", "m.*"))
+    weak = review_queue(decided)
+    for side in ("left_id", "right_id"):  # only nodes are in these pairs
+        weak = weak.join(merged.select(F.col("from_id").alias(side)), side, "left_anti")
+    return {"merges": merged.unionByName(gone.select("block_key", "from_id", "m.*")), "review": weak}
+
+
+def clusters(members: DataFrame) -> DataFrame:
+    """The merges of a sweep."""
+    return sweep(members)["merges"]
 
 
 def probe(changed: DataFrame, index: DataFrame) -> dict[str, DataFrame]:
@@ -214,8 +224,10 @@ def apply_merges(opps: DataFrame, sources: DataFrame, merges: DataFrame, now: Co
     found = sources.join(how, "opportunity_id", "left")
     told = {"merge_reason": ("reason", "string"), "merge_confidence": ("confidence", "float")}
     told = {c: F.coalesce(F.col(f"how.{name}").cast(kind), *([F.col(c)] if c in sources.columns else [])) for c, (name, kind) in told.items()}
+    if "merged_by" in sources.columns:
+        told["merged_by"] = F.when(F.col("how").isNotNull(), "dedupe").otherwise(F.col("merged_by"))
     moved = found.withColumns(told | {"opportunity_id": F.coalesce("how.into_id", "opportunity_id")}).drop("how")
-    count = sources.groupBy("opportunity_id").agg(F.count(F.lit(1)).alias("rows_moved"), F.collect_list("source_row_id").alias("moved_rows"))
+    count = sources.join(merges.select(F.col("from_id").alias("opportunity_id")), "opportunity_id", "left_semi").groupBy("opportunity_id").agg(F.count(F.lit(1)).alias("rows_moved"), F.collect_list("source_row_id").alias("moved_rows"))
     log = merges.join(count, merges["from_id"] == count["opportunity_id"], "left").select("from_id", "into_id", "reason", "confidence", F.coalesce("rows_moved", F.lit(0)).alias("rows_moved"), "moved_rows", now.alias("merged_at"), F.lit(None).cast("timestamp").alias("undone_at"))
     return {"opportunity": marked, "opportunity_source": moved, "opportunity_merge": log}
 
@@ -265,6 +277,15 @@ def one_row_each(opps: DataFrame, sources: DataFrame) -> DataFrame:
     return found.select(*opps.columns, "s.apply_url", "s.ats_type", "s.ats_job_id")
 
 
+def stored_candidates(opps: DataFrame, sources: DataFrame) -> DataFrame:
+    """Open candidates of the stored tables, as ``block_members`` takes them, with their oldest provenance row alone."""
+    found = one_row_each(opps, sources).withColumns({
+        "company_id": F.col("company_id").cast("string"), "title": F.col("title_normalized"), "geo_scope": F.col("remote_geo_scope"),
+        "text_len": F.length(F.coalesce("description_text", F.lit(""))),
+    })
+    return found.select("id", "block_key", "first_seen_at", *FIELDS)
+
+
 def candidates_from(documents: DataFrame) -> DataFrame:
     """Candidates of texts: ``id``, ``company_id``, ``title``, ``body``, ``country``, ``first_seen_at``; no board identity."""
     body = F.concat_ws(" ", "title", "body")

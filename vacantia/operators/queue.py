@@ -13,10 +13,10 @@ def _unleased(now: Column) -> Column:
     return F.col("lease_until").isNull() | (F.col("lease_until") < now)
 
 
-def claimable(rows: DataFrame, state: str, batch: int, now: Column) -> DataFrame:
-    """Ids that are due, in order of their next attempt; ties go by id."""
+def claimable(rows: DataFrame, state: str, batch: int | None, now: Column) -> DataFrame:
+    """Ids that are due, in order of their next attempt; ties go by id. Without ``batch`` all of them, in no order."""
     due = rows.filter((F.col("pipeline_state") == state) & F.col("merged_into").isNull() & (F.col("next_attempt_at") <= now) & _unleased(now))
-    return due.orderBy("next_attempt_at", "id").limit(batch).select("id")
+    return due.select("id") if batch is None else due.orderBy("next_attempt_at", "id").limit(batch).select("id")
 
 
 def claim(rows: DataFrame, state: str, batch: int, now: Column, lease_seconds: int) -> DataFrame:

@@ -16,7 +16,8 @@ from vacantia.operators import dedupe, feed, identity, ingest, profiles, queue,
 from vacantia.plans.mapping import NOW, TODAY, VIEWS, ctes, pick, table, view
 from vacantia.sources import boards
 from vacantia.sources.scratch import cut, folder
-from vacantia.streaming import keyed, polls
+from vacantia.sources.store import TableStore
+from vacantia.streaming import keyed, polls, stages
 
 _queries: dict[str, Callable] = {}
 _oracles: dict[str, str] = {}
@@ -620,9 +621,57 @@ def review_queue(spark, d):
     return dedupe.review_queue(dedupe.similar_pairs(_members(spark, d))).drop("confidence")
 
 
-@query()
+#: The walk along each block, oldest first: a member leads unless an earlier leader takes it in. ``edge`` holds the sure pairs, ``mem`` the members.
+_WALKED = """nb AS (SELECT mem.block_key, mem.ord, list(e.a_ord) FILTER (WHERE e.a_ord IS NOT NULL) AS earlier FROM mem LEFT JOIN edge e ON e.b_id = mem.id GROUP BY 1, 2),
+walk AS (SELECT block_key, 0::BIGINT AS ord, []::BIGINT[] AS lead FROM mem WHERE ord = 1
+  UNION ALL SELECT nb.block_key, nb.ord, CASE WHEN list_has_any(walk.lead, coalesce(nb.earlier, [])) THEN walk.lead ELSE list_append(walk.lead, nb.ord) END FROM walk JOIN nb ON nb.block_key = walk.block_key AND nb.ord = walk.ord + 1),
+done AS (SELECT block_key, arg_max(lead, ord) AS lead FROM walk GROUP BY 1),
+gone AS (SELECT done.block_key, b_id, arg_min(a_id, a_ord) AS a_id, arg_min(reason, a_ord) AS reason, arg_min(confidence, a_ord) AS confidence FROM edge JOIN done USING (block_key)
+  WHERE list_contains(lead, a_ord) AND NOT list_contains(lead, b_ord) GROUP BY 1, 2)"""
+_SURE = """mem AS (SELECT id, block_key, row_number() OVER (PARTITION BY block_key ORDER BY first_seen_at, id) AS ord FROM c),
+edge AS (SELECT a.block_key, a_id, b_id, a.ord AS a_ord, b.ord AS b_ord, reason, CASE reason WHEN 'content_hash' THEN 0.99 ELSE 0.90 - distance * 0.05 END AS confidence FROM dec JOIN mem a ON a.id = a_id JOIN mem b ON b.id = b_id WHERE reason = 'content_hash' OR (reason = 'simhash' AND distance <= 3))"""
+
+
+def _walked(paired: str) -> str:
+    return f"WITH RECURSIVE {paired.removeprefix('WITH ')}, {_SURE}, {_WALKED}"
+
+
+@query(f"{_walked(_PAIRED)} SELECT block_key, b_id AS from_id, a_id AS into_id, reason, round(confidence, 4)::DOUBLE AS confidence FROM gone")
 def leader_clusters(spark, d):
-    return dedupe.clusters(_members(spark, d))
+    return dedupe.clusters(_members(spark, d)).withColumn("confidence", F.round(F.col("confidence").cast("double"), 4))
+
+
+_LIVES = "CASE lang WHEN 'de' THEN 'Berlin, Germany' WHEN 'fr' THEN 'Paris, France' ELSE 'Remote, Canada' END"
+_IN = "CASE country WHEN 'de' THEN 'DE' WHEN 'fr' THEN 'FR' ELSE 'CA' END"
+_STAGED = _walked(_PAIRED.replace(_BLOCKED, _BLOCKED.replace("FROM posting)", "FROM posting WHERE id % 7 <> 0)").replace("upper(coalesce(country, ''))", _IN)))
+
+
+@query(f"""{_STAGED} SELECT p.id, CASE WHEN p.id % 7 = 0 THEN 'parsed' WHEN g.b_id IS NULL THEN 'deduped' ELSE 'normalized' END AS pipeline_state, CASE WHEN p.id % 7 = 0 THEN 1 ELSE 3 END AS version, g.a_id AS merged_into, g.reason AS merge_reason,
+  CASE WHEN g.b_id IS NOT NULL THEN 0 ELSE 1 + p.id % 2 + coalesce(t.n, 0) END AS n_sources, k.block_key
+FROM posting p LEFT JOIN k ON k.id = p.id LEFT JOIN gone g ON g.b_id = p.id LEFT JOIN (SELECT a_id, sum(1 + b_id % 2) AS n FROM gone GROUP BY 1) t ON t.a_id = p.id""")
+def stored_stages(spark, d):
+    """Stored postings through normalisation, block by block search and sweep; one of seven isn't due yet."""
+    store = TableStore(spark, f"{folder(spark)}/stages-{uuid.uuid4().hex}")
+    store.commit(_stage_tables(spark, d))
+    for step in (stages.normalize_due, stages.dedupe_due, stages.sweep_blocks):
+        step(store, now())
+    count = store.read("opportunity_source").groupBy(F.col("opportunity_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    why = store.read("opportunity_merge").select(F.col("from_id").alias("id"), F.col("reason").alias("merge_reason"))
+    found = store.read("opportunity").join(count, "id", "left").join(why, "id", "left")
+    return found.select("id", "pipeline_state", "version", "merged_into", "merge_reason", F.coalesce("n", F.lit(0)).alias("n_sources"), "block_key")
+
+
+def _stage_tables(spark, d) -> dict[str, DataFrame]:
+    """The documents as parsed postings, those of odd number seen through two sources."""
+    none = {"remote_geo_scope": "string", "location_country": "string", "location_city": "string", "work_mode": "string", "role_family": "string", "seniority_ordinal": "int", "is_management": "boolean", "title_normalized": "string",
+            "simhash": "long", "block_key": "string", "normalization_version": "int", "closed_at": "timestamp", "merged_into": "long", "lease_until": "timestamp", "last_error": "string"}
+    posting = view(spark, d, "posting").withColumns({c: F.lit(None).cast(t) for c, t in none.items()} | {
+        "title_raw": F.col("title"), "description_text": F.col("body"), "location_region": F.expr(_LIVES.replace("lang", "country")), "pipeline_state": F.lit("parsed"), "state_entered_at": now(),
+        "next_attempt_at": F.when(F.col("id") % 7 == 0, F.expr(f"{NOW} + INTERVAL 1 DAY")).otherwise(now()), "attempts": F.lit(0), "version": F.lit(1),
+    }).drop("title", "body", "country")
+    seen = posting.select(F.col("id").alias("opportunity_id"), F.explode(F.expr("sequence(0, CAST(id % 2 AS INT))")).alias("k"))
+    seen = seen.select("opportunity_id", F.concat_ws("-", "opportunity_id", "k").alias("source_row_id"), F.lit(None).cast("string").alias("apply_url"), F.lit(None).cast("string").alias("ats_type"), F.lit(None).cast("string").alias("ats_job_id"), now().alias("created_at"))
+    return {"opportunity": posting, "opportunity_source": seen}
 
 
 @query(f"""{_PAIRED}, j AS (SELECT reason <> '' AS p, equal AS t FROM dec) SELECT count(*) FILTER (WHERE p AND t) AS tp, count(*) FILTER (WHERE p AND NOT t) AS fp, count(*) FILTER (WHERE NOT p AND t) AS fn,
