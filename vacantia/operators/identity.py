@@ -35,6 +35,46 @@ def logout(sessions: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
     return found.withColumn("revoked_at", F.coalesce("revoked_at", F.when(F.col("hit"), now))).select(*sessions.columns)
 
 
+def touch_sessions(sessions: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
+    """Sessions after requests: ``seen`` has the id of each request's session, as ``authenticate`` gives it."""
+    hit = seen.select(F.col("session_id").alias("id"), F.lit(True).alias("hit")).distinct()
+    found = sessions.join(hit, "id", "left")
+    return found.withColumn("last_seen_at", F.when(F.col("hit"), now).otherwise(F.col("last_seen_at"))).select(*sessions.columns)
+
+
+def revoke_all_sessions(sessions: DataFrame, users: DataFrame, now: Column) -> DataFrame:
+    """Every session of ``users`` (user_id) ends; those that had ended keep their time."""
+    hit = users.select("user_id", F.lit(True).alias("hit")).distinct()
+    found = sessions.join(hit, "user_id", "left")
+    return found.withColumn("revoked_at", F.coalesce("revoked_at", F.when(F.col("hit"), now))).select(*sessions.columns)
+
+
+def register(users: DataFrame, tenants: DataFrame, asked: DataFrame, now: Column) -> dict[str, DataFrame]:
+    """Accounts for ``asked`` (email, password_hash), each with a tenant of its own.
+
+    Addresses are trimmed and compared without case. A known address is refused; of several requests
+    for a new one the first by address and hash is taken, the others are refused. Null and blank
+    addresses are refused. Identifiers follow from address and time, so a retried batch makes the same ones.
+    """
+    trimmed = asked.select(F.trim(F.coalesce("email", F.lit(""))).alias("email"), "password_hash")
+    key = F.lower("email")
+    counted = trimmed.groupBy(key.alias("key")).agg(F.min(F.struct("email", "password_hash")).alias("first"), F.count(F.lit(1)).alias("n"))
+    known = users.select(F.lower("email").alias("key"), F.lit(True).alias("known")).distinct()
+    judged = counted.join(known, "key", "left").withColumn("taken", F.coalesce("known", F.col("key") == ""))
+    ids = {f"{kind}_id": F.sha2(F.concat_ws("\u0000", F.lit(kind), "key", F.unix_micros(now).cast("string")), 256) for kind in ("user", "tenant")}
+    new = judged.filter(~F.col("taken")).withColumns(ids).select(F.col("user_id").alias("id"), "tenant_id", "first.*")
+    made = new.select("id", "tenant_id", "email", "password_hash", F.lit(0).alias("failed_logins"), now.alias("created_at"))
+    owned = new.select(F.col("tenant_id").alias("id"), F.col("id").alias("owner_id"), F.lit("individual").alias("kind"), F.col("email").alias("display_name"))
+    refused = judged.select(F.col("first.email").alias("email"), (F.col("n") - (~F.col("taken")).cast("long")).alias("n")).filter("n > 0")
+    return {"app_user": _append(users, made), "tenant": _append(tenants, owned), "refused": refused}
+
+
+def _append(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """``stored`` and the columns of ``new`` that it has; the others are null in new rows."""
+    kept = new.select(*[F.col(c).cast(stored.schema[c].dataType) for c in new.columns if c in stored.columns])
+    return stored.unionByName(kept, allowMissingColumns=True)
+
+
 def login_results(users: DataFrame, attempts: DataFrame, now: Column) -> DataFrame:
     """Users after a batch of at most one login attempt each (``id``, ``ok``); the tenth failure in a row locks."""
     found = users.join(attempts.select("id", "ok"), "id", "left")

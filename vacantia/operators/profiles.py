@@ -127,6 +127,20 @@ def erasure_steps(tables: dict[str, DataFrame], users: DataFrame, objects: DataF
     return reduce(DataFrame.unionByName, parts)
 
 
+def request_erasures(requests: DataFrame, users: DataFrame, now: Column) -> DataFrame:
+    """``requests`` and an open one for each of ``users`` (user_id) that has no open one; their ids follow from user and time."""
+    still = requests.filter("completed_at IS NULL").select("user_id")
+    new = users.select("user_id").filter("user_id IS NOT NULL").distinct().join(still, "user_id", "left_anti")
+    made = {"request_id": F.sha2(F.concat_ws("\u0000", F.lit("erasure"), F.col("user_id").cast("string"), F.unix_micros(now).cast("string")), 256), "requested_at": now}
+    rows = new.withColumns(made).select(*[c for c in ("request_id", "user_id", "requested_at") if c in requests.columns])
+    return requests.unionByName(rows, allowMissingColumns=True)
+
+
+def record_steps(stored: DataFrame, steps: DataFrame, now: Column) -> DataFrame:
+    """Steps by request and location; a repeated step replaces what the earlier one said."""
+    return upsert(stored, steps.withColumn("completed_at", now), ["request_id", "location"])
+
+
 def complete_requests(requests: DataFrame, steps: DataFrame, now: Column) -> DataFrame:
     """Stamp requests that have no step which is neither done nor not applicable."""
     bad = steps.filter(~F.col("status").isin("done", "not_applicable")).select("request_id").distinct()

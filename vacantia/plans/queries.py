@@ -741,6 +741,55 @@ def login_lockout(spark, d):
     return identity.login_results(users, attempts, now()).select("id", "failed_logins", F.col("locked_until").isNotNull().alias("locked"))
 
 
+@query("""WITH k AS (SELECT c_custkey AS id, lower(c_name) || '@x.example' AS email FROM customer WHERE c_custkey % 3 = 0),
+a AS (SELECT o_orderkey AS o, trim(CASE WHEN o_orderkey % 50 = 0 THEN ' ' WHEN o_orderkey % 2 = 0 THEN ' ' || upper(c_name) || '@X.example' ELSE c_name || '@x.example ' END) AS email FROM orders JOIN customer ON c_custkey = o_custkey),
+j AS (SELECT lower(email) AS key, min(email) AS email, arg_min(o, (email, o)) AS o, count(*) AS n, lower(email) = '' OR lower(email) IN (SELECT email FROM k) AS taken FROM a GROUP BY 1, 5)
+SELECT email, CASE WHEN taken THEN NULL ELSE 'individual' END AS kind, CASE WHEN taken THEN NULL ELSE o END AS first, n - CAST(NOT taken AS BIGINT) AS refused FROM j""")
+def register_accounts(spark, d):
+    """Requests for accounts, many of them for the same address or a known one."""
+    c = table(spark, d, "customer")
+    users = c.filter("c_custkey % 3 = 0").select(F.col("c_custkey").cast("string").alias("id"), F.lit("t").alias("tenant_id"), F.concat(F.lower("c_name"), F.lit("@x.example")).alias("email"), F.lit("").alias("password_hash"))
+    tenants = users.select(F.col("tenant_id").alias("id"), F.lit("organisation").alias("kind"), F.lit("").alias("display_name"), F.col("id").alias("owner_id")).limit(0)
+    mail = F.expr("CASE WHEN o_orderkey % 50 = 0 THEN ' ' WHEN o_orderkey % 2 = 0 THEN concat(' ', upper(c_name), '@X.example') ELSE concat(c_name, '@x.example ') END")
+    asked = table(spark, d, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select(mail.alias("email"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("password_hash"))
+    got = identity.register(users, tenants, asked, now())
+    made = got["app_user"].filter("tenant_id <> 't'").select("email", "id", F.col("password_hash").try_cast("long").alias("first"))
+    made = made.join(got["tenant"].select(F.col("owner_id").alias("id"), "kind"), "id").drop("id")
+    both = made.join(got["refused"].select("email", F.col("n").alias("refused")), "email", "full")
+    return both.select("email", "kind", "first", F.coalesce("refused", F.lit(0)).alias("refused"))
+
+
+@query(f"""WITH {_SESSIONS} SELECT id, CASE WHEN id % 3 = 0 AND revoked_at IS NULL AND expires_at > TIMESTAMP '2024-01-20 00:00:00' THEN '2024-01-20 00:00:00' END AS last_seen_at,
+  strftime(CASE WHEN revoked_at IS NULL AND user_id % 10 = 0 THEN TIMESTAMP '2024-01-20 00:00:00' ELSE revoked_at END, '%Y-%m-%d %H:%M:%S') AS revoked_at FROM s""")
+def session_activity(spark, d):
+    """A third of the sessions' tokens is presented, then every session of a tenth of the users is revoked."""
+    at = F.expr("TIMESTAMP '2024-01-20 00:00:00'")
+    sessions = _sessions(spark, d).withColumn("last_seen_at", F.lit(None).cast("timestamp"))
+    presented = sessions.filter("id % 3 = 0").select(F.col("id").cast("string").alias("token"))
+    touched = identity.touch_sessions(sessions, identity.authenticate(presented, sessions, at), at)
+    ended = identity.revoke_all_sessions(touched, touched.filter("user_id % 10 = 0").select("user_id"), at)
+    return _stamps(ended, "last_seen_at", "revoked_at").select("id", "last_seen_at", "revoked_at")
+
+
+@query("""SELECT o_custkey AS user_id, count(*) FILTER (WHERE o_orderkey % 3 > 0) + CAST(count(*) FILTER (WHERE o_orderkey % 3 = 1) = 0 AS INT) AS requests, count(*) FILTER (WHERE o_orderkey % 3 = 2 AND o_custkey % 4 <> 0) AS completed,
+  CAST(count(*) FILTER (WHERE o_orderkey % 3 = 2) AS INT) AS steps, count(*) FILTER (WHERE o_orderkey % 3 = 2 AND o_custkey % 4 = 0) AS failed FROM orders GROUP BY 1""")
+def erasure_progress(spark, d):
+    """Users that ask for erasure again and again: an open request is enough; of a repeated step the last word counts."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("request_id"), F.col("o_custkey").alias("user_id"), "o_orderkey")
+    at, none = F.expr("TIMESTAMP '2024-01-20 00:00:00'"), F.lit(None).cast("timestamp")
+    old = o.filter("o_orderkey % 3 > 0").select("request_id", "user_id", now().alias("requested_at"), F.when(F.col("o_orderkey") % 3 == 2, now()).alias("completed_at"))
+    step = o.filter("o_orderkey % 3 = 2").select("request_id", F.lit("profile").alias("location"), F.lit("failed").alias("status"), F.lit(1).alias("items"), F.lit(None).cast("string").alias("detail"))
+    again = step.join(o.filter("user_id % 4 <> 0").select("request_id"), "request_id", "left_semi").withColumns({"status": F.lit("done"), "items": F.lit(2)})
+    steps = profiles.record_steps(step.withColumn("completed_at", now()), again, at)
+    requests = profiles.request_erasures(old, o.select("user_id"), at)
+    closed = profiles.complete_requests(requests.join(steps.select("request_id").distinct(), "request_id", "left_semi").withColumn("completed_at", none), steps, at)
+    of_user = closed.select("request_id", "user_id", F.col("completed_at").alias("done_at")).join(steps.select("request_id", "status"), "request_id")
+    told = of_user.groupBy("user_id").agg(F.count("done_at").alias("completed"), F.count(F.lit(1)).cast("int").alias("steps"), F.count_if(F.col("status") == "failed").alias("failed"))
+    count = requests.groupBy("user_id").agg(F.count(F.lit(1)).alias("requests"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return count.join(told, "user_id", "left").select("user_id", "requests", zero("completed"), zero("steps"), zero("failed"))
+
+
 def _entries(spark, d):
     return table(spark, d, "conversations").select(F.col("conv_id").alias("chain_id"), F.col("turn").alias("id"), F.col("role").alias("action"), F.lit("s").alias("subject"), F.coalesce("text", F.lit("")).alias("metadata"))
 
