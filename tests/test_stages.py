@@ -115,3 +115,25 @@ def test_normalisation_is_one_step(spark, tmp_path):
     for stage in (stages.normalize_due, stages.dedupe_due, stages.sweep_blocks):
         stage(store, F.lit(NOW))
     assert store.read("opportunity").count() == 0
+
+
+def test_texts_kept_apart(spark, tmp_path):
+    """Polls, normalisation and search with the texts in a table of their own end as they do with texts in the rows."""
+    from tests.test_polls import OPP, PROV, board, landed
+    from vacantia.streaming.polls import apply_batch
+
+    more = ", is_management boolean, seniority_ordinal int, location_country string, location_city string, remote_geo_scope string, text_len int, block_key string, normalization_version int"
+    empty, ends = spark.createDataFrame([], OPP + more), []
+    jobs = [[(1, "Senior Data Engineer", "a b c"), (2, "Recruiter", "x")], [(1, "Senior Data Engineer", "a b c d"), (2, "Recruiter", "x"), (3, "Senior Data Engineer", "a b c d")]]
+    for apart in (False, True):
+        store = TableStore(spark, str(tmp_path / f"apart-{apart}"))
+        texts = {"opportunity_text": spark.createDataFrame([], "id string, description_text string")} if apart else {}
+        store.commit({"opportunity": empty.drop("description_text") if apart else empty, "opportunity_source": spark.createDataFrame([], PROV), **texts})
+        for k, posted in enumerate(jobs):
+            apply_batch(store, landed(spark, [("a", "ok", board(posted), None, None)]), k, F.lit(NOW + timedelta(hours=k)))
+            stages.normalize_due(store, F.lit(NOW + timedelta(hours=k)))
+        stages.dedupe_due(store, F.lit(NOW + timedelta(hours=2)))
+        rows = store.read("opportunity").join(store.read("opportunity_text"), "id", "left") if apart else store.read("opportunity")
+        ends.append({tuple(r) for r in rows.select(*empty.columns).collect()})
+    assert ends[0] == ends[1] and len(ends[0]) == 3
+    assert {(r[4], r[empty.columns.index("text_len")]) for r in ends[0]} == {("a b c d", 7), ("x", 1)} and sum(r[empty.columns.index("merged_into")] is not None for r in ends[0]) <= 1

@@ -31,6 +31,7 @@ def normalize(opps: DataFrame, version: int = 1) -> DataFrame:
             "location_city": F.col("_l.city"),
             "remote_geo_scope": X.join_scope(F.col("_l.geo_scope")),
             "simhash": simhash(X.tokenize(body)),
+            "text_len": F.length(F.coalesce("description_text", F.lit(""))),
             "block_key": X.block_key(F.col("company_id"), F.col("title_raw"), F.col("_l.country")),
             "normalization_version": F.lit(version),
         })
@@ -278,11 +279,13 @@ def one_row_each(opps: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def stored_candidates(opps: DataFrame, sources: DataFrame) -> DataFrame:
-    """Open candidates of the stored tables, as ``block_members`` takes them, with their oldest provenance row alone."""
-    found = one_row_each(opps, sources).withColumns({
-        "company_id": F.col("company_id").cast("string"), "title": F.col("title_normalized"), "geo_scope": F.col("remote_geo_scope"),
-        "text_len": F.length(F.coalesce("description_text", F.lit(""))),
-    })
+    """Open candidates of the stored tables, as ``block_members`` takes them, with their oldest provenance row alone.
+
+    Rows without texts know their lengths (``text_len``) from normalisation.
+    """
+    found = one_row_each(opps, sources).withColumns({"company_id": F.col("company_id").cast("string"), "title": F.col("title_normalized"), "geo_scope": F.col("remote_geo_scope")})
+    if "description_text" in opps.columns:
+        found = found.withColumn("text_len", F.length(F.coalesce("description_text", F.lit(""))))
     return found.select("id", "block_key", "first_seen_at", *FIELDS)
 
 

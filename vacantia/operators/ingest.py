@@ -145,10 +145,18 @@ def bump_and_close(opps: DataFrame, missing: DataFrame, now: Column, most: int =
     return bumped.withColumns({"closed_at": F.when(close, now).otherwise(F.col("closed_at")), "close_reason": F.when(close, "absent").otherwise(F.col("close_reason"))}).select(*opps.columns)
 
 
-def poll(opps: DataFrame, provenance: DataFrame, postings: DataFrame, polled: DataFrame, now: Column) -> dict[str, DataFrame]:
+def said_texts(texts: DataFrame, classified: DataFrame) -> DataFrame:
+    """``texts`` (id, description_text) of postings after a poll: those of changed rows are replaced, those of new ones added."""
+    changed = sightings(classified).filter("n.changed").select("id", F.col("n.said.description_text").alias("description_text"))
+    new = changed.unionByName(classified.filter("outcome = 'created'").select(new_id().alias("id"), "description_text"))
+    return texts.join(new.select("id"), "id", "left_anti").select("id", "description_text").unionByName(new)
+
+
+def poll(opps: DataFrame, provenance: DataFrame, postings: DataFrame, polled: DataFrame, now: Column, texts: DataFrame | None = None) -> dict[str, DataFrame]:
     """One batch of polls. ``polled``: source_id, status (ok, not_modified or failed).
 
     Only sources that answered with content change liveness: an unmodified or failed poll closes nothing.
+    ``texts`` are given where they are kept apart from ``opps``.
     """
     ok = polled.filter("status = 'ok'").select("source_id").distinct()
     fresh = postings.join(ok, "source_id", "left_semi")
@@ -157,7 +165,8 @@ def poll(opps: DataFrame, provenance: DataFrame, postings: DataFrame, polled: Da
     sources = reconcile_sources(provenance, classified, now)
     # a source that answered with an empty board has shown none of its jobs
     seen = ok.join(classified.select("source_id", "source_job_id"), "source_id", "left")
-    return {"opportunity": bump_and_close(rows, absent(rows, sources, seen), now), "opportunity_source": sources}
+    out = {"opportunity": bump_and_close(rows, absent(rows, sources, seen), now), "opportunity_source": sources}
+    return out if texts is None else out | {"opportunity_text": said_texts(texts, classified)}
 
 
 def counted(postings: DataFrame, polled: DataFrame) -> DataFrame:

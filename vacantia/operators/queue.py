@@ -88,7 +88,7 @@ def requeue(rows: DataFrame, ids: DataFrame, now: Column) -> DataFrame:
 
 
 #: What normalisation derives.
-DERIVED = ("title_normalized", "role_family", "seniority_ordinal", "is_management", "work_mode", "location_country", "location_city", "remote_geo_scope", "simhash", "block_key", "normalization_version")
+DERIVED = ("title_normalized", "role_family", "seniority_ordinal", "is_management", "work_mode", "location_country", "location_city", "remote_geo_scope", "simhash", "text_len", "block_key", "normalization_version")
 
 
 def apply_normalization(rows: DataFrame, done: DataFrame, now: Column) -> DataFrame:

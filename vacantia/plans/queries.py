@@ -662,16 +662,17 @@ def stored_stages(spark, d):
 
 
 def _stage_tables(spark, d) -> dict[str, DataFrame]:
-    """The documents as parsed postings, those of odd number seen through two sources."""
+    """The documents as parsed postings with their texts apart, those of odd number seen through two sources."""
     none = {"remote_geo_scope": "string", "location_country": "string", "location_city": "string", "work_mode": "string", "role_family": "string", "seniority_ordinal": "int", "is_management": "boolean", "title_normalized": "string",
-            "simhash": "long", "block_key": "string", "normalization_version": "int", "closed_at": "timestamp", "merged_into": "long", "lease_until": "timestamp", "last_error": "string"}
+            "simhash": "long", "text_len": "int", "block_key": "string", "normalization_version": "int", "closed_at": "timestamp", "merged_into": "long", "lease_until": "timestamp", "last_error": "string"}
     posting = view(spark, d, "posting").withColumns({c: F.lit(None).cast(t) for c, t in none.items()} | {
-        "title_raw": F.col("title"), "description_text": F.col("body"), "location_region": F.expr(_LIVES.replace("lang", "country")), "pipeline_state": F.lit("parsed"), "state_entered_at": now(),
+        "title_raw": F.col("title"), "location_region": F.expr(_LIVES.replace("lang", "country")), "pipeline_state": F.lit("parsed"), "state_entered_at": now(),
         "next_attempt_at": F.when(F.col("id") % 7 == 0, F.expr(f"{NOW} + INTERVAL 1 DAY")).otherwise(now()), "attempts": F.lit(0), "version": F.lit(1),
     }).drop("title", "body", "country")
     seen = posting.select(F.col("id").alias("opportunity_id"), F.explode(F.expr("sequence(0, CAST(id % 2 AS INT))")).alias("k"))
     seen = seen.select("opportunity_id", F.concat_ws("-", "opportunity_id", "k").alias("source_row_id"), F.lit(None).cast("string").alias("apply_url"), F.lit(None).cast("string").alias("ats_type"), F.lit(None).cast("string").alias("ats_job_id"), now().alias("created_at"))
-    return {"opportunity": posting, "opportunity_source": seen}
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("description_text"))
+    return {"opportunity": posting, "opportunity_source": seen, "opportunity_text": texts}
 
 
 @query(f"""{_PAIRED}, j AS (SELECT reason <> '' AS p, equal AS t FROM dec) SELECT count(*) FILTER (WHERE p AND t) AS tp, count(*) FILTER (WHERE p AND NOT t) AS fp, count(*) FILTER (WHERE NOT p AND t) AS fn,

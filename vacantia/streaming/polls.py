@@ -68,7 +68,8 @@ def apply_batch(store: TableStore, batch: DataFrame, batch_id: int, now: Column,
     decoded = decoded.withColumns({"status": F.when(undecoded, "failed").otherwise(F.col("status")), "error": F.when(undecoded, "parse: not the expected document").otherwise(F.col("error"))})
     base = store.manifest()["version"]
     found, polled = as_opportunities(decoded), decoded.select("source_id", "status", "cursor", "error", "polled_at")
-    tables = ingest.poll(store.read("opportunity"), store.read("opportunity_source"), found, polled, now)
+    texts = store.read("opportunity_text") if "opportunity_text" in store.tables() else None
+    tables = ingest.poll(store.read("opportunity"), store.read("opportunity_source"), found, polled, now, texts)
     store.commit(tables | bookkeeping(store, ingest.counted(found, polled), polled, now), expected=base, batch_id=f"{stream}-{batch_id}")
 
 

@@ -4,6 +4,9 @@ Each stage reads one version of the store and commits the next as a unit, with a
 it: states, merges and the provenance that they move, the merge log, the review queue. A commit that
 another writer overtook fails and may be run again; one that was lost midway has changed nothing, so
 no lease is needed. ``batch`` limits a run to the rows that are due longest; without it all due rows go.
+
+A store may keep the texts apart (``opportunity_text``: id, description_text; the rows then have
+``text_len`` instead), so that only normalisation reads them and no stage writes them again.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ def normalize_due(store: TableStore, now: Column, batch: int | None = None) -> i
     """Parsed rows get their derived columns and become normalised; returns the committed version."""
     base, rows = store.manifest()["version"], store.read("opportunity")
     taken = rows.join(queue.claimable(rows, "parsed", batch, now), "id", "left_semi")
+    if "description_text" not in rows.columns:
+        taken = taken.join(store.read("opportunity_text"), "id", "left")
     done = dedupe.normalize(taken).withColumn("state", F.col("pipeline_state"))
     kinds = {c: F.col(c).cast(rows.schema[c].dataType) for c in queue.DERIVED if c in rows.columns}
     return store.commit({"opportunity": queue.apply_normalization(rows, done.withColumns(kinds), now)}, expected=base)
