@@ -1126,7 +1126,7 @@ def cursor_decode(spark, d):
 def health_report_lines(spark, d):
     """The health report as lines of fixed width."""
     r = _report(spark, d)
-    shown = r.select("name", F.when(F.col("source_id") % 2 == 0, "active").otherwise("paused").alias("status"), F.col("today_postings").alias("postings"), F.when(F.col("today_postings") == 0, 1.0).otherwise(F.col("today_usable") / F.col("today_postings")).alias("parse_yield"))
+    shown = r.select("name", F.when(F.col("source_id") % 2 == 0, "active").otherwise("paused").alias("status"), F.col("today_postings").alias("postings"), F.when(F.col("today_postings") == 0, 100.0).otherwise(F.col("today_usable") * 100.0 / F.col("today_postings")).alias("share"))
     return boards.report_lines(shown)
 
 

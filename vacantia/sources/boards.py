@@ -135,6 +135,12 @@ def company_domain(domain: Column, source: Column) -> Column:
 
 
 def report_lines(report: DataFrame) -> DataFrame:
-    """A health report as fixed-width text lines."""
-    line = F.format_string("%-32s %-12s %8d %6.1f%%", F.substring("name", 1, 32), F.col("status"), F.col("postings").cast("long"), F.col("parse_yield") * 100)
+    """A health report as fixed-width text lines.
+
+    Shares (``share`` in %, or 100 times ``parse_yield``) are rounded as their exact binary values are, halves to even;
+    a format of one decimal would round the shown digits' halves up.
+    """
+    share = F.col("share") if "share" in report.columns else F.col("parse_yield") * 100
+    rounded = F.call_function("format_number", share, F.lit("0.0"))
+    line = F.format_string("%-32s %-12s %8d %6s%%", F.substring("name", 1, 32), F.col("status"), F.col("postings").cast("long"), rounded)
     return report.select(line.alias("line"))
