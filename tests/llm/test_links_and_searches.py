@@ -216,3 +216,12 @@ def test_shingle_sets_feed_the_signatures():
     batch = pa.RecordBatch.from_arrays([pa.array(["A b C d", "a B c D"])], ["text"])
     x, y = shingles(batch, 0, minhash.SIZE)
     assert (x == y).all()
+
+
+def test_blocks_of_anchors_and_rows_are_never_broadcast(spark):
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(k, rng.integers(-9, 9, 4).astype(float).tolist(), k % 3) for k in range(400)], "vec_id long, embedding array<double>, label int")
+    v = hard_negatives.usable(rows, "vec_id", "embedding", "label")
+    met = hard_negatives._met(hard_negatives.pack(v.filter("id % 50 = 0"), 2), hard_negatives.pack(v, 5), 2, 5)
+    assert "Broadcast" not in met._jdf.queryExecution().sparkPlan().toString()
+    assert met.count() == 10

@@ -90,10 +90,14 @@ def limits(positive: int) -> tuple[int, int]:
 
 
 def _met(anchors: DataFrame, rows: DataFrame, n_anchors: int, n_rows: int) -> DataFrame:
-    """Each block of anchors with each block of rows, one row each, dealt by both."""
+    """Each block of anchors with each block of rows, one row each, dealt by both.
+
+    Both sides hold every block many times, which Spark's estimates don't see: as a broadcast either
+    would grow with the square of the rows on the driver, so they are shuffled.
+    """
     far = rows.select(*[F.col(c).alias(f"r_{c}") for c in rows.columns], F.explode(F.sequence(F.lit(0), F.lit(n_anchors - 1))).alias("block"))
     near = anchors.withColumn("r_block", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))))
-    return far.join(near, ["block", "r_block"])
+    return far.hint("merge").join(near.hint("merge"), ["block", "r_block"])
 
 
 def _opened(row) -> tuple[np.ndarray, ...]:
