@@ -22,7 +22,10 @@ def geo_conflict(a: Column, b: Column) -> Column:
 
 def titles_agree(a: Column, b: Column) -> Column:
     """All tokens of the shorter title are in the longer one; equal lengths compare the first with the second."""
-    x, y = title_tokens(a), title_tokens(b)
+    return _tokens_agree(title_tokens(a), title_tokens(b))
+
+
+def _tokens_agree(x: Column, y: Column) -> Column:
     short = F.when(F.size(y) < F.size(x), y).otherwise(x)
     long = F.when(F.size(y) < F.size(x), x).otherwise(y)
     return (F.size(x) > 0) & (F.size(y) > 0) & (F.size(F.array_except(short, long)) == 0)
@@ -39,23 +42,29 @@ def decide(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
     apply address, near-equal text. A missing value never matches.
     """
     distance = hamming(a("simhash"), b("simhash"))
+    return verdict(reason(a, b, distance, lambda side: title_tokens(side("title")), lambda side: normalize_url(side("apply_url"))), distance)
+
+
+def reason(a: Callable[[str], Column], b: Callable[[str], Column], distance: Column, tokens: Callable, url: Callable) -> Column:
+    """The first evidence of ``decide`` that holds, else empty; ``tokens`` and ``url`` give a side's title tokens and comparable address."""
     long = (a("text_len") >= V.MIN_TEXT) & (b("text_len") >= V.MIN_TEXT)
     text = (
-        (a("simhash") != 0) & (b("simhash") != 0) & titles_agree(a("title"), b("title"))
-        & title_is_specific(a("title")) & title_is_specific(b("title"))
-        & ((distance == 0) | ((distance <= V.MAX_HAMMING) & long))
+        ((distance == 0) | ((distance <= V.MAX_HAMMING) & long)) & (a("simhash") != 0) & (b("simhash") != 0)
+        & (F.size(tokens(a)) >= V.MIN_TITLE_TOKENS) & (F.size(tokens(b)) >= V.MIN_TITLE_TOKENS) & _tokens_agree(tokens(a), tokens(b))
     )
-    url = normalize_url(a("apply_url")) == normalize_url(b("apply_url"))
-    reason = (
+    return (
         F.when(~(_given(a("company_id")) & (a("company_id") == b("company_id"))), "")
         .when(a("company_id").isNull() | b("company_id").isNull(), "")
         .when(_given(a("ats_type")) & (a("ats_type") == b("ats_type")) & _given(a("ats_job_id")) & (a("ats_job_id") == b("ats_job_id")), "exact_ats")
         .when(geo_conflict(a("geo_scope"), b("geo_scope")), "")
         .when(_given(a("content_hash")) & (a("content_hash") == b("content_hash")), "content_hash")
-        .when(url, "apply_url")
+        .when(url(a) == url(b), "apply_url")
         .when(text, "simhash")
         .otherwise("")
     )
+
+
+def verdict(reason: Column, distance: Column) -> Column:
     faded = F.lit(0.90).cast("float") - distance.cast("float") * F.lit(0.05).cast("float")
     sure = F.when(reason == "exact_ats", 1.0).when(reason == "content_hash", 0.99).when(reason == "apply_url", 0.97)
     confidence = F.coalesce(sure.cast("float"), F.when(reason == "simhash", faded), F.lit(0.0).cast("float"))
