@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from vacantia.streaming import keyed
@@ -106,3 +107,10 @@ def test_timers_follow_the_clock(spark, tmp_path):
             found = keyed.run_to_table(keyed.deadlines(stream, 300, 1800, 2700), str(tmp_path / name / "out"), str(tmp_path / name / "cp"), "append")
         got = [tuple(r) for r in found.select("id", "at", "what", "state").collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_repeated_polls_become_one_before_they_are_dealt():
+    batch = pa.RecordBatch.from_pydict({"source_id": ["a", "a", "b", None] * 500, "at": [1, 1, 2, 3] * 500})
+    got = [r for b in keyed._told_once(iter([batch, batch])) for r in b.to_pylist()]
+    assert sorted(map(str, got)) == sorted(map(str, [{"source_id": "a", "at": 1}, {"source_id": "b", "at": 2}, {"source_id": None, "at": 3}]))
+    assert list(keyed._told_once(iter([]))) == []

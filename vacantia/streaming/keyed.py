@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -34,7 +35,29 @@ def with_rocksdb(spark: SparkSession) -> SparkSession:
 
 
 def _known(x) -> int | None:
-    return None if pd.isna(x) else int(x)
+    return None if x is None or x is pd.NA or x != x else int(x)
+
+
+def _order(content: str | None, claim: int | None) -> tuple:
+    return content is not None, content or "", claim is not None, claim or 0
+
+
+#: Rows among which repeated polls become one before they are dealt to keys.
+_TOGETHER = 1 << 20
+
+
+def _told_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def distinct(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        return pa.Table.from_batches(held).group_by(held[0].schema.names).aggregate([]).to_batches(max_chunksize=10_000) if held else []
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= _TOGETHER:
+            yield from distinct(held)
+            held, n = [], 0
+    yield from distinct(held)
 
 
 class JobLifecycle(StatefulProcessor):
@@ -50,14 +73,20 @@ class JobLifecycle(StatefulProcessor):
         self.seq = handle.getValueState("seq", "seq long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows))
+        polls: dict[int, dict[str, tuple]] = {}
+        for part in rows:
+            for at, job, content, claim in zip(*(part[c].tolist() for c in ("at", "source_job_id", "content_hash", "claim")), strict=True):
+                shown = polls.setdefault(at, {})
+                if not isinstance(job, str):
+                    continue
+                content, claim = content if isinstance(content, str) else None, _known(claim)
+                old = shown.get(job)
+                if old is None or _order(*old) < _order(content, claim):
+                    shown[job] = (content, claim)
         seq = self.seq.get()[0] if self.seq.exists() else 0
         known = {k[0]: tuple(v) for k, v in self.jobs.iterator()}
         touched: dict[str, tuple] = {}
-        for at, poll in batch.groupby("at", sort=True):
-            at = int(at)
-            found = poll[poll["source_job_id"].notna()].sort_values(["content_hash", "claim"], na_position="first")
-            shown = {r.source_job_id: (r.content_hash, _known(r.claim)) for r in found.itertuples()}
+        for at, shown in sorted(polls.items()):
             for job, (content, claim) in shown.items():
                 old = known.get(job)
                 if old is None:
@@ -77,8 +106,9 @@ class JobLifecycle(StatefulProcessor):
             self.jobs.updateValue((job,), value)
         self.seq.update((seq,))
         if touched:
-            out = pd.DataFrame([(key[0], job, *value, seq) for job, value in touched.items()], columns=[c.split()[0] for c in LIFECYCLE.split(", ")])
-            yield out.astype({c: "Int64" for c in TIMES})
+            columns = zip(*((key[0], job, *value, seq) for job, value in touched.items()), strict=True)
+            names = [c.split()[0] for c in LIFECYCLE.split(", ")]
+            yield pd.DataFrame({c: pd.array(v, "Int64") if c in TIMES else list(v) for c, v in zip(names, columns, strict=True)})
 
     def close(self) -> None:
         pass
@@ -93,7 +123,8 @@ def job_lifecycles(polls: DataFrame, shown: DataFrame, buckets: int = BUCKETS) -
     own = F.pmod(F.xxhash64("source_job_id"), F.lit(buckets)).cast("int")
     at, name = F.unix_micros(F.col("polled_at").cast("timestamp")).alias("at"), F.col("source_id").cast("string").alias("source_id")
     none = [F.lit(None).cast(t).alias(c) for c, t in (("source_job_id", "string"), ("content_hash", "string"), ("claim", "long"))]
-    every = polls.select(name, at, F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), *none)
+    once = polls.select(name, at).mapInArrow(_told_once, "source_id string, at long")
+    every = once.select("source_id", "at", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"), *none)
     rows = every.unionByName(shown.select(name, at, own.alias("bucket"), "source_job_id", "content_hash", F.unix_micros(F.col("claim").cast("timestamp")).alias("claim")))
     with_rocksdb(rows.sparkSession)
     found = rows.groupBy("source_id", "bucket").transformWithStateInPandas(JobLifecycle(), LIFECYCLE, "Update", "None")
