@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -23,24 +24,55 @@ WORD = r"[^\x20\x09-\x0D]+"
 PART_BYTES = 2 << 20
 
 
+#: What a Python worker keeps from one task to the next, by name. It stays while tasks of operators that
+#: use it follow each other; the first task of another one lets it go, as workers live on for them.
+_KEPT: dict[str, dict] = {}
+ENCODERS = "encoders"
+
+
+def kept(name: str) -> dict:
+    """The worker's store of that name; tasks that use it give the name as ``keeps`` when they cut their batches."""
+    return _KEPT.setdefault(name, {})
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system, where the allocators can do that; a worker that waits holds little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def _let_go(keeps: str | None) -> None:
+    gone = [held for name, held in _KEPT.items() if held and name != keeps]
+    for held in gone:
+        held.clear()
+    if gone:
+        _give_back()
+
+
 def _cuts(sizes: np.ndarray) -> list[tuple[int, int]]:
     part = (np.cumsum(sizes) - sizes) // PART_BYTES
     cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(sizes)]
     return [(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
 
 
-def small_frames(batches: Iterable[pd.DataFrame], text_col: str) -> Iterator[pd.DataFrame]:
-    """The same rows in parts of a bounded amount of text, one row at least."""
+def small_frames(batches: Iterable[pd.DataFrame], text_col: str, keeps: str | None = None) -> Iterator[pd.DataFrame]:
+    """The same rows in parts of a bounded amount of text, one row at least. ``keeps``: see ``kept``."""
+    _let_go(keeps)
     for batch in batches:
         for a, b in _cuts(np.array([len(t) if isinstance(t, str) else 0 for t in batch[text_col]], np.int64)):
             yield batch.iloc[a:b].reset_index(drop=True)
+    _give_back()
 
 
-def small_batches(batches: Iterable[pa.RecordBatch], text_at: int) -> Iterator[pa.RecordBatch]:
+def small_batches(batches: Iterable[pa.RecordBatch], text_at: int, keeps: str | None = None) -> Iterator[pa.RecordBatch]:
     """The same for record batches; ``text_at`` is the place of the text column."""
+    _let_go(keeps)
     for batch in batches:
         for a, b in _cuts(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False)):
             yield batch.slice(a, b - a)
+    _give_back()
 
 
 def scratch(spark: SparkSession) -> str:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacantia.llm.common import materialize, small_batches
+from vacantia.llm.common import ENCODERS, materialize, small_batches
 
 CAPACITY = 2048
 SHARD_PIECES = 50_000
@@ -43,7 +43,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, i
 
         words = encoder(tokenizer)
         row = TaskContext.get().partitionId() << 40
-        for batch in small_batches(batches, 1):
+        for batch in small_batches(batches, 1, ENCODERS):
             out = [[], [], [], [], [], []]
             for doc, ids in zip(batch.column(0).to_pylist(), words.encode_all([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 ids = memoryview(ids + END)

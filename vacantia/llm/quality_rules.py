@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacantia.llm.common import fresh, materialize, small_frames, text_or_empty
+from vacantia.llm.common import fresh, materialize, small_batches, small_frames, text_or_empty
 from vacantia.llm.tokens import split_words
 
 LEAST_WORDS = 50
@@ -140,7 +140,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches, at):
             columns, cuts = batch.columns[:-1], batch.column(batch.num_columns - 1)
             if cuts.null_count < len(cuts):
                 texts = [t.as_py() if not c.is_valid else without_lines(t.as_py() or "", set(c.as_py())) for t, c in zip(columns[at], cuts, strict=True)]

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vacantia.llm.common import fresh, latest, small_frames, text_or_empty
+from vacantia.llm.common import ENCODERS, fresh, latest, small_frames, text_or_empty
 
 SEGMENT = 256
 _CUT = re.compile(rf"(?s).{{{SEGMENT}}}[^\x20\x09-\x0D]*[\x20\x09-\x0D]*|.+")
@@ -114,7 +114,7 @@ def build_trees(docs: DataFrame, tokenizer: str, text_col: str = "text") -> Data
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = _counter(tokenizer)
-        for batch in small_frames(batches, text_col):
+        for batch in small_frames(batches, text_col, ENCODERS):
             parts = [cut(t or "") for t in batch[text_col]]
             flat = count([s for p in parts for s in p])
             sizes, trees, at = [], [], 0
@@ -144,7 +144,7 @@ def apply_edits(trees: DataFrame, tokenizer: str, text_col: str = "text", edits_
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = _counter(tokenizer)
-        for batch in small_frames(batches, text_col):
+        for batch in small_frames(batches, text_col, ENCODERS):
             out = []
             for text, sizes, tree, edits in zip(batch[text_col], batch[segments_col], batch[tree_col], batch[edits_col], strict=True):
                 segments, at = [], 0

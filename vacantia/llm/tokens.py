@@ -1,7 +1,8 @@
 """Encoding with a public word-level tokenizer, one whitespace-free word at a time.
 
 The tokenizer drops white space and never joins characters across it, so a text's ids are its words'
-ids one after another. A worker keeps the ids of the words that it has met, up to a fixed number.
+ids one after another. A worker keeps the ids of the words that it has met, up to a fixed number, until
+it gets a task of an operator that doesn't encode.
 
 New Latin words go through ``tiktoken``, which merges several times faster than ``tokenizers``: every
 pre-token gets a marker byte that stands for the vocabulary's word end. All other new words go
@@ -15,6 +16,8 @@ import re
 
 import numpy as np
 
+from vacantia.llm.common import ENCODERS, kept
+
 WORDS_KEPT = 800_000
 #: White space for Python's ``str.split`` that is not white space here.
 _OTHER = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -23,8 +26,6 @@ _SPLIT = re.compile(r"[\x20\x09-\x0D]+")
 _PLAIN = re.compile("[\x21-\x7e\xa1-\u024f]+")
 MARK = "\x00"
 
-_encoders: dict[str, WordEncoder] = {}
-
 
 def split_words(text: str) -> list[str]:
     return [w for w in _SPLIT.split(text) if w] if _OTHER.search(text) else text.split()
@@ -95,7 +96,8 @@ class WordEncoder:
 
 
 def encoder(path: str) -> WordEncoder:
-    """One for each tokenizer file and Python worker."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    """One for each tokenizer file and Python worker; the task must keep ``ENCODERS``."""
+    held = kept(ENCODERS)
+    if path not in held:
+        held[path] = WordEncoder(path)
+    return held[path]
