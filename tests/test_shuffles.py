@@ -20,3 +20,9 @@ def test_refreshes_are_judged_once(spark):
     finally:
         for k in keys:
             spark.conf.unset(k)
+
+
+def test_skills_are_merged_without_aggregates_in_the_joining_task(spark):
+    df = queries()["skill_upsert"](spark, DIR)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "Aggregate" not in plan

@@ -852,6 +852,7 @@ CASE WHEN user_id % 2 = 1 THEN 2 WHEN skill_id % 2 = 0 THEN 1 END AS proficiency
 def skill_upsert(spark, d):
     """Stored: even skills, every third manual. New: users with odd numbers claim by hand with a figure, the others are parsed without one."""
     pairs = table(spark, d, "orders").join(table(spark, d, "lineitem"), F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("skill_id")).distinct()
+    pairs = cut(pairs, "pairs")  # else the task that joins holds the distinct pairs of both sides besides
     manual = F.when(F.col("skill_id") % 3 == 0, "manual").otherwise("parsed")
     stored = pairs.filter("skill_id % 2 = 0").select("*", manual.alias("origin"), F.lit(1).alias("proficiency"), F.lit(1.0).alias("years"))
     odd = F.col("user_id") % 2 == 1
