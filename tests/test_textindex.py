@@ -4,6 +4,7 @@ import math
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,16 @@ def test_tags_in_tags_take_time_in_proportion(spark):
     got = [r["s"] for r in df.collect()]
     assert got == ["   word " * 32_000, "x   "]
     assert time.perf_counter() - began < 8
+
+
+def test_texts_are_split_and_words_stemmed_once(spark, index, monkeypatch):
+    """The number of words comes from the index, and a task stems each different word once, however often it stands there."""
+    assert textindex.WHOLE in {r["term"] for r in index.rows.select("term").distinct().collect()}
+    assert tuple(index.size.first()) == (7, sum(len(plain_tokens(t)) for t in TEXTS.values() if t))
+    asked = []
+    monkeypatch.setattr(textindex, "stem", lambda w: asked.append(w) or stem(w))
+    tokens = pa.array([["the", "engines", "engine", "engines"], ["engines", "of"], ["the"]])
+    got = textindex._posted(pa.array([7, 8, 9]), tokens, False).to_pylist()
+    assert asked == ["engines", "engine"]
+    want = {(7, "engin", (1, 2, 3), 4), (8, "engin", (0,), 2)}
+    assert {(r["id"], r["term"], tuple(r["positions"]), r["n_words"]) for r in got} == want and len(got) == 2
