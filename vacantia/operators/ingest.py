@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vacantia.functions import text as X
@@ -35,14 +35,63 @@ def classify(postings: DataFrame, provenance: DataFrame) -> DataFrame:
     by_board = provenance.filter(named).groupBy(*BOARD).agg(F.min("opportunity_id").alias("board_id"))
     first = found.filter(named & (F.col("outcome") == "created")).groupBy(*BOARD).agg(F.min(F.struct(*key)).alias("first"))
     found = found.join(by_board, list(BOARD), "left").join(first, list(BOARD), "left")
+    return _linked(found, provenance)
+
+
+def _linked(found: DataFrame, provenance: DataFrame) -> DataFrame:
+    """``found`` with created rows turned into linked ones, from ``board_id`` (known by the board's identity) and ``first`` (of the new ones)."""
     created = F.col("outcome") == "created"
-    follows = created & F.col("board_id").isNull() & (F.struct(*key) != F.col("first"))
+    follows = created & F.col("board_id").isNull() & (F.struct("source_id", "source_job_id") != F.col("first"))
     link = F.when(created & F.col("board_id").isNotNull(), F.col("board_id").cast("string")).when(follows, new_id("first.source_id", "first.source_job_id"))
     kind = provenance.schema["opportunity_id"].dataType
     linked = found.withColumn("link", link).withColumns({"outcome": F.when(F.col("link").isNotNull(), "linked").otherwise(F.col("outcome")), "opportunity_id": F.coalesce("opportunity_id", F.col("link").try_cast(kind))})
     return linked.drop("board_id", "first", "link")
 
 
+#: The jobs of a source are dealt to so many parts, so that a large board isn't one task.
+PARTS = 16
+
+
+def match(postings: DataFrame, provenance: DataFrame, ok: DataFrame) -> DataFrame:
+    """Provenance rows beside what a poll said of them, and the jobs that are new to their source.
+
+    ``p`` has the other columns of a provenance row and ``s`` those of a posting; ``stored`` and ``seen`` tell
+    whether they are there. ``nth`` numbers the provenance rows of a job, of which the first one counts, ``new``
+    postings have none, ``polled`` rows are of a source in ``ok``. All rows are dealt once, by source and part,
+    and sources, postings and provenance then meet in their order of ``kind``.
+    """
+    key = ("source_id", "source_job_id")
+    part = F.pmod(F.xxhash64("source_job_id"), F.lit(PARTS)).alias("part")
+    sources = ok.filter("source_id IS NOT NULL").select("source_id", F.explode(F.expr(f"sequence(0L, {PARTS - 1}L)")).alias("part"), F.lit(0).alias("kind"))
+    said, stored = ([c for c in t.columns if c not in key] for t in (postings, provenance))
+    said.sort(key="content_hash".__ne__)
+    # plain columns until they are dealt: structs within rows would be moved with their own offsets
+    rows = sources.unionByName(postings.select(*key, part, F.lit(1).alias("kind"), *[F.col(c).alias(f"s_{c}") for c in said]), allowMissingColumns=True)
+    rows = rows.unionByName(provenance.select(*key, part, F.lit(2).alias("kind"), *[F.col(c).alias(f"p_{c}") for c in stored]), allowMissingColumns=True).repartition("source_id", "part")
+    whole = {"s": F.when(F.col("kind") == 1, F.struct(*[F.col(f"s_{c}").alias(c) for c in said])), "p": F.when(F.col("kind") == 2, F.struct(*[F.col(f"p_{c}").alias(c) for c in stored]))}
+    rows = rows.select(*key, "part", "kind", *[e.alias(k) for k, e in whole.items()])
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("polled", F.min("kind").over(Window.partitionBy("source_id", "part").orderBy("kind").rowsBetween(*so_far)) == 0).filter("kind = 2 OR (kind = 1 AND polled)")
+    unnamed = F.when(F.col("source_job_id").isNull(), F.col("kind"))  # equals no other
+    job = Window.partitionBy("source_id", "part", "source_job_id", unnamed).orderBy("kind", F.desc("s"), "p.opportunity_id", "p.content_hash")
+    met = {"s": F.first("s").over(job.rowsBetween(*so_far)), "nth": F.sum(F.col("kind") - 1).over(job.rowsBetween(*so_far)), "next": F.lead("kind").over(job)}
+    met = rows.withColumns(met).filter("kind = 2 OR next IS NULL")
+    stored, seen = F.col("kind") == 2, F.col("s").isNotNull()
+    return met.select(*key, "p", "s", "nth", "polled", stored.alias("stored"), seen.alias("seen"), (seen & (~stored | ((F.col("nth") == 1) & F.col("p.opportunity_id").isNull()))).alias("new"))
+
+
+def _new_jobs(matched: DataFrame, provenance: DataFrame) -> DataFrame:
+    """Postings that are new to their source, as ``classify`` gives them: created or linked."""
+    new = matched.filter("new").select("source_id", "source_job_id", "s.*", F.lit(None).cast(provenance.schema["opportunity_id"].dataType).alias("opportunity_id"), F.lit("created").alias("outcome"))
+    if not all({*BOARD} <= {*t.columns} for t in (new, provenance)) or matched.filter("new").isEmpty():
+        return new
+    named = F.col("ats_type").isNotNull() & F.col("ats_job_id").isNotNull()
+    by_board = provenance.filter(named).groupBy(*BOARD).agg(F.min("opportunity_id").alias("board_id"))
+    first = F.min(F.struct("source_id", "source_job_id")).over(Window.partitionBy(*BOARD))
+    linked = _linked(new.filter(named).join(by_board, list(BOARD), "left").withColumn("first", first), provenance)
+    return cut(linked.unionByName(new.filter(~named)), "new", "zstd")
+
+
 #: What a posting says, under the names of the stored rows.
 SAID = ("title_raw", "description_text", "work_mode", "location_region", "language", "content_hash")
 
@@ -74,12 +123,17 @@ def reconcile(opps: DataFrame, classified: DataFrame, now: Column, strict_refres
     source shows a change. New rows take their id from source and job, and null in columns that a poll
     doesn't know.
     """
-    old = opps.join(sightings(classified), "id", "left")
-    seen = F.col("n").isNotNull()
+    kept = _touched(opps.join(sightings(classified), "id", "left"), opps, now, strict_refresh)
+    return kept.unionByName(_created(opps, classified, now), allowMissingColumns=True)
+
+
+def _touched(old: DataFrame, opps: DataFrame, now: Column, strict_refresh: bool = False) -> DataFrame:
+    """``opps`` after what ``n`` says of them (see ``sightings``); ``old`` has both, and other columns stay."""
+    seen, sayable = F.col("n").isNotNull(), old.schema["n"].dataType["said"].dataType.names
     changed = F.coalesce(F.col("n.changed"), F.lit(False))
     before = F.col("source_reported_posted_at") if strict_refresh else F.col("source_posted_at_at_last_change")
     refreshes = F.when(seen & ~changed, F.size(F.filter("n.claims", lambda c: c > before))).otherwise(0)
-    said = {c: F.when(changed, F.col(f"n.said.{c}")).otherwise(F.col(c)) for c in SAID if c in classified.columns}
+    said = {c: F.when(changed, F.col(f"n.said.{c}")).otherwise(F.col(c)) for c in SAID if c in sayable}
     new = said | {
         "title_normalized": F.when(changed, X.collapse_lower(F.col("n.said.title_raw"))).otherwise(F.col("title_normalized")),
         "source_reported_posted_at": F.when(changed, F.col("n.said.source_reported_posted_at")).when(seen, F.coalesce("n.claim", "source_reported_posted_at")).otherwise(F.col("source_reported_posted_at")),
@@ -97,15 +151,17 @@ def reconcile(opps: DataFrame, classified: DataFrame, now: Column, strict_refres
         "closed_at": F.when(~seen, F.col("closed_at")),
         "close_reason": F.when(~seen, F.col("close_reason")),
     }
-    kept = old.withColumns({c: e.cast(opps.schema[c].dataType) for c, e in new.items() if c in opps.columns}).select(*opps.columns)
+    return old.withColumns({c: e.cast(opps.schema[c].dataType) for c, e in new.items() if c in opps.columns}).drop("n")
+
+
+def _created(opps: DataFrame, classified: DataFrame, now: Column) -> DataFrame:
     first = {
         "id": new_id(), "title_normalized": X.collapse_lower(F.col("title_raw")), "source_posted_at_at_last_change": F.col("source_reported_posted_at"), "pipeline_state": F.lit("parsed"),
         "apply_method": F.col("ats_type") if "ats_type" in classified.columns else F.lit(None).cast("string"),
         "attempts": F.lit(0), "version": F.lit(1), "repost_count": F.lit(0), "consecutive_misses": F.lit(0),
     } | {c: now for c in ("state_entered_at", "next_attempt_at", "first_seen_at", "last_seen_at", "liveness_checked_at")}
     created = classified.filter("outcome = 'created'").withColumns(first)
-    created = created.select(*[F.col(c).cast(opps.schema[c].dataType) for c in opps.columns if c in created.columns])
-    return kept.unionByName(created, allowMissingColumns=True)
+    return created.select(*[F.col(c).cast(opps.schema[c].dataType) for c in opps.columns if c in created.columns])
 
 
 def new_id(source: str = "source_id", job: str = "source_job_id") -> Column:
@@ -118,12 +174,15 @@ def reconcile_sources(provenance: DataFrame, classified: DataFrame, now: Column)
     hit = F.col("seen").isNotNull()
     old = provenance.join(seen, ["source_id", "source_job_id"], "left")
     old = old.withColumns({"last_seen_at": F.when(hit, now).otherwise(F.col("last_seen_at")), "content_hash": F.when(hit, F.col("seen.content_hash")).otherwise(F.col("content_hash"))}).select(*provenance.columns)
+    return old.unionByName(_new_sources(provenance, classified, now), allowMissingColumns=True)
+
+
+def _new_sources(provenance: DataFrame, classified: DataFrame, now: Column) -> DataFrame:
     linked = F.col("outcome") == "linked"
     new = classified.filter("outcome IN ('created', 'linked')").withColumns(
         {"opportunity_id": F.when(linked, F.col("opportunity_id")).otherwise(new_id()), "last_seen_at": now, "created_at": now, "source_row_id": new_id(), "merge_reason": F.when(linked, "exact_ats"), "merge_confidence": F.when(linked, F.lit(1.0).cast("float")), "merged_by": F.lit("ingest")}
     )
-    new = new.select(*[c for c in new.columns if c in provenance.columns])
-    return old.unionByName(new, allowMissingColumns=True)
+    return new.select(*[c for c in new.columns if c in provenance.columns])
 
 
 def absent(opps: DataFrame, provenance: DataFrame, seen: DataFrame) -> DataFrame:
@@ -138,11 +197,16 @@ def absent(opps: DataFrame, provenance: DataFrame, seen: DataFrame) -> DataFrame
 def bump_and_close(opps: DataFrame, missing: DataFrame, now: Column, most: int = MAX_MISSES) -> DataFrame:
     """Absent rows miss once more; open rows with too many misses close, whatever their source."""
     hit = missing.select("id", F.lit(1).alias("missed"))
-    bumped = opps.join(hit, "id", "left").withColumn("consecutive_misses", F.col("consecutive_misses") + F.coalesce("missed", F.lit(0)))
+    return _bumped(opps.join(hit, "id", "left"), now, most).select(*opps.columns)
+
+
+def _bumped(opps: DataFrame, now: Column, most: int = MAX_MISSES) -> DataFrame:
+    """``opps`` with ``missed`` (1 or null)."""
+    bumped = opps.withColumn("consecutive_misses", F.col("consecutive_misses") + F.coalesce("missed", F.lit(0)))
     if "liveness_checked_at" in opps.columns:
         bumped = bumped.withColumn("liveness_checked_at", F.when(F.col("missed").isNotNull(), now).otherwise(F.col("liveness_checked_at")))
     close = F.col("closed_at").isNull() & (F.col("consecutive_misses") >= most)
-    return bumped.withColumns({"closed_at": F.when(close, now).otherwise(F.col("closed_at")), "close_reason": F.when(close, "absent").otherwise(F.col("close_reason"))}).select(*opps.columns)
+    return bumped.withColumns({"closed_at": F.when(close, now).otherwise(F.col("closed_at")), "close_reason": F.when(close, "absent").otherwise(F.col("close_reason"))})
 
 
 def said_texts(texts: DataFrame, classified: DataFrame) -> DataFrame:
@@ -159,14 +223,48 @@ def poll(opps: DataFrame, provenance: DataFrame, postings: DataFrame, polled: Da
     ``texts`` are given where they are kept apart from ``opps``.
     """
     ok = polled.filter("status = 'ok'").select("source_id").distinct()
-    fresh = postings.join(ok, "source_id", "left_semi")
-    classified = cut(classify(fresh, provenance), "classified")  # parsed and matched once for all that follows
-    rows = reconcile(opps, classified, now)
-    sources = reconcile_sources(provenance, classified, now)
-    # a source that answered with an empty board has shown none of its jobs
-    seen = ok.join(classified.select("source_id", "source_job_id"), "source_id", "left")
-    out = {"opportunity": bump_and_close(rows, absent(rows, sources, seen), now), "opportunity_source": sources}
-    return out if texts is None else out | {"opportunity_text": said_texts(texts, classified)}
+    matched = cut(match(postings, provenance, ok), "matched", "zstd")  # parsed and matched once for all that follows
+    new = _new_jobs(matched, provenance)
+    old = _touched(opps.join(_told(matched, new), "id", "left"), opps, now).withColumn("missed", F.when(F.col("missed") & F.col("closed_at").isNull(), 1))
+    out = {"opportunity": _bumped(old.unionByName(_created(opps, new, now), allowMissingColumns=True), now).select(*opps.columns), "opportunity_source": _sources(matched, new, provenance, now)}
+    if texts is None:
+        return out
+    known = matched.filter("seen AND nth = 1 AND NOT new").select("source_id", "source_job_id", "s.*", "p.opportunity_id", F.when(_same(), "unchanged").otherwise("updated").alias("outcome"))
+    return out | {"opportunity_text": said_texts(texts, known.unionByName(new))}
+
+
+def _same() -> Column:
+    return F.col("p.content_hash").eqNullSafe(F.col("s.content_hash"))
+
+
+def _told(matched: DataFrame, new: DataFrame) -> DataFrame:
+    """``id``, ``n`` as ``sightings`` gives it and ``missed``: a polled source has the posting and showed none of its jobs.
+
+    A posting's rows are dealt once, and only changed ones carry what they say.
+    """
+    said = [c for c in SAID if c in matched.schema["s"].dataType.names]
+    sighted = F.col("seen") & (F.col("nth") == 1)
+    changed = sighted & ~_same()
+    order = F.struct(F.coalesce("s.source_reported_posted_at", F.lit("0001-01-01").cast("timestamp")).alias("at"), F.col("s.content_hash").alias("hash"), "source_id", "source_job_id")
+    rows = matched.filter("stored AND p.opportunity_id IS NOT NULL AND (seen OR polled)").select(
+        F.col("p.opportunity_id").alias("id"), "source_id", "seen", F.when(sighted, changed).alias("changed"),
+        F.when(changed, F.struct(order.alias("order"), *[F.col(f"s.{c}").alias(c) for c in dict.fromkeys([*said, "source_reported_posted_at"])])).alias("said"),
+        F.when(sighted, F.col("s.source_reported_posted_at")).alias("claim"),
+    )
+    linked = new.filter("outcome = 'linked' AND opportunity_id IS NOT NULL").select(F.col("opportunity_id").alias("id"), "source_id", F.lit(True).alias("seen"))
+    each = rows.unionByName(linked, allowMissingColumns=True).repartition("id").groupBy("id", "source_id").agg(
+        F.max("seen").alias("seen"), F.max("changed").alias("changed"), F.max("said").alias("said"), F.collect_list(F.when(~F.col("changed"), F.col("claim"))).alias("claims"), F.max("claim").alias("claim")
+    )
+    one = each.groupBy("id").agg((~F.min("seen")).alias("missed"), F.max("changed").alias("changed"), F.max("said").alias("said"), F.flatten(F.collect_list("claims")).alias("claims"), F.max("claim").alias("claim"))
+    return one.select("id", "missed", F.when(F.col("changed").isNotNull(), F.struct("changed", "said", "claims", "claim")).alias("n"))
+
+
+def _sources(matched: DataFrame, new: DataFrame, provenance: DataFrame, now: Column) -> DataFrame:
+    """Provenance rows after a poll, as ``reconcile_sources`` gives them."""
+    seen = {"last_seen_at": now, "content_hash": F.col("s.content_hash")}
+    kept = {c: F.when(F.col("seen"), seen[c]).otherwise(F.col(f"p.{c}")) if c in seen else F.col(f"p.{c}") for c in provenance.columns if c not in ("source_id", "source_job_id")}
+    old = matched.filter("stored").select(*[kept[c].alias(c) if c in kept else c for c in provenance.columns])
+    return old.unionByName(_new_sources(provenance, new, now), allowMissingColumns=True)
 
 
 def counted(postings: DataFrame, polled: DataFrame) -> DataFrame:

@@ -19,8 +19,8 @@ def folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def cut(df: DataFrame, name: str = "table") -> DataFrame:
+def cut(df: DataFrame, name: str = "table", compression: str | None = None) -> DataFrame:
     """``df`` written and read again: later steps start from its rows, whatever executors are lost, and its plan is short."""
     at = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.parquet(at, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(at)
