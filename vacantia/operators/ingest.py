@@ -69,11 +69,13 @@ def match(postings: DataFrame, provenance: DataFrame, ok: DataFrame) -> DataFram
     rows = sources.unionByName(postings.select(*key, part, F.lit(1).alias("kind"), *[F.col(c).alias(f"s_{c}") for c in said]), allowMissingColumns=True)
     rows = rows.unionByName(provenance.select(*key, part, F.lit(2).alias("kind"), *[F.col(c).alias(f"p_{c}") for c in stored]), allowMissingColumns=True).repartition("source_id", "part")
     whole = {"s": F.when(F.col("kind") == 1, F.struct(*[F.col(f"s_{c}").alias(c) for c in said])), "p": F.when(F.col("kind") == 2, F.struct(*[F.col(f"p_{c}").alias(c) for c in stored]))}
-    rows = rows.select(*key, "part", "kind", *[e.alias(k) for k, e in whole.items()])
-    so_far = (Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("polled", F.min("kind").over(Window.partitionBy("source_id", "part").orderBy("kind").rowsBetween(*so_far)) == 0).filter("kind = 2 OR (kind = 1 AND polled)")
-    unnamed = F.when(F.col("source_job_id").isNull(), F.col("kind"))  # equals no other
-    job = Window.partitionBy("source_id", "part", "source_job_id", unnamed).orderBy("kind", F.desc("s"), "p.opportunity_id", "p.content_hash")
+    unnamed = F.when(F.col("source_job_id").isNull(), F.col("kind")).alias("unnamed")  # equals no other
+    rows = rows.select(*key, "part", "kind", unnamed, *[e.alias(k) for k, e in whole.items()], "p_opportunity_id", "p_content_hash")
+    # one order serves both: a source's own row has no job and comes first
+    order, so_far = ("kind", F.desc("s"), "p_opportunity_id", "p_content_hash"), (Window.unboundedPreceding, Window.currentRow)
+    source = Window.partitionBy("source_id", "part").orderBy("source_job_id", "unnamed", *order)
+    job = Window.partitionBy("source_id", "part", "source_job_id", "unnamed").orderBy(*order)
+    rows = rows.withColumn("polled", F.min("kind").over(source.rowsBetween(*so_far)) == 0).filter("kind = 2 OR (kind = 1 AND polled)")
     met = {"s": F.first("s").over(job.rowsBetween(*so_far)), "nth": F.sum(F.col("kind") - 1).over(job.rowsBetween(*so_far)), "next": F.lead("kind").over(job)}
     met = rows.withColumns(met).filter("kind = 2 OR next IS NULL")
     stored, seen = F.col("kind") == 2, F.col("s").isNotNull()
