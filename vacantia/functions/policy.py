@@ -22,10 +22,10 @@ def geo_conflict(a: Column, b: Column) -> Column:
 
 def titles_agree(a: Column, b: Column) -> Column:
     """All tokens of the shorter title are in the longer one; equal lengths compare the first with the second."""
-    return _tokens_agree(title_tokens(a), title_tokens(b))
+    return tokens_agree(title_tokens(a), title_tokens(b))
 
 
-def _tokens_agree(x: Column, y: Column) -> Column:
+def tokens_agree(x: Column, y: Column) -> Column:
     short = F.when(F.size(y) < F.size(x), y).otherwise(x)
     long = F.when(F.size(y) < F.size(x), x).otherwise(y)
     return (F.size(x) > 0) & (F.size(y) > 0) & (F.size(F.array_except(short, long)) == 0)
@@ -35,6 +35,10 @@ def title_is_specific(c: Column) -> Column:
     return F.size(title_tokens(c)) >= V.MIN_TITLE_TOKENS
 
 
+#: What two candidates can be the same by, from conclusive to weak; the first is nothing.
+REASONS = ("", "exact_ats", "content_hash", "apply_url", "simhash")
+
+
 def decide(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
     """``struct(same, reason, confidence)`` of two candidates; ``a`` and ``b`` give a candidate's columns by name.
 
@@ -42,33 +46,33 @@ def decide(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
     apply address, near-equal text. A missing value never matches.
     """
     distance = hamming(a("simhash"), b("simhash"))
-    return verdict(reason(a, b, distance, lambda side: title_tokens(side("title")), lambda side: normalize_url(side("apply_url"))), distance)
-
-
-def reason(a: Callable[[str], Column], b: Callable[[str], Column], distance: Column, tokens: Callable, url: Callable) -> Column:
-    """The first evidence of ``decide`` that holds, else empty; ``tokens`` and ``url`` give a side's title tokens and comparable address."""
-    long = (a("text_len") >= V.MIN_TEXT) & (b("text_len") >= V.MIN_TEXT)
-    text = (
-        ((distance == 0) | ((distance <= V.MAX_HAMMING) & long)) & (a("simhash") != 0) & (b("simhash") != 0)
-        & (F.size(tokens(a)) >= V.MIN_TITLE_TOKENS) & (F.size(tokens(b)) >= V.MIN_TITLE_TOKENS) & _tokens_agree(tokens(a), tokens(b))
-    )
-    return (
-        F.when(~(_given(a("company_id")) & (a("company_id") == b("company_id"))), "")
-        .when(a("company_id").isNull() | b("company_id").isNull(), "")
-        .when(_given(a("ats_type")) & (a("ats_type") == b("ats_type")) & _given(a("ats_job_id")) & (a("ats_job_id") == b("ats_job_id")), "exact_ats")
-        .when(geo_conflict(a("geo_scope"), b("geo_scope")), "")
-        .when(_given(a("content_hash")) & (a("content_hash") == b("content_hash")), "content_hash")
-        .when(url(a) == url(b), "apply_url")
-        .when(text, "simhash")
-        .otherwise("")
-    )
-
-
-def verdict(reason: Column, distance: Column) -> Column:
+    both = lambda c: _given(a(c)) & (a(c) == b(c))
+    sure = [(side("simhash") != 0) & title_is_specific(side("title")) for side in (a, b)]
+    text = near_text(distance, (a("text_len") >= V.MIN_TEXT) & (b("text_len") >= V.MIN_TEXT), sure[0] & sure[1], titles_agree(a("title"), b("title")))
+    url = normalize_url(a("apply_url")) == normalize_url(b("apply_url"))
+    return verdict(cascade(both("company_id"), both("ats_type") & both("ats_job_id"), geo_conflict(a("geo_scope"), b("geo_scope")), both("content_hash"), url, text), distance)
+
+
+def near_text(distance: Column, long: Column, sure: Column, titles: Column) -> Column:
+    """Texts are near-equal: of equal signatures, or of near ones if both texts are ``long``. ``sure`` tells that both have signatures and titles of enough words."""
+    return ((distance == 0) | ((distance <= V.MAX_HAMMING) & long)) & sure & titles
+
+
+def cascade(company: Column, board: Column, apart: Column, content: Column, url: Column, text: Column, names=REASONS) -> Column:
+    """The first evidence that holds, told by ``names``; there is none between companies, nor without the same board identity between places."""
+    none, *found = map(F.lit, names)
+    company = F.coalesce(company, F.lit(False))
+    return F.when(~company, none).when(board, found[0]).when(apart, none).when(content, found[1]).when(url, found[2]).when(text, found[3]).otherwise(none)
+
+
+def verdict(found: Column, distance: Column, names=REASONS) -> Column:
+    """The verdict on what ``cascade`` found, told by the same ``names``."""
+    none, board, content, url, _ = (found == F.lit(n) for n in names)
     faded = F.lit(0.90).cast("float") - distance.cast("float") * F.lit(0.05).cast("float")
-    sure = F.when(reason == "exact_ats", 1.0).when(reason == "content_hash", 0.99).when(reason == "apply_url", 0.97)
-    confidence = F.coalesce(sure.cast("float"), F.when(reason == "simhash", faded), F.lit(0.0).cast("float"))
-    return F.struct((reason != "").alias("same"), reason.alias("reason"), confidence.cast("float").alias("confidence"))
+    sure = {c: F.lit(x).cast("float") for c, x in (("none", 0.0), ("board", 1.0), ("content", 0.99), ("url", 0.97))}
+    confidence = F.when(none, sure["none"]).when(board, sure["board"]).when(content, sure["content"]).when(url, sure["url"]).otherwise(faded)
+    reason = found if names is REASONS else F.when(none, REASONS[0]).when(board, REASONS[1]).when(content, REASONS[2]).when(url, REASONS[3]).otherwise(REASONS[4])
+    return F.struct((~none).alias("same"), reason.alias("reason"), confidence.alias("confidence"))
 
 
 def auto_apply(verdict: Column) -> Column:

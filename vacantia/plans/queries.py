@@ -615,7 +615,9 @@ def hamming_pairs(spark, d):
 @query(f"{_PAIRED} SELECT a_id, b_id, reason, round(CASE reason WHEN 'content_hash' THEN 0.99 WHEN 'simhash' THEN 0.90 - distance * 0.05 ELSE 0.0 END, 4)::DOUBLE AS confidence, reason = 'content_hash' OR (reason = 'simhash' AND distance <= 3) AS auto FROM dec")
 def dedupe_decide(spark, d):
     v = F.col("verdict")
-    return dedupe.pairs(_members(spark, d)).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), v["reason"].alias("reason"), F.round(v["confidence"].cast("double"), 4).alias("confidence"), P.auto_apply(v).alias("auto"))
+    found = dedupe.pairs(_members(spark, d)).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), "verdict")  # no other column of a pair is made
+    confidence = F.when(v["same"], F.round(v["confidence"].cast("double"), 4)).otherwise(0.0)  # rounding costs more than all else
+    return found.select("a_id", "b_id", v["reason"].alias("reason"), confidence.alias("confidence"), P.auto_apply(v).alias("auto"))
 
 
 @query(f"{_PAIRED} SELECT b_id AS left_id, a_id AS right_id, reason, printf('confidence %.2f below auto-merge floor 0.75', 0.90 - distance * 0.05) AS withheld_because FROM dec WHERE reason = 'simhash' AND distance > 3")
