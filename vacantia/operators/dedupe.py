@@ -47,8 +47,8 @@ def block_members(candidates: DataFrame) -> DataFrame:
 
 #: Members of a block that meet at once; two chunks of a block are one piece of work, whatever the block's size.
 CHUNK = 2048
-#: Pairs that a task makes, about.
-PAIRS_A_TASK = 1 << 24
+#: Pairs that a task makes, about, until there are so many tasks; from then on tasks make more.
+PAIRS_A_TASK, MOST_TASKS = 1 << 24, 1 << 14
 
 
 def _coded(members: DataFrame) -> DataFrame:
@@ -70,16 +70,16 @@ def _coded(members: DataFrame) -> DataFrame:
 
 def _tasks(coded: DataFrame) -> int:
     """Tasks for the pairs of all blocks: enough that none makes many, and that small tables are dealt too."""
-    blocks = coded.groupBy("block_key").agg(F.count(F.lit(1)).cast("double").alias("n"), (F.max("last") + 1).alias("c"))
+    blocks = coded.groupBy("block_key").agg(F.count(F.lit(1)).cast("double").alias("n"), (F.max("last") + 1).cast("long").alias("c"))
     found = blocks.agg(F.sum(F.expr("n * (n - 1) / 2")).alias("pairs"), F.sum(F.expr("c * (c + 1) div 2")).alias("units")).first()
-    return max(1, int((found["pairs"] or 0) // PAIRS_A_TASK), min(found["units"] or 0, 4 * coded.sparkSession.sparkContext.defaultParallelism))
+    return max(1, min(int((found["pairs"] or 0) // PAIRS_A_TASK), MOST_TASKS), min(found["units"] or 0, 4 * coded.sparkSession.sparkContext.defaultParallelism))
 
 
 def pairs(members: DataFrame) -> DataFrame:
     """Each pair of a block once, as structs ``a`` (older) and ``b`` with the verdict on it.
 
-    A block's members are dealt in chunks, and every two chunks meet in a task, so that neither the memory
-    of a task nor its time grows with a block. The verdict is computed where the pair is made, so only
+    A block's members are dealt in chunks, and every two chunks meet in a task, so that neither memory
+    nor time of a task that makes pairs grows with a block; the numbering sorts a block in one task. The verdict is computed where the pair is made, so only
     decided pairs go on. All that decides is made ready once a member, in a table, as numbers: a pair
     costs a few comparisons of numbers, and title tokens are compared only of near texts.
     """
